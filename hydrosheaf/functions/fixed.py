@@ -74,3 +74,31 @@ P_BANDS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.
 P_COMPOSITE = (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 0.999)
 P_TWO_PART = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 P_ORDINATES = (0.001, 0.01, 0.03, 0.05, 0.1, 0.3, 0.5, 1, 3, 5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90, 95, 97, 99, 99.5, 99.7, 99.9)
+
+# fixed values: month groups of the intra-annual distribution
+NON_LIMITING = (4, 5, 6, 7, 8, 9, 10)
+LIMITING = (11, 12, 1, 2, 3)
+LIMITING_SEASON = (12, 1, 2)
+SEASON_MONTHS = {"winter": (11, 12, 1, 2, 3), "summer": (6, 7, 8)}
+
+# fixed values: flow duration probabilities
+P_DURATION = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
+DURATION_PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
+
+# fixed values: upper ratio Q / Q_mean of the flow classes (each doubled when compared)
+ECO_RATIO = (("I", 0.05), ("II", 0.10), ("III", 0.20), ("IV", 0.30), ("V", 0.50), ("VI", 0.80))
+
+# fixed values: seasonal ecological flow, monthly alpha and beta per region
+SEASONAL_FLOW = {
+    "northern": ((0.05, 0.05, 0.15, 0.50, 0.80, 0.50, 0.25, 0.15, 0.10, 0.05, 0.05, 0.05),
+                 (0.5, 0.5, 0.6, 0.7, 0.8, 0.7, 0.6, 0.5, 0.5, 0.5, 0.5, 0.5)),
+    "central": ((0.10, 0.10, 0.20, 0.60, 0.90, 0.60, 0.30, 0.20, 0.15, 0.10, 0.10, 0.10),
+                (0.5, 0.5, 0.6, 0.7, 0.85, 0.7, 0.6, 0.5, 0.5, 0.5, 0.5, 0.5)),
+    "southern": ((0.15, 0.12, 0.10, 0.30, 0.50, 0.80, 0.60, 0.40, 0.30, 0.20, 0.15, 0.15),
+                 (0.5, 0.5, 0.5, 0.6, 0.7, 0.8, 0.7, 0.6, 0.6, 0.5, 0.5, 0.5)),
+    "mountain": ((0.10, 0.10, 0.15, 0.40, 0.70, 0.90, 0.80, 0.60, 0.30, 0.15, 0.10, 0.10),
+                 (0.5, 0.5, 0.6, 0.7, 0.8, 0.9, 0.85, 0.7, 0.6, 0.5, 0.5, 0.5)),
+}
+
+# fixed values: melt factor (mm per day and degree) and snow density (kg/m3) per zone 1..9
+MELT_ZONE = ((2.5, 250), (3.0, 280), (3.5, 300), (4.0, 320), (3.5, 300), (3.0, 280), (2.8, 270), (3.2, 290), (2.0, 260))

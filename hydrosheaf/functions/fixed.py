@@ -102,3 +102,41 @@ SEASONAL_FLOW = {
 
 # fixed values: melt factor (mm per day and degree) and snow density (kg/m3) per zone 1..9
 MELT_ZONE = ((2.5, 250), (3.0, 280), (3.5, 300), (4.0, 320), (3.5, 300), (3.0, 280), (2.8, 270), (3.2, 290), (2.0, 260))
+
+# fixed values: rainfall intensity A T^m / (t + B)^n, zones 1..9 as (A, B, n, m)
+IDF_ZONE = (
+    (0.025, 5.0, 0.70, 0.10), (0.040, 8.0, 0.75, 0.12), (0.050, 10.0, 0.78, 0.13), (0.065, 12.0, 0.80, 0.15), (0.080, 15.0, 0.82, 0.17),
+    (0.100, 18.0, 0.85, 0.18), (0.035, 6.0, 0.72, 0.11), (0.060, 10.0, 0.76, 0.14), (0.055, 8.0, 0.74, 0.16),
+)
+IDF_DURATIONS = (5, 10, 15, 30, 60, 90, 120, 180, 360, 720, 1440)  # minutes
+RATIONAL_F_MAX = (50, 50, 50, 80, 100, 100, 50, 75, 50)  # km2, zones 1..9
+# fixed values: runoff coefficients by surface and by zone 1..9
+SURFACE_ALPHA = {
+    "dense_urban": 0.70, "residential": 0.50, "park": 0.25, "farmland_clay": 0.40, "farmland_sand": 0.20, "forest_clay": 0.30,
+    "forest_sand": 0.15, "grassland_clay": 0.35, "grassland_sand": 0.15, "marsh": 0.10, "rock": 0.75, "asphalt": 0.90, "roof": 0.95,
+}
+ZONE_ALPHA = (0.45, 0.35, 0.30, 0.25, 0.35, 0.45, 0.40, 0.40, 0.20)
+# fixed values: regional regressions A F^n as (mean A, n, Q2 A, n, Q10 A, n, Q100 A, n, winter minimum A, n)
+REGION = {
+    "central_russia": (0.0025, 0.85, 0.08, 0.65, 0.12, 0.62, 0.18, 0.58, 0.0003, 0.90),
+    "volga_basin": (0.0020, 0.88, 0.065, 0.68, 0.10, 0.64, 0.15, 0.60, 0.00025, 0.92),
+    "ob_irtysh": (0.0030, 0.82, 0.09, 0.63, 0.13, 0.60, 0.20, 0.56, 0.00035, 0.88),
+    "yenisei": (0.0035, 0.80, 0.10, 0.60, 0.15, 0.57, 0.22, 0.53, 0.0004, 0.85),
+    "lena": (0.0032, 0.81, 0.095, 0.61, 0.14, 0.58, 0.21, 0.54, 0.00038, 0.86),
+    "kama": (0.0022, 0.87, 0.07, 0.66, 0.105, 0.63, 0.16, 0.59, 0.00028, 0.91),
+    "don": (0.0015, 0.90, 0.055, 0.70, 0.085, 0.66, 0.13, 0.62, 0.00015, 0.95),
+    "neva": (0.0028, 0.84, 0.075, 0.67, 0.11, 0.63, 0.17, 0.59, 0.0003, 0.89),
+    "caucasus": (0.0045, 0.75, 0.15, 0.55, 0.22, 0.50, 0.32, 0.45, 0.0005, 0.80),
+}
+# fixed values: weir coefficients, erosion factors
+WEIR_CD = {"sharp_crested": 1.84, "broad_crested": 1.50, "ogee": 2.20}
+EROSION = {"weak": 0.05, "moderate": 0.15, "strong": 0.40}
+# fixed values: ice zones as (thickness range m, freeze period days, typical rise m, coefficient, snow correction, A)
+ICE_ZONE = {
+    "arctic": (1.5, 3.0, 200, 260, 1.5, 3.0, 1.0, 0.8, 0.45), "subarctic": (1.0, 2.0, 180, 230, 1.0, 2.5, 0.85, 0.85, 0.40),
+    "cold_humid": (0.8, 1.5, 160, 200, 0.8, 2.0, 0.70, 0.90, 0.36), "moderate": (0.5, 1.2, 120, 180, 0.5, 1.5, 0.55, 1.0, 0.32),
+    "dry": (0.3, 0.8, 90, 150, 0.3, 1.0, 0.40, 1.10, 0.28), "semi_arid": (0.2, 0.5, 60, 120, 0.2, 0.8, 0.30, 1.20, 0.22),
+}
+JAM_PROBABILITY = [(20, 0.85), (50, 0.65), (100, 0.45), (150, 0.30), (200, 0.20), (300, 0.10), (500, 0.05)]  # by channel width
+JAM_KP = [(2, 0.9), (5, 0.8), (10, 0.7), (25, 0.6), (50, 0.5), (100, 0.4), (500, 0.3)]  # by return period
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)

@@ -16,7 +16,7 @@ from hydrosheaf.functions import fixed
 from hydrosheaf.functions.special import lerp, t_two_sided_col
 from hydrosheaf.operators.freq import module_quantiles
 from hydrosheaf.operators.stats import annual_runoff_stats, cv_of, moments
-from hydrosheaf.plans.ordering import block_of, observed, sequence, spread
+from hydrosheaf.plans.ordering import BLOCK, block_of, observed, sequence, spread
 
 KEYS = ["target", "analog"]
 
@@ -55,7 +55,7 @@ def validate_correlation(rows: DataFrame, with_p: bool = False) -> DataFrame:
     d = g.withColumn("r", F.when(ok, F.col("_r")).otherwise(F.lit(0.0))).drop("_r")
     r = F.col("r")
     d = d.select(
-        *KEYS, "n", "r", (r * r).alias("r2"), ro_critical(n).alias("ro"), (ok & (r > ro_critical(n))).alias("significant"),
+        *KEYS, "n", "r", (r * r).alias("r2"), ro_critical(n).alias("ro"), (r > ro_critical(n)).alias("significant"),
         F.when(n < 5, "none").otherwise(quality_class(r)).alias("quality"))
     if with_p:
         d = d.withColumn("p_value", t_two_sided_col(r * F.sqrt((n - 2) / (1 - r * r)), n - 2))
@@ -83,7 +83,7 @@ def proportional_fit(rows: DataFrame) -> DataFrame:
 
 
 def proportional_extension(rows: DataFrame) -> DataFrame:
-    return _extend(rows, proportional_fit(rows).select(*KEYS, "k"), F.col("k") * F.col("qa"))
+    return _extend(rows, proportional_fit(rows).select(*KEYS, F.col("k").alias("ratio")), F.col("ratio") * F.col("qa"))
 
 
 def extension_error(series: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -189,15 +189,24 @@ def analog_relationship(rows: DataFrame, single_solution: bool = True) -> DataFr
         ((F.abs(r) >= ro_critical(n)) & (ratio >= 2) & (n >= 5)).alias("usable"))
 
 
-def _drop_far(a: Column, limit: float = 3.0) -> Column:
-    """One pass of the outlier rule on an array of partial estimates (one per analog)."""
-    n = F.size(a).cast("double")
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x["q"])
-    mean = s / n
-    ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x["q"] - mean) * (x["q"] - mean))
-    sd = F.sqrt(ss / (n - 1))
-    keep = F.filter(a, lambda x: F.abs(x["q"] - mean) / sd <= limit)
-    return F.when((n >= 3) & (sd >= 1e-12), keep).otherwise(a)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _weighted(qs: pd.Series, ws: pd.Series) -> pd.Series:
+    """Partial estimates of one step (one per analog) -> value, sigma, number used.
+
+    Negative estimates go first, then up to three passes drop those beyond three deviations.
+    """
+    out = []
+    for q, w in zip(qs, ws):
+        q, w = np.asarray(q, float), np.asarray(w, float)
+        keep = q >= 0
+        for _ in range(3):
+            x = q[keep]
+            if len(x) < 3 or x.std(ddof=1) < 1e-12:
+                break
+            keep &= np.abs(q - x.mean()) / x.std(ddof=1) <= 3
+        total = w[keep].sum()
+        out.append([float((w * q)[keep].sum() / total), float(1 / np.sqrt(total)), float(keep.sum())] if total >= 1e-12 else None)
+    return pd.Series(out)
 
 
 def restore_short_series(series: DataFrame, pairs: DataFrame, min_analogs: int = 5, single_solution: bool = True, areas: DataFrame | None = None) -> DataFrame:
@@ -216,19 +225,13 @@ def restore_short_series(series: DataFrame, pairs: DataFrame, min_analogs: int =
         "target", "t", F.struct((F.col("k0") + F.col("k1") * F.col("qa")).alias("q"),
                                 F.when(F.col("sigma_res") > 1e-12, 1 / (F.col("sigma_res") * F.col("sigma_res"))).otherwise(F.lit(0.0)).alias("w")).alias("e"))
     # one array entry per chosen analog
-    g = part.groupBy("target", "t").agg(F.count(F.lit(1)).alias("n_total"), F.collect_list(F.when(F.col("e.q") >= 0, F.col("e"))).alias("a"))
+    g = part.groupBy("target", "t").agg(F.count(F.lit(1)).alias("n_total"), F.collect_list("e").alias("a"))
     g = g.join(need, "target").filter(F.col("n_total") >= F.col("need"))
-    for _ in range(3):
-        g = g.withColumn("a", _drop_far(F.col("a")))
-    w = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["w"])
-    wq = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["w"] * x["q"])
-    g = g.filter(w >= 1e-12).select(
-        "target", "t", (wq / w).alias("q"), (1 / F.sqrt(w)).alias("sigma"), F.size("a").cast("bigint").alias("n_used"), "n_total")
+    g = g.select("target", "t", "n_total", _weighted(F.col("a.q"), F.col("a.w")).alias("x")).filter(F.col("x").isNotNull()).select(
+        "target", "t", F.col("x")[0].alias("q"), F.col("x")[1].alias("sigma"), F.col("x")[2].cast("bigint").alias("n_used"), "n_total")
     g = g.withColumn("delta", F.when(F.abs("q") > 1e-12, F.col("sigma") / F.abs("q") * 100).otherwise(F.lit(0.0)))
     span = rows.groupBy("target").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     steps = span.withColumn("b", F.explode(F.sequence(block_of(F.col("t0")), block_of(F.col("t1"))))).repartition("target", "b")
-    from hydrosheaf.plans.ordering import BLOCK
-
     steps = steps.select("target", F.explode(F.sequence(F.greatest("t0", F.col("b") * BLOCK), F.least("t1", F.col("b") * BLOCK + BLOCK - 1))).alias("t"))
     mine = obs.select(F.col("post").alias("target"), "t", F.col("value").alias("q")).join(pairs.select("target").distinct(), "target", "left_semi")
     missing = steps.join(mine.select("target", "t"), ["target", "t"], "left_anti").join(g, ["target", "t"], "left")

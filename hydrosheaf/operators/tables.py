@@ -256,9 +256,9 @@ def ice_duration(freeze: Column, breakup: Column) -> Column:
 
 def ice_cover_stats(df: DataFrame) -> DataFrame:
     """Mean, deviation, early and late day of freeze-up and breakup, and cover duration."""
-    dur = ice_duration(F.col("freeze"), F.col("breakup"))
+    dur = ice_duration(F.col("freeze_up"), F.col("breakup"))
     agg = []
-    for c in ("freeze", "breakup"):
+    for c in ("freeze_up", "breakup"):
         m, s = F.avg(c), F.coalesce(F.stddev_samp(c), lit(0.0))
         agg += [m.alias(c + "_mean"), s.alias(c + "_std"), F.greatest(lit(1.0), m - s).alias(c + "_early"),
                 F.least(lit(366.0), m + s).alias(c + "_late"), F.min(c).alias(c + "_min"), F.max(c).alias(c + "_max")]

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrosheaf.plans.ordering import BLOCK as BLOCK_ROWS
 from hydrosheaf.plans.ordering import fits_one_task
 
 _D = T.ArrayType(T.DoubleType())
-BLOCK_ROWS = 4096
 
 
 def compress(theta, out):

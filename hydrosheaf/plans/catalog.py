@@ -56,6 +56,6 @@ def B(*cols: str) -> str:
 
 def load() -> None:
     from hydrosheaf.plans import (  # noqa: F401
-        q_analog, q_flow, q_freq, q_stats, q_tables, q_trend,
+        q_analog, q_flow, q_freq, q_sheets, q_stats, q_tables, q_trend,
     )
 FLAGSHIP = "x01_annual_extremes"

@@ -14,12 +14,16 @@ and the plain window over the post is used instead.  Both ways give the same row
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK = 4096          # time steps per block
-VALUE_BLOCK = 1 << 17  # distinct values of one group above which value blocks are cut
+# time steps per block, and distinct values of one group above which value blocks are cut;
+# the environment variables exist so that tests can force many blocks on small data
+BLOCK = int(os.environ.get("HYDROSHEAF_BLOCK", 4096))
+VALUE_BLOCK = int(os.environ.get("HYDROSHEAF_VALUE_BLOCK", 1 << 17))
 CUTS = 256            # most cut points of one group
 
 _before = (W.unboundedPreceding, -1)

@@ -88,11 +88,11 @@ def _(s, d):
  rs AS (SELECT target, t, wq / w AS q, 1 / sqrt(w) AS sigma, n_used, n_total FROM pa WHERE w >= 1e-12),
  sp AS (SELECT target, unnest(range(min(t), max(t) + 1)) AS t FROM pr GROUP BY 1),
  mi AS (SELECT sp.target, sp.t FROM sp WHERE NOT EXISTS (SELECT 1 FROM many c WHERE c.post = sp.target AND c.t = sp.t))
- SELECT post AS target, {B('t')}, {R('value AS q', 'CAST(NULL AS DOUBLE) AS sigma', 'CAST(NULL AS DOUBLE) AS delta')}, CAST(NULL AS BIGINT) AS n_used, CAST(NULL AS BIGINT) AS n_total, 'observed' AS note FROM many WHERE post IN (SELECT target FROM pairs)
- UNION ALL SELECT mi.target, {B('mi.t AS t')}, {R('q', 'sigma', 'sigma / abs(q) * 100 AS delta')}, {B('n_used', 'n_total')}, CASE WHEN q IS NULL THEN 'not restored' ELSE 'restored' END FROM mi LEFT JOIN rs ON rs.target = mi.target AND rs.t = mi.t""")
+ SELECT post AS target, {B('t')}, {R('value AS q', 'CAST(NULL AS DOUBLE) AS sigma', 'CAST(NULL AS DOUBLE) AS delta')}, CAST(0 AS BIGINT) AS n_used, CAST(0 AS BIGINT) AS n_total, 'observed' AS note FROM many WHERE post IN (SELECT target FROM pairs)
+ UNION ALL SELECT mi.target, {B('mi.t AS t')}, {R('q', 'sigma', 'sigma / abs(q) * 100 AS delta')}, {B('coalesce(n_used, 0) AS n_used', 'coalesce(n_total, 0) AS n_total')}, CASE WHEN q IS NULL THEN 'not restored' ELSE 'restored' END FROM mi LEFT JOIN rs ON rs.target = mi.target AND rs.t = mi.t""")
 def _(s, d):
     # three analogs per target: the three-deviation rule cannot exclude any of them
-    return analog.restore_short_series(*args(s, d))
+    return analog.restore_short_series(*args(s, d)).fillna(0, ["n_used", "n_total"])
 
 
 PROP = PR + f""", ks AS (SELECT target, analog, avg(CASE WHEN qa <> 0 THEN qc / qa END) AS k_mean FROM bo GROUP BY 1, 2),

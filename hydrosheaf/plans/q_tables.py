@@ -131,8 +131,8 @@ def idf_sql(t, T, zone="zone"):
     return f"(({c(0)}) * pow(greatest({T}, 1.0), {c(3)}) / pow(greatest({t}, 0.1) + ({c(1)}), {c(2)}))"
 
 
-@register("l01_idf_curve", f"WITH {SITES} SELECT site, {R('d AS duration', 'T AS period', idf_sql('d', 'T') + ' * 60 AS intensity', idf_sql('d', 'T') + ' * d AS depth')} FROM si, (VALUES "
-          + ", ".join(f"({float(x)})" for x in fixed.IDF_DURATIONS) + ") v(d), (VALUES (2.0), (10.0), (100.0)) w(T)")
+@register("l01_idf_curve", f"WITH {SITES} SELECT site, {R('d AS duration', 'rp AS period', idf_sql('d', 'rp') + ' * 60 AS intensity', idf_sql('d', 'rp') + ' * d AS depth')} FROM si, (VALUES "
+          + ", ".join(f"({float(x)})" for x in fixed.IDF_DURATIONS) + ") v(d), (VALUES (2.0), (10.0), (100.0)) w(rp)")
 def _(s, d):
     return tables.idf_curve(sites(s, d).select("site", "zone")).drop("zone")
 
@@ -253,15 +253,15 @@ def _(s, d):
 
 # --- ice dates: days of the dearest and the cheapest order of a nation's year --------------------
 DATES = """da AS (SELECT 'N' || CAST(c_nationkey AS VARCHAR) AS post, CAST(year(o_orderdate) AS BIGINT) AS year,
-  CAST(dayofyear(arg_max(o_orderdate, struct_pack(o_totalprice, o_orderkey))) AS BIGINT) AS freeze, CAST(dayofyear(arg_min(o_orderdate, struct_pack(o_totalprice, o_orderkey))) AS BIGINT) AS breakup FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
-DUR = "CASE WHEN freeze <= breakup THEN breakup - freeze ELSE 366 - freeze + breakup END"
+  CAST(dayofyear(arg_max(o_orderdate, struct_pack(o_totalprice, o_orderkey))) AS BIGINT) AS freeze_up, CAST(dayofyear(arg_min(o_orderdate, struct_pack(o_totalprice, o_orderkey))) AS BIGINT) AS breakup FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+DUR = "CASE WHEN freeze_up <= breakup THEN breakup - freeze_up ELSE 366 - freeze_up + breakup END"
 
 
 def ice_dates(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.struct("o_totalprice", "o_orderkey")
     return o.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("post"), F.year("o_orderdate").cast("bigint").alias("year")).agg(
-        F.dayofyear(F.max_by("o_orderdate", k)).cast("bigint").alias("freeze"), F.dayofyear(F.min_by("o_orderdate", k)).cast("bigint").alias("breakup"))
+        F.dayofyear(F.max_by("o_orderdate", k)).cast("bigint").alias("freeze_up"), F.dayofyear(F.min_by("o_orderdate", k)).cast("bigint").alias("breakup"))
 
 
 def _ice(c):
@@ -269,14 +269,14 @@ def _ice(c):
     return R(f"avg({c}) AS {c}_mean", f"{s} AS {c}_std", f"greatest(1, avg({c}) - {s}) AS {c}_early", f"least(366, avg({c}) + {s}) AS {c}_late") + ", " + B(f"min({c}) AS {c}_min", f"max({c}) AS {c}_max")
 
 
-@register("c01_ice_cover_stats", f"WITH {DATES} SELECT post, {B('count(*) AS years')}, {_ice('freeze')}, {_ice('breakup')}, {R(f'avg({DUR}) AS duration_mean', f'coalesce(stddev_samp({DUR}), 0) AS duration_std')}, {B(f'min({DUR}) AS duration_min', f'max({DUR}) AS duration_max')} FROM da GROUP BY post")
+@register("c01_ice_cover_stats", f"WITH {DATES} SELECT post, {B('count(*) AS years')}, {_ice('freeze_up')}, {_ice('breakup')}, {R(f'avg({DUR}) AS duration_mean', f'coalesce(stddev_samp({DUR}), 0) AS duration_std')}, {B(f'min({DUR}) AS duration_min', f'max({DUR}) AS duration_max')} FROM da GROUP BY post")
 def _(s, d):
     return tables.ice_cover_stats(ice_dates(s, d))
 
 
-@register("c02_ice_duration", f"WITH {DATES} SELECT post, year, freeze, breakup, {B(DUR + ' AS duration')} FROM da")
+@register("c02_ice_duration", f"WITH {DATES} SELECT post, year, freeze_up, breakup, {B(DUR + ' AS duration')} FROM da")
 def _(s, d):
-    return ice_dates(s, d).withColumn("duration", tables.ice_duration(F.col("freeze"), F.col("breakup")))
+    return ice_dates(s, d).withColumn("duration", tables.ice_duration(F.col("freeze_up"), F.col("breakup")))
 
 
 def _dates(c):
@@ -286,9 +286,9 @@ def _dates(c):
   CASE WHEN mean < 90 THEN 'early' WHEN mean > 120 THEN 'late' ELSE 'middle' END AS timing FROM mm JOIN mo ON mo.post = mm.post AND k = 1"""
 
 
-@register("c03_freeze_date_analysis", _dates("freeze"))
+@register("c03_freeze_date_analysis", _dates("freeze_up"))
 def _(s, d):
-    return tables.date_analysis(ice_dates(s, d), "freeze")
+    return tables.date_analysis(ice_dates(s, d), "freeze_up")
 
 
 @register("c03_breakup_date_analysis", _dates("breakup"))
@@ -383,14 +383,14 @@ def _(s, d):
     return channel.cos_alpha_at(points(s, d), positions(s, d))
 
 
-LQ = """lq AS (SELECT l_returnflag || l_linestatus AS post, l_quantity / 10 AS level, l_extendedprice / 100 AS q, l_orderkey * 10 + l_linenumber AS t FROM lineitem),
+LQ = """lq AS (SELECT l_returnflag || l_linestatus AS post, sqrt(l_extendedprice) / 10 + l_quantity / 100 AS level, l_extendedprice / 100 AS q, l_orderkey * 10 + l_linenumber AS t FROM lineitem),
  l0 AS (SELECT post, count(*) AS n, min(level) - 0.01 AS h0 FROM lq WHERE q > 0 GROUP BY 1 HAVING count(*) >= 3),
  lc AS (SELECT post, n, h0, exp(regr_intercept(ln(q), ln(level - h0))) AS a, regr_slope(ln(q), ln(level - h0)) AS b, regr_r2(ln(q), ln(level - h0)) AS r2 FROM lq JOIN l0 USING (post) WHERE q > 0 GROUP BY 1, 2, 3)"""
 
 
 def level_obs(s, d):
     return table(s, d, "lineitem").select(
-        F.concat("l_returnflag", "l_linestatus").alias("post"), (F.col("l_quantity") / 10).alias("level"), (F.col("l_extendedprice") / 100).alias("q"),
+        F.concat("l_returnflag", "l_linestatus").alias("post"), (F.sqrt("l_extendedprice") / 10 + F.col("l_quantity") / 100).alias("level"), (F.col("l_extendedprice") / 100).alias("q"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"))
 
 
@@ -431,10 +431,10 @@ def _(s, d):
     return tables.storage_yield(view(s, d, "annual"), (0.5, 0.6, 0.7, 0.8, 0.9))
 
 
-@register("v03_level_volume", f"""WITH lv AS (SELECT p_brand AS post, p_partkey * 0.01 AS t, p_retailprice / 100 AS value FROM part), ll AS (SELECT *, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM lv WINDOW w AS (PARTITION BY post ORDER BY t))
+@register("v03_level_volume", f"""WITH lv AS (SELECT p_brand AS post, p_partkey * 0.01 AS t, p_retailprice / 97 AS value FROM part), ll AS (SELECT *, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM lv WINDOW w AS (PARTITION BY post ORDER BY t))
  SELECT post, {R('t', 'value', 'sum(coalesce((value + pv) / 2 * (t - pt), 0)) OVER (PARTITION BY post ORDER BY t ROWS UNBOUNDED PRECEDING) AS volume', digits=5)} FROM ll""", digits=5)
 def _(s, d):
-    p = table(s, d, "part").select(F.col("p_brand").alias("post"), (F.col("p_partkey") * 0.01).alias("t"), (F.col("p_retailprice") / 100).alias("value"))
+    p = table(s, d, "part").select(F.col("p_brand").alias("post"), (F.col("p_partkey") * 0.01).alias("t"), (F.col("p_retailprice") / 97).alias("value"))
     return tables.level_volume(p)
 
 

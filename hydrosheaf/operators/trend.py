@@ -99,7 +99,7 @@ def sign_sum(df: DataFrame, side: int | None = None) -> DataFrame:
     grid = cells.groupBy("post", "tb", "vb").agg(F.sum("c").alias("c"))
     rows = grid.select("post", "tb").distinct()
     last = grid.groupBy("post").agg(F.max("vb").alias("_v"))
-    full = rows.join(last, "post").select("post", "tb", F.explode(F.sequence(F.lit(0), F.col("_v"))).cast("bigint").alias("vb"))
+    full = rows.join(last, "post").select("post", "tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_v"))).alias("vb"))
     g = full.join(grid, ["post", "tb", "vb"], "left").fillna(0.0, ["c"])
     before = W.partitionBy("post", "vb").orderBy("tb").rowsBetween(W.unboundedPreceding, -1)
     g = g.withColumn("p", F.coalesce(F.sum("c").over(before), F.lit(0.0)))

@@ -232,7 +232,12 @@ def _(s, d):
 
 
 # --- baseflow ---------------------------------------------------------------------------------
-NUM = "nu AS (SELECT post, t, value, row_number() OVER w AS i, lag(value) OVER w AS pv, lead(value) OVER w AS nv FROM daily WINDOW w AS (PARTITION BY post ORDER BY t))"
+NUM = "nu AS (SELECT post, t, value / 9.7 AS value, row_number() OVER w AS i, lag(value / 9.7) OVER w AS pv, lead(value / 9.7) OVER w AS nv FROM daily WINDOW w AS (PARTITION BY post ORDER BY t))"
+
+
+def flows(s, d):
+    """Daily flow off the decimal grid, so that rounding has no ties."""
+    return view(s, d, "daily").withColumn("value", F.col("value") / 9.7)
 
 
 @register("b01_baseflow_straight_line", DAY + f""", {NUM}, pk AS (SELECT post, i, value AS v, lead(i) OVER w AS ni, lead(value) OVER w AS nq, lag(i) OVER w AS pi, lag(value) OVER w AS pq FROM nu WHERE value > pv AND value > nv WINDOW w AS (PARTITION BY post ORDER BY i)),
@@ -240,7 +245,7 @@ NUM = "nu AS (SELECT post, t, value, row_number() OVER w AS i, lag(value) OVER w
  rw AS (SELECT nu.post, nu.t, nu.value, nu.i, sg.*, row_number() OVER (PARTITION BY nu.post, nu.i ORDER BY a DESC) AS k FROM nu LEFT JOIN sg ON sg.post = nu.post AND nu.i BETWEEN sg.a AND sg.b)
  SELECT post, {B('t')}, {R('value', 'least(greatest(CASE WHEN a IS NULL THEN 0 WHEN b - a > 5 THEN va + (vb - va) * (i - a) / (b - a) ELSE least(va, vb) END, 0), value) AS baseflow')} FROM rw WHERE k = 1""")
 def _(s, d):
-    return flow.baseflow_straight_line(view(s, d, "daily"))
+    return flow.baseflow_straight_line(flows(s, d))
 
 
 FILT = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i = 1 UNION ALL SELECT nu.post, nu.i, CASE WHEN nu.value < b THEN 0.925 * b + (1 - 0.925) * nu.value ELSE nu.value * 0.5 END FROM bf JOIN nu ON nu.post = bf.post AND nu.i = bf.i + 1)"
@@ -249,19 +254,19 @@ LYNE = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i
 
 @register("b02_baseflow_digital_filter", FILT + f" SELECT post, {B('t')}, {R('value', 'least(greatest(b, 0), value) AS baseflow')} FROM nu JOIN bf USING (post, i)")
 def _(s, d):
-    return flow.baseflow_digital_filter(view(s, d, "daily"))
+    return flow.baseflow_digital_filter(flows(s, d))
 
 
-@register("b03_baseflow_lyne_hollick", LYNE + f" SELECT post, {B('t')}, {R('value', 'greatest(b, 0) AS baseflow', digits=7)} FROM nu JOIN bf USING (post, i)", digits=7)
+@register("b03_baseflow_lyne_hollick", LYNE + f" SELECT post, {B('t')}, {R('value', 'greatest(b, 0) AS baseflow')} FROM nu JOIN bf USING (post, i)")
 def _(s, d):
-    return flow.baseflow_lyne_hollick(view(s, d, "daily"))
+    return flow.baseflow_lyne_hollick(flows(s, d))
 
 
 @register("b04_baseflow_statistics", LYNE + f""", bb AS (SELECT post, value, greatest(b, 0) AS b, greatest(b, 0) - lag(greatest(b, 0)) OVER (PARTITION BY post ORDER BY i) AS db FROM nu JOIN bf USING (post, i)),
  bs AS (SELECT post, stddev_pop(b) AS sd FROM bb GROUP BY post)
  SELECT post, {R('avg(b) AS bf_mean', 'min(b) AS bf_min', 'max(b) AS bf_max', 'avg(b) / avg(value) AS bf_ratio', 'count(*) FILTER (abs(db) < 0.1 * sd) / count(*) * 100 AS steady_percent')} FROM bb JOIN bs USING (post) GROUP BY post""")
 def _(s, d):
-    return flow.baseflow_statistics(flow.baseflow_lyne_hollick(view(s, d, "daily")))
+    return flow.baseflow_statistics(flow.baseflow_lyne_hollick(flows(s, d)))
 
 
 # --- drought ----------------------------------------------------------------------------------

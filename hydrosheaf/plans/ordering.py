@@ -307,11 +307,20 @@ def order_rows(ranks: DataFrame, keys=("post",), value="value") -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder the cluster names; a local one is set only where none is."""
+    """Cut lineage: write the table under the shared checkpoint folder and read it back.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is made
+    only where none is set.  Unlike a checkpointed RDD the written table has a true size, so the
+    planner can tell that a small state table is small.
+    """
     import tempfile
+    import uuid
 
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hydrosheaf-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("hydrosheaf.checkpointDir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="hydrosheaf-")
+        spark.conf.set("hydrosheaf.checkpointDir", folder)
+    path = f"{folder.rstrip('/')}/hydrosheaf-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -232,12 +232,13 @@ def _(s, d):
 
 
 # --- baseflow ---------------------------------------------------------------------------------
-NUM = "nu AS (SELECT post, t, value / 9.7 AS value, row_number() OVER w AS i, lag(value / 9.7) OVER w AS pv, lead(value / 9.7) OVER w AS nv FROM daily WINDOW w AS (PARTITION BY post ORDER BY t))"
+# exponent literals are doubles in SQL; 0.925 would be an exact decimal
+NUM = "nu AS (SELECT post, t, value / 9.73 AS value, row_number() OVER w AS i, lag(value / 9.73) OVER w AS pv, lead(value / 9.73) OVER w AS nv FROM daily WINDOW w AS (PARTITION BY post ORDER BY t))"
 
 
 def flows(s, d):
     """Daily flow off the decimal grid, so that rounding has no ties."""
-    return view(s, d, "daily").withColumn("value", F.col("value") / 9.7)
+    return view(s, d, "daily").withColumn("value", F.col("value") / 9.73)
 
 
 @register("b01_baseflow_straight_line", DAY + f""", {NUM}, pk AS (SELECT post, i, value AS v, lead(i) OVER w AS ni, lead(value) OVER w AS nq, lag(i) OVER w AS pi, lag(value) OVER w AS pq FROM nu WHERE value > pv AND value > nv WINDOW w AS (PARTITION BY post ORDER BY i)),
@@ -248,8 +249,8 @@ def _(s, d):
     return flow.baseflow_straight_line(flows(s, d))
 
 
-FILT = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i = 1 UNION ALL SELECT nu.post, nu.i, CASE WHEN nu.value < b THEN 0.925 * b + (1 - 0.925) * nu.value ELSE nu.value * 0.5 END FROM bf JOIN nu ON nu.post = bf.post AND nu.i = bf.i + 1)"
-LYNE = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i = 1 UNION ALL SELECT nu.post, nu.i, least(0.97 * b + (1 - 0.97) / 2 * (nu.value + nu.pv), nu.value) FROM bf JOIN nu ON nu.post = bf.post AND nu.i = bf.i + 1)"
+FILT = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i = 1 UNION ALL SELECT nu.post, nu.i, CASE WHEN nu.value < b THEN 9.25e-1 * b + (1 - 9.25e-1) * nu.value ELSE nu.value * 0.5 END FROM bf JOIN nu ON nu.post = bf.post AND nu.i = bf.i + 1)"
+LYNE = DAY + f", {NUM}, bf AS (SELECT post, i, value * 0.5 AS b FROM nu WHERE i = 1 UNION ALL SELECT nu.post, nu.i, least(9.7e-1 * b + (1 - 9.7e-1) / 2 * (nu.value + nu.pv), nu.value) FROM bf JOIN nu ON nu.post = bf.post AND nu.i = bf.i + 1)"
 
 
 @register("b02_baseflow_digital_filter", FILT + f" SELECT post, {B('t')}, {R('value', 'least(greatest(b, 0), value) AS baseflow')} FROM nu JOIN bf USING (post, i)")

@@ -40,7 +40,7 @@ def wet_section(points: DataFrame, levels: DataFrame, keys) -> DataFrame:
     two minima per (section, level), so no ordered pass over the fan-out is needed.
     """
     keys = list(keys)
-    seq = sequence(points.select(*keys, F.col("b").alias("t"), F.col("h").alias("value")), keys)
+    seq = sequence(points.select(*keys, F.col("b").alias("t"), F.col("h").alias("value")), keys, width=256)
     h0, h1, b0, b1 = F.col("value"), F.col("next"), F.col("t"), F.col("next_t")
     d = spread(seq.select(*keys, "t", "value", "i", "next", "next_t", "blk"), levels, [keys[0]])
     z = F.col("level")

@@ -295,9 +295,9 @@ def min_flow_comparison(df: DataFrame, monthly: DataFrame) -> DataFrame:
 
 def wetted_perimeter(df: DataFrame, keys=("section",)) -> DataFrame:
     """Q at the smallest slope dP/dQ of a section's (q, perimeter) points, the first on a tie."""
-    w = W.partitionBy(*keys).orderBy("q")
-    slope = (F.lead("perimeter").over(w) - F.col("perimeter")) / (F.lead("q").over(w) - F.col("q"))
-    d = df.withColumn("slope", slope).filter(F.col("slope").isNotNull())
+    seq = sequence(df.select(*keys, F.col("q").alias("t"), F.col("perimeter").alias("value")), keys, width=1)
+    slope = (F.col("next") - F.col("value")) / (F.col("next_t") - F.col("t"))
+    d = seq.filter(F.col("next_t").isNotNull()).select(*keys, slope.alias("slope"), F.col("t").alias("q"), F.col("value").alias("perimeter"))
     return d.groupBy(*keys).agg(F.min(F.struct("slope", "q", "perimeter")).alias("b")).select(
         *keys, F.col("b.q").alias("q_eco"), F.col("b.perimeter").alias("p_eco"), F.col("b.slope").alias("slope"))
 

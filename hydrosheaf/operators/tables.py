@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hydrosheaf.functions import fixed
 from hydrosheaf.functions.special import lerp
-from hydrosheaf.plans.ordering import quantiles, running, sequence, spread, value_ranks
+from hydrosheaf.plans.ordering import block_of, quantiles, running, sequence, spread, value_ranks
 
 lit = F.lit
 
@@ -117,13 +117,13 @@ def seasonal_snow(df: DataFrame, a: float = 3.5, days: int = 30) -> DataFrame:
 
 # --- events ---------------------------------------------------------------------------------
 def hydrograph_convolution(rain: DataFrame, unit: DataFrame) -> DataFrame:
-    """Rain (event, t, r) through the unit hydrograph (k, u): q_t = sum r u over t = tau + k.
+    """Rain (event, t, r) through the event's unit hydrograph (event, k, u): q_t = sum r u, t = tau + k.
 
-    The unit hydrograph is a short table; each rain row fans out to its ordinates and the sums
-    are formed map-side.
+    A unit hydrograph has a few ordinates; each rain row fans out to them and the sums are
+    formed map-side.  Rain meets the ordinates by (event, time block), so a long event is split.
     """
-    u = unit.agg(F.collect_list(F.struct("k", "u")).alias("us"))
-    d = rain.join(u, lit(True)).select("event", "t", "r", F.explode("us").alias("x"))
+    u = unit.groupBy("event").agg(F.collect_list(F.struct("k", "u")).alias("us"))
+    d = spread(rain.withColumn("blk", block_of(F.col("t"))), u, ["event"]).select("event", "t", "r", F.explode("us").alias("x"))
     return d.groupBy("event", (F.col("t") + F.col("x.k")).alias("t")).agg(F.sum(F.col("r") * F.col("x.u")).alias("q"))
 
 

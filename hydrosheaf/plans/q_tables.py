@@ -115,8 +115,10 @@ UNIT = (0.1, 0.35, 0.3, 0.15, 0.1)
 
 @register("w08_hydrograph_convolution", with_views("hourly") + ", uh(k, u) AS (VALUES " + ", ".join(f"({k}, {u})" for k, u in enumerate(UNIT)) + f") SELECT post AS event, {B('t + k AS t')}, {R('sum(value * u) AS q')} FROM hourly, uh GROUP BY 1, 2")
 def _(s, d):
-    u = s.createDataFrame([(k, float(x)) for k, x in enumerate(UNIT)], "k int, u double")
-    return tables.hydrograph_convolution(view(s, d, "hourly").select(F.col("post").alias("event"), "t", F.col("value").alias("r")), u)
+    rain = view(s, d, "hourly").select(F.col("post").alias("event"), "t", F.col("value").alias("r"))
+    shape = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("u")) for k, x in enumerate(UNIT)]))
+    unit = rain.select("event").distinct().select("event", shape.alias("x")).select("event", "x.k", "x.u")
+    return tables.hydrograph_convolution(rain, unit)
 
 
 @register("w09_flood_volume", with_views("hourly") + f""", n AS (SELECT post, value, lead(value) OVER (PARTITION BY post ORDER BY t) AS nv FROM hourly)

@@ -27,9 +27,10 @@ VIEWS = {
         round(sum(o_totalprice), 2) / 9973 AS value
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""",
     # target post with three analogs: the next three nations, same status
-    "pairs": """pairs AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) || '-' || s AS target,
-        'N' || CAST((n_nationkey + k) % 25 AS VARCHAR) || '-' || s AS analog, CAST(k AS BIGINT) AS k
-        FROM nation, (SELECT DISTINCT o_orderstatus AS s FROM orders), (VALUES (1), (2), (3)) v(k))""",
+    "pairs": """pairs AS (SELECT 'N' || CAST(n AS VARCHAR) || '-' || s AS target,
+        'N' || CAST((n + k) % 25 AS VARCHAR) || '-' || s AS analog, CAST(k AS BIGINT) AS k
+        FROM (SELECT DISTINCT c_nationkey AS n, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey),
+        (VALUES (1), (2), (3)) v(k))""",
     "hourly": """hourly AS (SELECT event_type AS post,
         CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t,
         round(sum(value), 2) / 9.97 AS value FROM events GROUP BY 1, 2)""",
@@ -84,20 +85,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             (F.round(F.sum("o_totalprice"), 2) / 9973).alias("value")
         )
     if name == "pairs":
-        n = table(spark, sf_dir, "nation").select("n_nationkey")
-        s = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s")).distinct()
+        o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
         label = lambda k: F.concat(F.lit("N"), k.cast("string"), F.lit("-"), F.col("s"))
-        # status list (three rows) is attached to every nation through an array
-        sets = s.agg(F.collect_set("s").alias("ss"))
-        return (
-            n.join(sets, F.lit(True))
-            .select("n_nationkey", F.explode("ss").alias("s"))
-            .select("n_nationkey", "s", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-            .select(
-                label(F.col("n_nationkey")).alias("target"),
-                label((F.col("n_nationkey") + F.col("k")) % 25).alias("analog"),
-                F.col("k").cast("bigint").alias("k"),
-            )
+        posts = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("n"), F.col("o_orderstatus").alias("s")).distinct()
+        return posts.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
+            label(F.col("n")).alias("target"),
+            label((F.col("n") + F.col("k")) % 25).alias("analog"),
+            F.col("k").cast("bigint").alias("k"),
         )
     if name == "hourly":
         e = table(spark, sf_dir, "events")

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from hydrosheaf.functions import fixed
 from hydrosheaf.operators.freq import module_quantiles
-from hydrosheaf.operators.stats import annual_runoff_stats, cv_of
+from hydrosheaf.operators.stats import annual_runoff_stats
 from hydrosheaf.plans.carry import compress, scan
 from hydrosheaf.plans.ordering import (
-    BLOCK, block_of, fill_edges, observed, quantiles, rolling, running, sequence, spread, value_ranks,
+    block_of, fill_edges, observed, quantiles, rolling, running, sequence, spread, value_ranks,
 )
 
 

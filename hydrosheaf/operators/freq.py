@@ -13,7 +13,7 @@ from hydrosheaf.functions import fixed
 from hydrosheaf.functions.special import normal_ppf_col, pearson3_z, pearson3_z_col
 from hydrosheaf.operators.stats import annual_runoff_stats, max_runoff_stats, moments, parameters
 from hydrosheaf.plans.ordering import (
-    BLOCK, observed, order_rows, quantiles, running, spread, value_ranks,
+    BLOCK, observed, order_rows, value_ranks,
 )
 
 

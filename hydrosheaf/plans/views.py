@@ -97,7 +97,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         e = table(spark, sf_dir, "events")
         return e.groupBy(
             F.col("event_type").alias("post"),
-            F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("t"),
+            (F.datediff(F.to_date("ts"), F.lit("1970-01-01")) * 24 + F.hour("ts")).cast("bigint").alias("t"),
         ).agg((F.round(F.sum("value"), 2) / 9.97).alias("value"))
     raise KeyError(name)
 

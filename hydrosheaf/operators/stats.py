@@ -220,8 +220,9 @@ def box_stats(df: DataFrame) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = F.col("value")
+    blocks = r.drop("n").withColumn("vb", block_of(F.col("below")))
     return (
-        r.drop("n").join(q, "post")
+        spread(blocks, q, block="vb")
         .groupBy("post", "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(v >= low, v)).alias("whisker_low"), F.max(F.when(v <= high, v)).alias("whisker_high"),

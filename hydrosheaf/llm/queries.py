@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import licenses, mixing, quality, sharding
+from hydrosheaf.llm import decontam, licenses, mixing, quality, sharding, toxicity
 from hydrosheaf.llm.tables import read
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def _license_sql() -> str:
     rows = ", ".join("({}, '{}', {})".format(i, n, "[" + ", ".join(f"'{b}'" for b in licenses._plain_bigrams(t)) + "]") for i, (n, t) in enumerate(licenses.TEMPLATES))
     return f"""
@@ -72,6 +77,28 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
+def _windows_sql(documents: str, benchmark: str) -> str:
+    pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    n = decontam.WINDOW
+    return f"""
+items AS (SELECT item_id, regexp_extract_all({low}, '{pattern}') AS w FROM {benchmark} WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(len(w), {n}) AS k, array_to_string(w[i:i + least(len(w), {n}) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - {n}, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({low}, '{pattern}') AS w FROM {documents}),
+spots AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT r, spots.k, i, item_id FROM spots JOIN windows USING (k, s)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)"""
+
+
+@query("op7_decontamination", f"""WITH {_windows_sql('documents', 'benchmark')}
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""")
+def op7_decontamination(spark, sf_dir):
+    return decontam.digest(decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 _DRAWN = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT / 4294967296.0::DOUBLE AS u{i}" for i in range(mixing.DRAWS))
 _SUMS = ", ".join(f"floor(rate) * any_value(source_size) + sum(CASE WHEN u{i} < part THEN size ELSE 0 END) - any_value(target) AS o{i}" for i in range(mixing.DRAWS))
 _PICK = f"list_position([{', '.join(f'abs(o{i})' for i in range(mixing.DRAWS))}], least({', '.join(f'abs(o{i})' for i in range(mixing.DRAWS))}))"

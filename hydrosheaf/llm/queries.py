@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, quality, sharding, toxicity
+from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, sharding, toxicity
 from hydrosheaf.llm.tables import read
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.joined(read(spark, sf_dir, "documents"))
+
+
 def _license_sql() -> str:
     rows = ", ".join("({}, '{}', {})".format(i, n, "[" + ", ".join(f"'{b}'" for b in licenses._plain_bigrams(t)) + "]") for i, (n, t) in enumerate(licenses.TEMPLATES))
     return f"""

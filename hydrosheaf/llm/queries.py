@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, sharding, toxicity
+from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from hydrosheaf.llm.tables import read
 
 QUERIES = {}
@@ -53,6 +53,11 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 

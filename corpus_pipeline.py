@@ -5,12 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hydrosheaf.llm import mixing, sharding
+from hydrosheaf.llm import decontam, mixing, ngram_join, sharding, toxicity
 from hydrosheaf.llm.tables import read, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+SHINGLE_WORDS = 5
+LEAST_SIMILARITY = 80     # per cent
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs, SHINGLE_WORDS, LEAST_SIMILARITY)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = decontam.removed(docs, read(spark, sf_dir, "benchmark"))
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), "n_chars"))
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
@@ -20,7 +37,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_table(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix), ("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("ngram_join", drop_copies), ("decontamination", drop_benchmark), ("mixing", mix), ("sharding", shard),
+]
 
 # toxicity scores come from a trained model, which SQL cannot express
 ORACLE_SQL = None

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -169,34 +170,39 @@ def matcher(items: list[tuple[object, list[bytes]]], spans: bool = False, window
 
     def run(batches):
         auto = Automaton(items, window)
-        get, size = auto.number.get, max(len(auto.number), 1)
         for batch in batches:
             for part, data, offsets in tb.slices(batch):
-                raw = _lower(data.tobytes())
-                low = np.frombuffer(raw, np.uint8)
-                start, end, text_of = tb.word_spans(low, offsets, GAP)
-                numbers = np.fromiter((get(raw[a:b], -1) for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
-                n_words = np.bincount(text_of, minlength=part.num_rows)
-                first = np.concatenate(([0], np.cumsum(n_words)))
-                # a stretch must not run from one text into the next: cut with an unknown word
-                covered, found = np.zeros(len(numbers), bool), {}
-                for a, b in _within(stretches(numbers, auto.pairs, size, auto.least), first):
-                    doc = int(text_of[a])
-                    auto.hits(numbers[a:b].tolist(), a, covered, found.setdefault(doc, set()))
-                hit = np.add.reduceat(np.append(covered, False).astype(np.int64), first[:-1]) * (n_words > 0)
+                n_words, hit, found, covered = matched(auto, data, offsets, spans)
                 cols = {
                     "doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(hit, pa.int64()),
                     "items": pa.array([sorted(found.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.int64())),
                 }
                 if spans:
-                    cols["spans"] = pa.array(
-                        [_runs(covered[first[i]: first[i + 1]], start[first[i]: first[i + 1]] - offsets[i], end[first[i]: first[i + 1]] - offsets[i]) if hit[i] else []
-                         for i in range(part.num_rows)], pa.list_(pa.list_(pa.int64())))
+                    cols["spans"] = pa.array(covered, pa.list_(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
+def matched(auto: Automaton, data: np.ndarray, offsets: np.ndarray, spans: bool):
+    """Words, hit words, items and covered runs of each text of a slice."""
+    raw = _lower(data.tobytes())
+    start, end, text_of = tb.word_spans(np.frombuffer(raw, np.uint8), offsets, GAP)
+    get, texts = auto.number.get, len(offsets) - 1
+    numbers = np.fromiter((get(raw[a:b], -1) for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
+    n_words = np.bincount(text_of, minlength=texts)
+    first = np.concatenate(([0], np.cumsum(n_words)))
+    covered, found = np.zeros(len(numbers), bool), {}
+    for a, b in _within(stretches(numbers, auto.pairs, max(len(auto.number), 1), auto.least), first):
+        auto.hits(numbers[a:b].tolist(), a, covered, found.setdefault(int(text_of[a]), set()))
+    hit = np.add.reduceat(np.append(covered, False).astype(np.int64), first[:-1]) * (n_words > 0)
+    runs = [
+        _runs(covered[first[i]: first[i + 1]], start[first[i]: first[i + 1]] - offsets[i], end[first[i]: first[i + 1]] - offsets[i]) if hit[i] else []
+        for i in range(texts)
+    ] if spans else []
+    return n_words, hit, found, runs
+
+
 def _within(runs, first: np.ndarray):
     """Cut runs at the first word of a text."""
     for a, b in runs:
@@ -282,43 +288,65 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, least_span: int = LEAST_SPAN, most_covered: float = MOST_COVERED) -> DataFrame:
+def removed(docs: DataFrame, benchmark: DataFrame, least_span: int = LEAST_SPAN, most_covered: float = MOST_COVERED,
+            limit: int = BLOCK_WORDS) -> DataFrame:
     """The decontaminated documents, columns of ``docs``: covered spans of ``least_span`` words or more
-    are cut out; documents whose covered share exceeds ``most_covered`` go, clean ones stay as they are."""
-    names = docs.columns
-    kept = matcher_cut(list(blocks(benchmark, BLOCK_WORDS)), names, least_span, most_covered)
-    out = docs
-    for cut in kept:
-        out = out.mapInArrow(cut, docs.schema)
-    return out
-
-
-def matcher_cut(found: list, names: list[str], least_span: int, most_covered: float) -> list:
-    def cutter(items):
-        def run(batches):
-            find = matcher(items, True)
-            for batch in batches:
-                for part, _, _ in tb.slices(batch):
-                    ids = pa.array(range(part.num_rows), pa.int64())
-                    plain = pa.RecordBatch.from_arrays([ids, part.column("text")], names=["doc_id", "text"])
-                    rows = [r for b in find([plain]) for r in b.to_pylist()]
-                    if not any(r["n_hit"] for r in rows):
-                        yield part
-                        continue
-                    texts, keep = part.column("text").to_pylist(), []
-                    for r in rows:
-                        spans = [s for s in r["spans"] if s[2] >= least_span]
-                        keep.append(r["n_hit"] <= most_covered * r["n_words"] or not r["n_hit"])
-                        if spans:
-                            raw, out, at = texts[r["doc_id"]].encode(), [], 0
-                            for a, b, _ in spans:
-                                out.append(raw[at:a])
-                                at = b
-                            texts[r["doc_id"]] = b"".join([*out, raw[at:]]).decode()
-                    k = part.schema.get_field_index("text")
-                    yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type)).filter(pa.array(keep))
-
-        return run
-
-    return [cutter(b) for b in found]
+    are cut out; documents whose covered share exceeds ``most_covered`` go, clean ones stay as they are.
+
+    With several blocks the spans of a text are united first, under a hash of the text.
+    """
+    found = list(islice(blocks(benchmark, limit), 2))
+    if len(found) < 2:
+        return docs.mapInArrow(cutter(found[0] if found else [], least_span, most_covered), docs.schema)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    spans = contaminated(texts, benchmark, limit).filter("n_hit > 0").select(F.col("doc_id").alias("_key"), F.struct("n_words", "n_hit", "spans").alias("_found"))
+    joined = docs.withColumn("_key", key).join(spans, "_key", "left").drop("_key")
+    return joined.mapInArrow(_cut_joined(least_span, most_covered), docs.schema)
+
+
+def _without(text: str, spans: list, least_span: int) -> str:
+    raw, out, at = text.encode(), [], 0
+    for a, b, n in spans:
+        if n >= least_span:
+            out.append(raw[at:a])
+            at = b
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _stays(n_words: int, n_hit: int, most_covered: float) -> bool:
+    return not n_hit or n_hit <= most_covered * n_words
+
+
+def _with_texts(part: pa.RecordBatch, texts: list, keep: list) -> pa.RecordBatch:
+    k = part.schema.get_field_index("text")
+    return part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type)).filter(pa.array(keep, pa.bool_()))
+
+
+def cutter(items: list, least_span: int = LEAST_SPAN, most_covered: float = MOST_COVERED):
+    """Function for ``mapInArrow`` over documents with any columns: cut or drop contaminated ones."""
 
+    def run(batches):
+        auto = Automaton(items)
+        for batch in batches:
+            for part, data, offsets in tb.slices(batch):
+                n_words, hit, _, runs = matched(auto, data, offsets, True)
+                if not hit.any():
+                    yield part
+                    continue
+                texts = part.column("text").to_pylist()
+                texts = [_without(t, r, least_span) if r else t for t, r in zip(texts, runs)]
+                yield _with_texts(part, texts, [_stays(int(n), int(h), most_covered) for n, h in zip(n_words, hit)])
+
+    return run
+
+
+def _cut_joined(least_span: int, most_covered: float):
+    def run(batches):
+        for batch in batches:
+            found = batch.column("_found").to_pylist()
+            part = batch.select([c for c in batch.schema.names if c != "_found"])
+            texts = [_without(t, f["spans"], least_span) if f else t for t, f in zip(part.column("text").to_pylist(), found)]
+            yield _with_texts(part, texts, [f is None or _stays(f["n_words"], f["n_hit"], most_covered) for f in found])
+
+    return run

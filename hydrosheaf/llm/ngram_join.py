@@ -4,8 +4,8 @@ Shingles are hashed to 64 bits once, in Arrow slices; after that a document is a
 
 1. Equal sets are one class; its smallest doc_id stands for it.
 2. Filter.  A link needs 85 % of the larger set, so at most n - t shingles of a document are
-   unmatched.  Only shingles with a hash below ``SHARE`` of the range are exchanged (all of them for
-   sets so small that this would say little), packed by hash group; all but n - t of a document's must
+   unmatched.  Only shingles with a hash in the lowest 30 % of the range are exchanged (twice the share
+   that may be unmatched; all for sets so small that this would say little), packed by hash group; all but n - t of a document's must
    have met another document.  The threshold is the same for all sizes that can link, so both
    partners exchange what they share below it.  Most documents end here.
 3. Survivors are read once more, as whole sets, and their shingles counted exactly.  Those that no
@@ -37,11 +37,9 @@ from hydrosheaf.llm.tables import components, groups_for, staged
 WORDS = 4              # words of a shingle
 PERCENT = 85           # 100 * intersection >= PERCENT * union
 FREQUENT = 16          # documents that share a shingle from which on it is indexed by pairs
-SHARE = 0.3            # part of the hash range that is exchanged
 SMALL = 64             # sets of at most so many shingles are exchanged whole
 BLOCK = 1500           # members of a bucket that one task compares at a time
 
-_LIMIT = tb.U(int(SHARE * (1 << 64)))
 _SEQ = [tb.U(0x8CB92BA72F3D8DD7), tb.U(0xABCDEF9876543211), tb.U(0xD6E8FEB86659FD93), tb.U(0x9FB21C651E98DF25), tb.U(0xA0761D6478BD642F)]
 U = tb.U
 
@@ -51,6 +49,11 @@ def needed(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def hash_limit(percent: int = PERCENT):
+    """Hashes below it are exchanged: twice the share of a set that a link may leave unmatched."""
+    return U(min(2 * (100 - percent), 99) * ((1 << 64) // 100))
+
+
 def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text of a slice."""
     start, end, text = tb.word_spans(data, offsets)
@@ -83,7 +86,8 @@ _FIRST = "doc_id bigint, n bigint, s1 bigint, s2 bigint, must bigint, met bigint
 
 
 def first_pass(groups: int, words: int, percent: int):
-    """Rows of two kinds: documents (grp null) and packed prefixes per hash group."""
+    """Rows of two kinds: documents (grp null) and packed shingles per hash group."""
+    limit = hash_limit(percent)
 
     def run(batches):
         for batch in batches:
@@ -91,7 +95,7 @@ def first_pass(groups: int, words: int, percent: int):
                 sets = sets_of(data, offsets, words)
                 ids = part.column("doc_id").to_pylist()
                 n = np.array([len(s) for s in sets], np.int64)
-                below = np.array([np.searchsorted(s, _LIMIT) for s in sets], np.int64)
+                below = np.array([np.searchsorted(s, limit) for s in sets], np.int64)
                 take = np.where(n <= SMALL, n, below)
                 count = np.where(100 * n <= percent * SMALL, n, below)      # what every partner exchanges too
                 must = np.maximum(count - (n - needed(n, percent)), 0)

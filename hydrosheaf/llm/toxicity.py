@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa

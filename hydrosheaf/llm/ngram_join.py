@@ -80,108 +80,163 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[n
     return out
 
 
-# ---- 1 and 2: one pass over the texts -------------------------------------------------------
+# ---- 1: facts of every set ------------------------------------------------------------------
 
-_FIRST = "doc_id bigint, n bigint, s1 bigint, s2 bigint, must bigint, met bigint, grp int, tokens binary, ids binary, counts binary"
+_FACTS = "doc_id bigint, n bigint, s1 bigint, s2 bigint, must bigint"
+_PACKS = "grp int, told boolean, tokens binary, ids binary, counts binary"
 
 
-def first_pass(groups: int, words: int, percent: int):
-    """Rows of two kinds: documents (grp null) and packed shingles per hash group."""
+def _sums(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit digests of each set."""
+    s1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    s2 = [int(np.bitwise_xor.reduce(tb.mix(s + U(77))).view(np.int64)) if len(s) else 0 for s in sets]
+    return s1, s2
+
+
+def _counted(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, number of exchanged shingles and number of those that must meet, per set."""
     limit = hash_limit(percent)
+    n = np.array([len(s) for s in sets], np.int64)
+    below = np.array([np.searchsorted(s, limit) for s in sets], np.int64)
+    take = np.where(n <= SMALL, n, below)
+    count = np.where(100 * n <= percent * SMALL, n, below)      # what every partner exchanges too
+    return n, take, np.maximum(count - (n - needed(n, percent)), 0)
+
+
+def facts_of(words: int, percent: int):
+    """(doc_id, text) -> size and digests of each set and how many of its shingles must meet."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in tb.slices(batch.select(["doc_id", "text"])):
+                sets = sets_of(data, offsets, words)
+                n, _, must = _counted(sets, percent)
+                s1, s2 = _sums(sets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, pa.int64()) for c in (n, s1, s2, must)]], names=["doc_id", "n", "s1", "s2", "must"])
+
+    return run
+
+
+# ---- 2: which documents meet others ---------------------------------------------------------
+
+def packs(groups: int, words: int, percent: int):
+    """(doc_id, text) -> exchanged shingles packed by hash group, and what met inside a slice."""
 
     def run(batches):
+        salt = 0
         for batch in batches:
             for part, data, offsets in tb.slices(batch.select(["doc_id", "text"])):
                 sets = sets_of(data, offsets, words)
                 ids = part.column("doc_id").to_pylist()
-                n = np.array([len(s) for s in sets], np.int64)
-                below = np.array([np.searchsorted(s, limit) for s in sets], np.int64)
-                take = np.where(n <= SMALL, n, below)
-                count = np.where(100 * n <= percent * SMALL, n, below)      # what every partner exchanges too
-                must = np.maximum(count - (n - needed(n, percent)), 0)
-                s1 = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-                s2 = [int(np.bitwise_xor.reduce(tb.mix(s + U(77))).view(np.int64)) if len(s) else 0 for s in sets]
-                prefix = [s[:k] for s, k in zip(sets, take)]
-                every = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+                n, take, _ = _counted(sets, percent)
+                every = np.concatenate([s[:k] for s, k in zip(sets, take)])
                 owner = np.repeat(np.arange(len(sets)), take)
-                # equal sets of this slice count once; a shingle met twice here needs no exchange
+                # equal sets of this slice count once
                 twins: dict[tuple, int] = {}
-                lead = np.array([-1 if d is None else twins.setdefault((int(a), b, c), i) for i, (d, a, b, c) in enumerate(zip(ids, n, s1, s2))], np.int64)
+                lead = np.array([-1 if d is None else twins.setdefault(k, i) for i, (d, *k) in enumerate(zip(ids, *_sums(sets))) for k in (tuple(k),)], np.int64)
                 mine = lead[owner] == owner
                 tok, own = every[mine], owner[mine]
+                if not len(tok):
+                    continue
                 order = np.argsort(tok, kind="stable")
-                st = tok[order]
-                new = np.concatenate(([True], st[1:] != st[:-1])) if len(st) else np.zeros(0, bool)
-                size = np.diff(np.append(np.flatnonzero(new), len(st)))
+                tok, own = tok[order], own[order]
+                new = np.concatenate(([True], tok[1:] != tok[:-1]))
+                size = np.diff(np.append(np.flatnonzero(new), len(tok)))
                 twice = np.repeat(size > 1, size)
-                met = np.bincount(own[order][twice], minlength=len(sets))
-                yield _rows(ids, n, s1, s2, must, met)
-                heads = np.concatenate((st[~twice], st[new & twice] if len(st) else st))
-                owners = np.concatenate((own[order][~twice], np.full(int((new & twice).sum()) if len(st) else 0, -1)))
-                yield from _packed(heads, owners, ids, groups)
+                # a shingle met in this slice is told here; one entry without owner travels for the others
+                who = np.array([_NONE if i is None else i for i in ids], np.int64)
+                names = np.where(twice, _NONE, who[own])
+                go = ~twice | new
+                yield _packed(tok[go], names[go], groups)
+                met = np.bincount(own[twice], minlength=len(sets))
+                some = np.flatnonzero(met)
+                if len(some):
+                    salt += 1
+                    yield _pack_rows([(salt % groups, True, b"", who[some].tobytes(), met[some].astype(np.int32).tobytes())])
 
     return run
 
 
-def _rows(ids, n, s1, s2, must, met) -> pa.RecordBatch:
-    k = len(ids)
-    return pa.RecordBatch.from_arrays([
-        pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(must, pa.int64()),
-        pa.array(met, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=_NAMES)
+_NONE = np.iinfo(np.int64).min
 
 
-_NAMES = [c.split()[0] for c in _FIRST.split(", ")]
+def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["grp", "told", "tokens", "ids", "counts"])
 
 
-def _packed(tok: np.ndarray, owner: np.ndarray, ids: list, groups: int):
-    """Six bytes per shingle, grouped by hash; runs of owners; owner -1 (null id) has met before."""
-    if not len(tok):
-        return
+def _packed(tok: np.ndarray, own: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Six bytes per shingle and runs of owners, a row per hash group."""
     grp = (tok % U(groups)).astype(np.int64)
-    order = np.lexsort((owner, grp))
-    tok, owner, grp = tok[order], owner[order], grp[order]
+    order = np.lexsort((own, grp))
+    tok, own, grp = tok[order], own[order], grp[order]
     cut = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
     rows = []
     for a, b in zip(cut, np.append(cut[1:], len(grp))):
-        o = owner[a:b]
+        o = own[a:b]
         run = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
         six = np.ascontiguousarray((tok[a:b] // U(groups) << U(16)).astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-        who = np.array([np.iinfo(np.int64).min if x < 0 else ids[x] for x in o[run]], np.int64)
-        rows.append((int(grp[a]), six.tobytes(), who.tobytes(), np.diff(np.append(run, b - a)).astype(np.int32).tobytes()))
-    k = len(rows)
-    yield pa.RecordBatch.from_arrays([
-        *[pa.nulls(k, pa.int64()) for _ in range(6)], pa.array([r[0] for r in rows], pa.int32()),
-        *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=_NAMES)
+        rows.append((int(grp[a]), False, six.tobytes(), o[run].tobytes(), np.diff(np.append(run, b - a)).astype(np.int32).tobytes()))
+    return _pack_rows(rows)
 
 
 def _meetings(table: pa.Table) -> pa.Table:
     """Documents of a hash group with the number of their shingles that another one has."""
-    tok, own = [], []
-    for t, i, c in zip(*[table.column(x).to_pylist() for x in ("tokens", "ids", "counts")]):
+    tok, own, told, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for ready, t, i, c in zip(*[table.column(x).to_pylist() for x in ("told", "tokens", "ids", "counts")]):
+        who, n = np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)
+        if ready:
+            told.append(who), count.append(n.astype(np.int64))
+            continue
         six = np.frombuffer(t, np.uint8).reshape(-1, 6)
         wide = np.zeros((len(six), 8), np.uint8)
         wide[:, 2:] = six
         tok.append(wide.view(">u8").ravel().astype(np.uint64))
-        own.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)))
+        own.append(np.repeat(who, n))
     tok, own = np.concatenate(tok), np.concatenate(own)
-    order = np.lexsort((own, tok))
+    order = np.argsort(tok, kind="stable")
     tok, own = tok[order], own[order]
-    new = np.concatenate(([True], tok[1:] != tok[:-1]))
+    new = np.concatenate(([True], tok[1:] != tok[:-1]))[: len(tok)]
     size = np.diff(np.append(np.flatnonzero(new), len(tok)))
-    shared = np.repeat(size > 1, size) & (own != np.iinfo(np.int64).min)
-    who, count = np.unique(own[shared], return_counts=True)
-    return pa.table({"doc_id": pa.array(who, pa.int64()), "met": pa.array(count, pa.int64())})
+    shared = np.repeat(size > 1, size) & (own != _NONE)
+    who, n = np.unique(own[shared], return_counts=True)
+    return pa.table({"doc_id": pa.array(np.concatenate((who, *told)), pa.int64()), "met": pa.array(np.concatenate((n, *count)), pa.int64())})
 
 
 # ---- 3: whole sets of the survivors --------------------------------------------------------
 
-def whole_sets(words: int):
+MOST_BITS = 1 << 27     # 16 MB: the largest bitmap that travels to the tasks
+
+
+def bitmap(ids: DataFrame, count: int) -> tuple[bytes, int]:
+    """Bits of hashed ids, sixteen per id up to ``MOST_BITS``; a bound on size, not on what passes.
+
+    It keeps texts that cannot be needed from being read as sets; the join by id still follows,
+    so a bitmap too full to help costs time and loses nothing.
+    """
+    bits = 1 << min(max(16 * count, 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
+    at = F.pmod(F.xxhash64(F.col("node")), F.lit(bits))
+    words = ids.select(F.floor(at / 64).cast("int").alias("w"), (at % 64).cast("int").alias("i")).select(
+        "w", F.expr("shiftleft(1L, i)").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    for r in rows:
+        out[r["w"]] = r["b"]
+    return out.tobytes(), bits
+
+
+def whole_sets(words: int, bits: int, marks):
+    """(doc_id, slot, text) -> sets of the texts whose slot is marked; ``marks`` is a broadcast bitmap."""
+
     def run(batches):
+        marked = np.frombuffer(marks.value, np.uint64)
         for batch in batches:
-            for part, data, offsets in tb.slices(batch.select(["doc_id", "text"])):
+            slot = np.asarray(batch.column("slot")).astype(np.int64)
+            some = batch.filter(pa.array((marked[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1) == 1))
+            for part, data, offsets in tb.slices(some.select(["doc_id", "text"])):
                 sets = sets_of(data, offsets, words)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["node", "tokens"])
 
     return run
@@ -318,18 +373,19 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     groups = groups_for(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    first = staged(texts.mapInArrow(first_pass(groups, words, percent), _FIRST))
-    facts = first.filter("grp IS NULL").select("doc_id", "n", "s1", "s2", "must", "met")
+    facts = staged(texts.mapInArrow(facts_of(words, percent), _FACTS))
     classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.max("must").alias("must"))
-
-    met = first.filter("grp IS NOT NULL").select("grp", "tokens", "ids", "counts").groupBy("grp").applyInArrow(_meetings, "doc_id bigint, met bigint")
-    met = met.union(facts.filter("met > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("met").alias("met"))).groupBy("doc_id").agg(F.sum("met").alias("met"))
+    met = texts.mapInArrow(packs(groups, words, percent), _PACKS).groupBy("grp").applyInArrow(_meetings, "doc_id bigint, met bigint") \
+        .groupBy("doc_id").agg(F.sum("met").alias("met"))
     # a shingle of a class may have been met through any of its members
     seen = facts.filter("n > 0").join(met.withColumnRenamed("met", "m"), "doc_id", "left").groupBy("n", "s1", "s2").agg(F.max(F.coalesce("m", F.lit(0))).alias("m"))
     alive = staged(classes.join(seen, ["n", "s1", "s2"]).filter(F.col("m") >= F.col("must")).select("node", "n"))
 
-    sets = staged(texts.join(alive.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                  .mapInArrow(whole_sets(words), "node bigint, tokens array<bigint>"))
+    marks, bits = bitmap(alive.select("node"), alive.count())
+    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))
+    some = texts.filter("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text") \
+        .mapInArrow(whole_sets(words, bits, spark.sparkContext.broadcast(marks)), "node bigint, tokens array<bigint>")
+    sets = staged(some.join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     shingles = sets.select("node", F.explode("tokens").alias("token"))
     df = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = shingles.join(df, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("p"))

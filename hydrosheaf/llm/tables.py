@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrosheaf.plans.store import shared_folder, staged  # noqa: F401
+
 SPACE = "[\\x20\\x09-\\x0D]"      # white space that separates words
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -21,28 +20,6 @@ def body(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see.
-
-    Only a session whose executors run in this process gets a folder of its own where none is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="hydrosheaf-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write the table to the shared folder and read it back: lineage ends here, sizes are known."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def groups_for(spark: SparkSession) -> int:
     """Number of hash groups for work in Arrow batches: as many as the session has shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

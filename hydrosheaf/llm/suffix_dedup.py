@@ -413,6 +413,7 @@ def cut_out(with_bytes: bool):
 def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the remaining bytes)."""
     groups = groups_for(docs.sparkSession)
+    fine = 4 * groups              # a group of contexts grows in a task to some twenty times its packed size
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body().alias("text"))
     named = rows.filter("doc_id IS NOT NULL")
     same = named.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
@@ -427,7 +428,7 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_list("names").alias("names"))
     )
     spans = (
-        texts.filter("NOT whole").select("doc_id", "text").join(told, "doc_id").mapInArrow(contexts(groups), _CONTEXT)
+        texts.filter("NOT whole").select("doc_id", "text").join(told, "doc_id").mapInArrow(contexts(fine), _CONTEXT)
         .groupBy("grp").applyInArrow(settle, "doc_id bigint, spans binary")
         .groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     )

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 3 << 20
+SLICE = 2 << 20
 U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240607))     # a fixed table, the same in every task

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from hydrosheaf.functions import fixed
 from hydrosheaf.functions.special import (
-    chi2_upper_col, gamma_ppf_col, gammainc_col, kolmogorov_col, lgamma, normal_cdf_col, normal_ppf_col,
+    chi2_upper_col, gamma_ppf_col, gammainc_col, kolmogorov_col, lgamma, normal_cdf_col, normal_ppf_col, pearson3_z,
 )
-from hydrosheaf.operators.freq import pearson3_curve, plotting_positions, probabilities
+from hydrosheaf.operators import likelihood
+from hydrosheaf.operators.freq import l_moments, pearson3_curve, plotting_positions, probabilities
 from hydrosheaf.operators.stats import cv_of, moments, parameters
 from hydrosheaf.plans.ordering import (
-    BLOCK, checkpointed, observed, sequence, spread, value_ranks,
+    BLOCK, observed, sequence, spread, value_ranks,
 )
 
 
@@ -83,173 +84,44 @@ def fitted_quantiles(df: DataFrame, ps=fixed.P_CURVE) -> DataFrame:
         (gamma_ppf_col(F.col("shape"), 1 - F.col("p")) * F.col("scale")).alias("gamma"))
 
 
-# --- likelihood search ----------------------------------------------------------------------
-def _p3_logpdf(x, th):
-    mu, ln_s, cs = th[:, 0:1], th[:, 1:2], np.maximum(th[:, 2:3], 0.02)
-    a = 4 / cs**2
-    b = np.exp(ln_s) / np.sqrt(a)
-    y = x[None, :] - (mu - a * b)
-    with np.errstate(all="ignore"):
-        v = (a - 1) * np.log(y / b) - y / b - lgamma(a) - np.log(b)
-    return np.where(y > 0, v, -1e9)
-
-
-def _gev_logpdf(x, th):
-    mu, ln_s, xi = th[:, 0:1], th[:, 1:2], th[:, 2:3]
-    z = (x[None, :] - mu) / np.exp(ln_s)
-    xi = np.where(np.abs(xi) < 1e-9, 1e-9, xi)
-    t = 1 + xi * z
-    with np.errstate(all="ignore"):
-        v = -ln_s - (1 + 1 / xi) * np.log(t) - np.power(t, -1 / xi)
-    return np.where(t > 0, v, -1e9)
-
-
-def _weibull_logpdf(x, th):
-    k, ln_a = np.exp(th[:, 0:1]), th[:, 1:2]
-    with np.errstate(all="ignore"):
-        u = np.log(x[None, :]) - ln_a
-        v = np.log(k) - ln_a + (k - 1) * u - np.exp(k * u)
-    return np.where(x[None, :] > 0, v, -1e9)
-
-
-# per law: log density, start and half widths from (mean, sd, skew), bounds of the shape
-def _loc_scale_start(mean, sd, cs, shape):
-    return np.array([mean, np.log(sd), shape]), np.array([0.6 * sd, 0.5, 0.9])
-
-
-_LAWS = {
-    "pearson3": (_p3_logpdf, lambda m, s, c: _loc_scale_start(m, s, c, min(max(c, 0.1), 1.8)), (2, 0.02, 2.0)),
-    "gev": (_gev_logpdf, lambda m, s, c: (np.array([m - 0.45 * s, np.log(0.78 * s), 0.0]), np.array([0.6 * s, 0.5, 0.5])), (2, -1.0, 1.0)),
-    "weibull": (_weibull_logpdf, lambda m, s, c: (np.array([np.log(max((s / m) ** -1.086, 0.1)), np.log(m)]), np.array([0.6, 0.4])), None),
-}
-_ZOOM, _ROUNDS = 0.62, 40
-
-
-def _candidates(law, centre, width):
-    """Five values per parameter around the centre."""
-    axes = [c + w * np.linspace(-1, 1, 5) for c, w in zip(centre, width)]
-    grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(centre))
-    bound = _LAWS[law][2]
-    if bound:
-        j, lo, hi = bound
-        grid[:, j] = np.clip(grid[:, j], lo, hi)
-    return grid
-
-
-def fit_by_likelihood(df: DataFrame, law: str, limit: int = BLOCK) -> DataFrame:
-    """Maximum likelihood by a shrinking grid: ``theta`` (array) and ``loglik`` per post.
-
-    Posts of at most ``limit`` rows are searched inside one Arrow call.  For longer posts each
-    round scores the candidates block by block, sums the log-likelihoods per (post, candidate)
-    and moves the grid; only the small state table lives between rounds.
-    """
-    logpdf, start, _ = _LAWS[law]
-    floor = 5 if law == "pearson3" else 10
-    obs = sequence(observed(df)).select("post", "value", "i", "n").filter(F.col("n") >= floor)
-    m = moments(df).filter((F.col("n") >= floor) & (F.col("std") > 0)).select("post", "mean", "std", "cs")
-    packed = obs.groupBy("post", "n", F.floor((F.col("i") - 1) / limit).alias("ob")).agg(F.collect_list("value").alias("a"))
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def search(a: pd.Series, mean: pd.Series, std: pd.Series, cs: pd.Series) -> pd.Series:
-        out = []
-        for x, mu, sd, c in zip(a, mean, std, cs):
-            x = np.asarray(x, float)
-            centre, width = start(mu, sd, 0.0 if c is None or np.isnan(c) else c)
-            best = -np.inf
-            for _ in range(_ROUNDS):
-                g = _candidates(law, centre, width)
-                ll = logpdf(x, g).sum(axis=1)
-                j = int(np.argmax(ll))
-                if ll[j] >= best:
-                    best, centre = ll[j], g[j]
-                width = width * _ZOOM
-            out.append([best, *centre])
-        return pd.Series(out)
-
-    small = packed.filter(F.col("n") <= limit).join(m, "post").select("post", "n", search("a", "mean", "std", "cs").alias("r"))
-    big = packed.filter(F.col("n") > limit)
-    result = small
-    if not big.isEmpty():
-        result = small.unionByName(_search_blocks(big, m, law))
-    return result.select("post", "n", F.slice("r", 2, 9).alias("theta"), F.col("r")[0].alias("loglik"))
-
-
-def _search_blocks(big: DataFrame, m: DataFrame, law: str) -> DataFrame:
-    logpdf, start, _ = _LAWS[law]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def begin(mean: pd.Series, std: pd.Series, cs: pd.Series) -> pd.Series:
-        rows = [start(a, b, 0.0 if c is None or np.isnan(c) else c) for a, b, c in zip(mean, std, cs)]
-        return pd.Series([[-1e300, *c, *w] for c, w in rows])
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(a: pd.Series, state: pd.Series) -> pd.Series:
-        out = []
-        for x, s in zip(a, state):
-            s = np.asarray(s, float)[1:]
-            k = len(s) // 2
-            out.append(logpdf(np.asarray(x, float), _candidates(law, s[:k], s[k:])).sum(axis=1))
-        return pd.Series(out)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def move(state: pd.Series, j: pd.Series, ll: pd.Series) -> pd.Series:
-        out = []
-        for s, jj, v in zip(state, j, ll):
-            s = np.asarray(s, float)
-            k = (len(s) - 1) // 2
-            best, centre, width = s[0], s[1:k + 1], s[k + 1:]
-            if v >= best:
-                best, centre = v, _candidates(law, centre, width)[int(jj)]
-            out.append([best, *centre, *(width * _ZOOM)])
-        return pd.Series(out)
-
-    sizes = big.groupBy("post").agg(F.max("n").alias("n"))
-    state = checkpointed(m.join(sizes, "post").select("post", "n", begin("mean", "std", "cs").alias("state")))
-    for _ in range(_ROUNDS):
-        # (post, block) rows meet the state through their block list, never the post as one group
-        s = spread(big.drop("n"), state.drop("n"), block="ob").select("post", score("a", "state").alias("ll"))
-        s = s.select("post", F.posexplode("ll").alias("j", "ll")).groupBy("post", "j").agg(F.sum("ll").alias("ll"))
-        best = s.groupBy("post").agg(F.max(F.struct("ll", "j")).alias("b"))
-        state = checkpointed(state.join(best, "post").select(
-            "post", "n", move("state", F.col("b.j").cast("double"), F.col("b.ll")).alias("state")))
-    k = F.floor((F.size("state") - 1) / 2).cast("int")
-    return state.select("post", "n", F.slice("state", F.lit(1), k + 1).alias("r"))
-
-
+# --- likelihood fits ------------------------------------------------------------------------
 def criteria(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("aic", 2.0 * k - 2 * F.col("loglik")).withColumn("bic", k * F.log("n") - 2 * F.col("loglik"))
 
 
-def fit_pearson3(df: DataFrame) -> DataFrame:
+FLAGS = ("converged", "at_bound")
+
+
+def fit_pearson3(df: DataFrame, bounds=None) -> DataFrame:
     t = F.col("theta")
-    return criteria(fit_by_likelihood(df, "pearson3"), 3).select(
-        "post", "n", t[0].alias("mean"), (F.exp(t[1]) / F.abs(t[0])).alias("cv"), F.greatest(t[2], F.lit(0.02)).alias("cs"), "loglik", "aic", "bic")
+    return criteria(likelihood.fit(df, "pearson3", bounds, least=5), 3).select(
+        "post", "n", t[0].alias("mean"), (F.exp(t[1]) / F.abs(t[0])).alias("cv"), t[2].alias("cs"), "loglik", "aic", "bic", *FLAGS)
 
 
-def fit_log_pearson3(df: DataFrame) -> DataFrame:
+def fit_log_pearson3(df: DataFrame, bounds=None) -> DataFrame:
     """Pearson III of ln x (positive values); criteria on the scale of x."""
     logs = observed(df).filter(F.col("value") > 0).withColumn("value", F.log("value"))
     jac = logs.groupBy("post").agg(F.sum("value").alias("_j"))
     t = F.col("theta")
-    d = fit_by_likelihood(logs, "pearson3").join(jac, "post").withColumn("loglik", F.col("loglik") - F.col("_j"))
+    d = likelihood.fit(logs, "pearson3", bounds, least=5).join(jac, "post").withColumn("loglik", F.col("loglik") - F.col("_j"))
     s2 = F.exp(2 * t[1])
     return criteria(d, 3).select(
-        "post", "n", t[0].alias("mean_log"), (F.exp(t[1]) / F.abs(t[0])).alias("cv_log"), F.greatest(t[2], F.lit(0.02)).alias("cs_log"),
-        F.exp(t[0] + 0.5 * s2).alias("mean_original"), F.sqrt(F.exp(s2) - 1).alias("cv_original"), "loglik", "aic", "bic")
+        "post", "n", t[0].alias("mean_log"), (F.exp(t[1]) / F.abs(t[0])).alias("cv_log"), t[2].alias("cs_log"),
+        F.exp(t[0] + 0.5 * s2).alias("mean_original"), F.sqrt(F.exp(s2) - 1).alias("cv_original"), "loglik", "aic", "bic", *FLAGS)
 
 
-def fit_gev(df: DataFrame) -> DataFrame:
+def fit_gev(df: DataFrame, bounds=None) -> DataFrame:
     t = F.col("theta")
-    return criteria(fit_by_likelihood(df, "gev"), 3).select(
-        "post", "n", t[2].alias("shape_xi"), t[0].alias("location"), F.exp(t[1]).alias("scale"), "loglik", "aic", "bic")
+    return criteria(likelihood.fit(df, "gev", bounds), 3).select(
+        "post", "n", t[2].alias("shape_xi"), t[0].alias("location"), F.exp(t[1]).alias("scale"), "loglik", "aic", "bic", *FLAGS)
 
 
 def fit_weibull(df: DataFrame) -> DataFrame:
     """Location fixed at zero, as in the reference; two free parameters are counted."""
     t = F.col("theta")
     pos = observed(df).filter(F.col("value") > 0)
-    return criteria(fit_by_likelihood(pos, "weibull"), 2).select(
-        "post", "n", F.exp(t[0]).alias("shape"), F.exp(t[1]).alias("scale"), F.lit(0.0).alias("location"), "loglik", "aic", "bic")
+    return criteria(likelihood.fit(pos, "weibull"), 2).select(
+        "post", "n", F.exp(t[0]).alias("shape"), F.exp(t[1]).alias("scale"), F.lit(0.0).alias("location"), "loglik", "aic", "bic", *FLAGS)
 
 
 def _simple_criteria(df: DataFrame) -> DataFrame:
@@ -264,21 +136,52 @@ def _simple_criteria(df: DataFrame) -> DataFrame:
 
 
 def compare_laws(df: DataFrame) -> DataFrame:
-    """All laws of a post ranked by AIC."""
+    """Laws of a post ranked by AIC; only laws fitted to all of its values are ranked."""
     from pyspark.sql import Window as W
 
     take = lambda d, name: d.select("post", "n", F.lit(name).alias("law"), "loglik", "aic", "bic")
     u = take(fit_pearson3(df), "pearson3").unionByName(take(fit_log_pearson3(df), "log_pearson3")).unionByName(
         take(fit_gev(df), "gev")).unionByName(take(fit_weibull(df), "weibull")).unionByName(_simple_criteria(df))
+    every = observed(df).groupBy("post").agg(F.count(F.lit(1)).alias("n"))
+    u = u.join(every, ["post", "n"], "left_semi")      # a law of positive values alone has another sample
     return u.withColumn("rank", F.row_number().over(W.partitionBy("post").orderBy("aic", "law")))  # six rows per post
 
 
 # --- goodness of fit ------------------------------------------------------------------------
+LAWS = ("normal", "lognormal", "gamma", "pearson3", "gev")
+
+
+def law_fits(df: DataFrame, law: str) -> DataFrame:
+    """Parameters of the law per post: closed forms, Pearson III by moments, GEV by L-moments."""
+    if law not in LAWS:
+        raise ValueError(f"unknown law {law!r}; known: {', '.join(LAWS)}")
+    f = simple_fits(df)
+    if law == "pearson3":
+        return f.join(moments(df).select("post", "mean", "std", "cs"), "post")
+    if law == "gev":
+        lm = l_moments(df)
+        c = 2 / (3 + F.col("tau3")) - float(np.log(2) / np.log(3))
+        k = 7.859 * c + 2.9554 * c * c
+        g = F.exp(lgamma_col(1 + F.col("k")))
+        scale = F.col("lambda2") * F.col("k") / ((1 - F.pow(F.lit(2.0), -F.col("k"))) * g)
+        lm = lm.withColumn("k", k).withColumn("alpha", scale).withColumn("xi0", F.col("lambda1") - F.col("alpha") * (1 - g) / F.col("k"))
+        return f.join(lm.select("post", "k", "alpha", "xi0"), "post")
+    return f
+
+
 def law_cdf(x: Column, law: str, sd="sigma") -> Column:
     if law == "normal":
         return normal_cdf_col((x - F.col("mu")) / F.col(sd))
     if law == "lognormal":
         return F.when(x > 0, normal_cdf_col((F.log(F.when(x > 0, x)) - F.col("mu_ln")) / F.col("sigma_ln"))).otherwise(F.lit(0.0))
+    if law == "pearson3":
+        a = 4 / (F.col("cs") * F.col("cs"))
+        y = F.signum("cs") * (x - F.col("mean")) / F.col("std") * F.sqrt(a) + a
+        low = F.when(y > 0, gammainc_col(a, F.greatest(y, F.lit(1e-300)))).otherwise(F.lit(0.0))
+        return F.when(F.abs("cs") < 1e-6, normal_cdf_col((x - F.col("mean")) / F.col("std"))).when(F.col("cs") > 0, low).otherwise(1 - low)
+    if law == "gev":
+        t = 1 - F.col("k") * (x - F.col("xi0")) / F.col("alpha")
+        return F.when(t > 0, F.exp(-F.pow(t, 1 / F.col("k")))).otherwise(F.when(F.col("k") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return F.when(x > 0, gammainc_col(F.col("shape"), x / F.col("scale"))).otherwise(F.lit(0.0))
 
 
@@ -287,15 +190,24 @@ def law_ppf(p: Column, law: str) -> Column:
         return F.col("mu") + F.col("sigma") * normal_ppf_col(p)
     if law == "lognormal":
         return F.exp(F.col("mu_ln") + F.col("sigma_ln") * normal_ppf_col(p))
+    if law == "pearson3":
+        return F.col("mean") + F.col("std") * pearson3_col(1 - p, F.col("cs"))
+    if law == "gev":
+        return F.col("xi0") + F.col("alpha") / F.col("k") * (1 - F.pow(-F.log(p), F.col("k")))
     return gamma_ppf_col(F.col("shape"), p) * F.col("scale")
 
 
-def goodness_of_fit(df: DataFrame, law="normal") -> DataFrame:
+@F.pandas_udf(T.DoubleType())
+def pearson3_col(p_exceed: pd.Series, cs: pd.Series) -> pd.Series:
+    return pd.Series(pearson3_z(p_exceed.to_numpy(float), cs.to_numpy(float)))
+
+
+def goodness_of_fit(df: DataFrame, law="pearson3") -> DataFrame:
     """KS, Anderson-Darling and chi-square against the fitted law.
 
     The AD form of the normal law uses the sample deviation; KS p is the large-sample one.
     """
-    f = simple_fits(df)
+    f = law_fits(df, law)
     r = value_ranks(df).withColumn("vb", F.floor(F.col("below") / BLOCK).cast("bigint"))
     d = spread(r.drop("n"), f, block="vb").withColumn("F", law_cdf(F.col("value"), law))
     d = d.withColumn("A", law_cdf(F.col("value"), law, "sd") if law == "normal" else F.col("F"))
@@ -330,14 +242,14 @@ def qq_points(df: DataFrame, law="normal") -> DataFrame:
     """Sorted observations against fitted quantiles at i/(n+1)."""
     rows = plotting_positions(df, ("weibull",))
     rows = rows.withColumn("i", F.col("n") + 1 - F.col("m")).withColumn("ib", F.floor(F.col("m") / BLOCK).cast("bigint"))
-    d = spread(rows.drop("n"), simple_fits(df), block="ib")
+    d = spread(rows.drop("n"), law_fits(df, law), block="ib")
     return d.select("post", "i", F.col("value").alias("empirical"), law_ppf(F.col("i") / (F.col("n") + 1), law).alias("theoretical"))
 
 
 def pp_points(df: DataFrame, law="normal") -> DataFrame:
     rows = plotting_positions(df, ("weibull",))
     rows = rows.withColumn("i", F.col("n") + 1 - F.col("m")).withColumn("ib", F.floor(F.col("m") / BLOCK).cast("bigint"))
-    d = spread(rows.drop("n"), simple_fits(df), block="ib")
+    d = spread(rows.drop("n"), law_fits(df, law), block="ib")
     return d.select("post", "i", (F.col("i") / (F.col("n") + 1)).alias("p_empirical"), law_cdf(F.col("value"), law).alias("p_theoretical"))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from hydrosheaf.functions.special import normal_cdf_col, t_critical_col, t_two_sided_col
 from hydrosheaf.plans.ordering import (
-    BLOCK, checkpointed, fits_one_task, observed, quantiles, running, sequence, value_ranks, with_ranks,
+    BLOCK, observed, quantiles, running, sequence, value_ranks, with_ranks,
 )
+from hydrosheaf.plans.store import staged
 
 
 def linear_trend(df: DataFrame) -> DataFrame:
@@ -79,13 +80,9 @@ def sign_sum(df: DataFrame, side: int | None = None) -> DataFrame:
     counts of the tile grid.
     """
     seq = sequence(observed(df)).select("post", "t", "value", "i", "n", "blk")
-    if side is None and fits_one_task(df):
-        one = seq.groupBy("post").agg(F.collect_list(F.struct("i", "value")).alias("a"))
-        ones = F.transform("a", lambda _: F.lit(1.0))
-        return one.select("post", _pair_sign(F.col("a.i"), F.col("a.value"), ones).alias("s"))
     w = F.greatest(F.lit(side or BLOCK), F.ceil(F.sqrt("n"))).cast("bigint")
     d = with_ranks(seq).withColumn("w", w)
-    d = d.withColumn("tb", F.floor((F.col("i") - 1) / F.col("w"))).withColumn("vb", F.floor(F.col("below") / F.col("w")))
+    d = staged(d.withColumn("tb", F.floor((F.col("i") - 1) / F.col("w"))).withColumn("vb", F.floor(F.col("below") / F.col("w"))))
     # pairs inside one time tile
     a = d.groupBy("post", "tb").agg(F.collect_list(F.struct("i", "value")).alias("a"))
     ones = F.transform("a", lambda _: F.lit(1.0))
@@ -164,7 +161,7 @@ def median_slopes(df: DataFrame, limit: int = 2048, rounds: int = 64) -> DataFra
         "post", "lo", "hi", pairs.alias("pairs"),
         F.explode(F.array(F.floor((pairs + 1) / 2), F.floor((pairs + 2) / 2))).alias("k"),
     ).distinct()
-    state = checkpointed(state)
+    state = staged(state)
     for _ in range(rounds):
         s = state.withColumn("mid", (F.col("lo") + F.col("hi")) / 2).withColumn("id", F.concat_ws("\x01", "post", "k"))
         tilted = obs.join(s, "post").select(
@@ -172,7 +169,7 @@ def median_slopes(df: DataFrame, limit: int = 2048, rounds: int = 64) -> DataFra
         )
         less = sign_sum(tilted).select(F.col("post").alias("id"), F.col("s").alias("_s"))
         low = (F.col("pairs") - F.col("_s")) / 2 >= F.col("k")
-        state = checkpointed(s.join(less, "id").select(
+        state = staged(s.join(less, "id").select(
             "post", F.when(low, F.col("lo")).otherwise(F.col("mid")).alias("lo"),
             F.when(low, F.col("mid")).otherwise(F.col("hi")).alias("hi"), "pairs", "k",
         ))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrosheaf.plans.ordering import BLOCK as BLOCK_ROWS
-from hydrosheaf.plans.ordering import fits_one_task
+from hydrosheaf.plans.store import staged
 
 _D = T.ArrayType(T.DoubleType())
 
@@ -47,44 +47,40 @@ def scan(rows: DataFrame, summary, run, first: float, cols=("x", "y")) -> DataFr
     ``summary(x, y)`` gives (thresholds, results, (p, q, r)) of a block; ``run(s, x, y)`` the
     states inside it.  ``first`` is the state before the first row.
     """
-    blk = F.lit(0).cast("bigint") if fits_one_task(rows) else F.floor((F.col("i") - 1) / BLOCK_ROWS).cast("bigint")
-    one = fits_one_task(rows)
-    packed = rows.groupBy("post", blk.alias("ob")).agg(F.sort_array(F.collect_list(F.struct("i", *cols))).alias("a"))
+    blk = F.floor((F.col("i") - 1) / BLOCK_ROWS).cast("bigint")
+    packed = staged(rows.groupBy("post", blk.alias("ob")).agg(F.sort_array(F.collect_list(F.struct("i", *cols))).alias("a")))
     x, y = F.col(f"a.{cols[0]}"), F.col(f"a.{cols[1]}")
 
     @F.pandas_udf(_D)
     def go(s: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([run(a, np.asarray(b, float), np.asarray(c, float)) for a, b, c in zip(s, xs, ys)])
 
-    if one:
-        d = packed.withColumn("_s", F.lit(float(first)))
-    else:
-        @F.pandas_udf(T.ArrayType(_D))
-        def summarise(xs: pd.Series, ys: pd.Series) -> pd.Series:
-            out = []
-            for a, b in zip(xs, ys):
-                th, res, tail = summary(np.asarray(a, float), np.asarray(b, float))
-                out.append([list(map(float, th)), list(map(float, res)), list(map(float, tail))])
-            return pd.Series(out)
-
-        @F.pandas_udf(_D)
-        def chain(th: pd.Series) -> pd.Series:
-            out = []
-            for blocks in th:
-                s, before = float(first), []
-                for t, o, tail in blocks:
-                    before.append(s)
-                    s = follow(s, np.asarray(t, float), o, tail)
-                out.append(before)
-            return pd.Series(out)
-
-        summed = packed.select("post", "ob", summarise(x, y).alias("f"))
-        # one summary per block and post: a directory, not the rows
-        dirs = summed.groupBy("post").agg(F.sort_array(F.collect_list(F.struct("ob", "f"))).alias("d"))
-        dirs = dirs.select("post", F.col("d.ob").alias("obs"), chain(F.col("d.f")).alias("ss"))
-        dirs = dirs.select("post", F.explode(F.arrays_zip("obs", "ss")).alias("z")).select(
-            "post", F.col("z.obs").alias("ob"), F.col("z.ss").alias("_s"))
-        d = packed.join(dirs, ["post", "ob"])
+    @F.pandas_udf(T.ArrayType(_D))
+    def summarise(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(xs, ys):
+            th, res, tail = summary(np.asarray(a, float), np.asarray(b, float))
+            out.append([list(map(float, th)), list(map(float, res)), list(map(float, tail))])
+        return pd.Series(out)
+
+    @F.pandas_udf(_D)
+    def chain(th: pd.Series) -> pd.Series:
+        out = []
+        for blocks in th:
+            s, before = float(first), []
+            for t, o, tail in blocks:
+                before.append(s)
+                s = follow(s, np.asarray(t, float), o, tail)
+            out.append(before)
+        return pd.Series(out)
+
+    summed = packed.select("post", "ob", summarise(x, y).alias("f"))
+    # one summary per block and post: a directory, not the rows
+    dirs = summed.groupBy("post").agg(F.sort_array(F.collect_list(F.struct("ob", "f"))).alias("d"))
+    dirs = dirs.select("post", F.col("d.ob").alias("obs"), chain(F.col("d.f")).alias("ss"))
+    dirs = dirs.select("post", F.explode(F.arrays_zip("obs", "ss")).alias("z")).select(
+        "post", F.col("z.obs").alias("ob"), F.col("z.ss").alias("_s"))
+    d = packed.join(dirs, ["post", "ob"])
     d = d.select("post", F.col("a.i").alias("is"), go("_s", x, y).alias("vs"))
     return d.select("post", F.explode(F.arrays_zip("is", "vs")).alias("z")).select(
         "post", F.col("z.is").alias("i"), F.col("z.vs").alias("state"))

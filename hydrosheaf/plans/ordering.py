@@ -7,9 +7,8 @@ hence repeatable, sample).  A *directory* with one row per (post, block) carries
 block must know of its predecessors (row count, running sum, edge values).  Rows meet the
 directory on (post, block), the same key the in-block window needs: one shuffle of the rows.
 
-Where the optimizer's size estimate proves that the whole table fits one task
-(``hydrosheaf.oneTaskBytes``, 64 MB unless set; 0 switches it off), no post can be too large
-and the plain window over the post is used instead.  Both ways give the same rows.
+Operators that read their rows twice (directory and join) hold them as a table in the shared
+folder first, so a chain of operators stays a chain and is not planned again for every branch.
 """
 
 from __future__ import annotations
@@ -20,34 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hydrosheaf.plans.store import held
+
 # time steps per block, and distinct values of one group above which value blocks are cut;
 # the environment variables exist so that tests can force many blocks on small data
 BLOCK = int(os.environ.get("HYDROSHEAF_BLOCK", 4096))
 VALUE_BLOCK = int(os.environ.get("HYDROSHEAF_VALUE_BLOCK", 1 << 17))
-CUTS = 256            # most cut points of one group
+LANES = 64            # hash lanes of a post where rows have no block of their own
 
 _before = (W.unboundedPreceding, -1)
 _upto = (W.unboundedPreceding, 0)
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the estimated size of the table, hence of any one post, is below the bound.
-
-    Plans that multiply rows (explode, Python groups) have no usable estimate and count as large.
-    """
-    limit = int(df.sparkSession.conf.get("hydrosheaf.oneTaskBytes", str(64 << 20)))
-    if limit <= 0:
-        return False
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if "Generate" in text or "InPandas" in text:
-        return False
-    try:
-        return int(str(plan.stats().sizeInBytes())) <= limit
-    except ValueError:  # an estimate of thousands of digits: nested joins without statistics
-        return False
-
-
 def tidy(df: DataFrame, post="post", t="t", value="value") -> DataFrame:
     """Fixed series schema; NaN becomes NULL so that aggregates skip it."""
     v = F.col(value).cast("double")
@@ -69,8 +52,7 @@ def block_of(t: Column, width: int = BLOCK) -> Column:
 def spread(rows: DataFrame, facts: DataFrame, keys=("post",), block="blk", how="inner") -> DataFrame:
     """Join per-post facts onto rows by (post, block), so a large post stays split."""
     keys = list(keys)
-    if fits_one_task(rows):
-        return rows.join(facts, keys, how)
+    rows = held(rows)
     blocks = rows.select(*keys, block).distinct().join(facts, keys, how)
     return rows.join(blocks, [*keys, block])
 
@@ -83,21 +65,7 @@ def sequence(df: DataFrame, keys=("post",), width: int = BLOCK) -> DataFrame:
     pruned by Catalyst together with their window expressions.
     """
     keys = list(keys)
-    d = df.withColumn("blk", block_of(F.col("t"), width))
-    if fits_one_task(df):
-        w = W.partitionBy(*keys).orderBy("t")
-        every = W.partitionBy(*keys)
-        return d.select(
-            *d.columns,
-            F.row_number().over(w).cast("bigint").alias("i"),
-            F.count(F.lit(1)).over(every).alias("n"),
-            F.sum("value").over(every).alias("total"),
-            F.lag("value").over(w).alias("prev"),
-            F.lag("t").over(w).alias("prev_t"),
-            F.lead("value").over(w).alias("next"),
-            F.lead("t").over(w).alias("next_t"),
-            F.coalesce(F.sum("value").over(w.rowsBetween(*_upto)), F.lit(0.0)).alias("run"),
-        )
+    d = held(df.withColumn("blk", block_of(F.col("t"), width)))
     heads = d.groupBy(*keys, "blk").agg(
         F.count(F.lit(1)).alias("_c"),
         F.sum("value").alias("_s"),
@@ -137,10 +105,7 @@ def sequence(df: DataFrame, keys=("post",), width: int = BLOCK) -> DataFrame:
 def running(df: DataFrame, x: Column, name: str, keys=("post",), order="t", block="blk") -> DataFrame:
     """Running sum of ``x`` in ``order`` over blocked rows (``block`` must follow ``order``)."""
     keys = list(keys)
-    if fits_one_task(df):
-        w = W.partitionBy(*keys).orderBy(order).rowsBetween(*_upto)
-        return df.withColumn(name, F.coalesce(F.sum(x).over(w), F.lit(0)))
-    d = df.withColumn("_x", x)
+    d = held(df.withColumn("_x", x))
     heads = d.groupBy(*keys, block).agg(F.sum("_x").alias("_s"))
     dirs = heads.select(
         *keys,
@@ -159,12 +124,7 @@ def running(df: DataFrame, x: Column, name: str, keys=("post",), order="t", bloc
 def fill_edges(df: DataFrame, x: Column, keys=("post",), order="t", block="blk") -> DataFrame:
     """Last non-null ``x`` at or before the row and first at or after it: ``left``, ``right``."""
     keys = list(keys)
-    if fits_one_task(df):
-        w = W.partitionBy(*keys).orderBy(order)
-        return df.withColumn("left", F.last(x, True).over(w.rowsBetween(*_upto))).withColumn(
-            "right", F.first(x, True).over(w.rowsBetween(0, W.unboundedFollowing))
-        )
-    d = df.withColumn("_x", x)
+    d = held(df.withColumn("_x", x))
     heads = d.groupBy(*keys, block).agg(
         F.max(F.when(F.col("_x").isNotNull(), F.struct(order, "_x"))).alias("_l"),
         F.min(F.when(F.col("_x").isNotNull(), F.struct(order, "_x"))).alias("_f"),
@@ -197,9 +157,6 @@ def rolling(seq: DataFrame, rows: int, aggs: dict[str, Column], keys=("post",),
     local to (post, block).  ``full`` tells whether the frame has all its rows.
     """
     keys = list(keys)
-    if fits_one_task(seq):
-        w = W.partitionBy(*keys).orderBy("i").rowsBetween(-(rows - 1), 0)
-        return seq.select("*", *[c.over(w).alias(k) for k, c in aggs.items()]).withColumn("full", F.col("i") >= rows)
     own = F.floor((F.col("i") - 1) / F.lit(width))
     last = F.floor((F.col("i") - 2 + F.lit(rows)) / F.lit(width))
     d = seq.withColumn("_own", own).withColumn("_in", F.explode(F.sequence(own, last)))
@@ -216,28 +173,25 @@ def histogram(df: DataFrame, keys=("post",), value="value") -> DataFrame:
 def ranks_of(hist: DataFrame, keys=("post",), value="value", limit: int | None = None) -> DataFrame:
     """``below``, ``upto`` (counts of smaller / not larger rows) and ``n`` per distinct value."""
     keys = list(keys)
-    if limit is None and fits_one_task(hist):
-        w = W.partitionBy(*keys).orderBy(value).rowsBetween(*_upto)
-        return (
-            hist.withColumn("upto", F.sum("c").over(w))
-            .withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
-            .select(*keys, value, "c", (F.col("upto") - F.col("c")).alias("below"), "upto", "n")
-        )
     limit = limit or VALUE_BLOCK
+    hist = hist.withColumn("_lane", F.pmod(F.xxhash64(*keys, value), F.lit(LANES)).cast("int"))
     sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > limit)
-    pieces = F.least(F.lit(CUTS), F.ceil(F.col("_m") / F.lit(limit)) + 1)
+    pieces = F.ceil(F.col("_m") / F.lit(limit)) + 1
     draw = F.pmod(F.xxhash64(*keys, value), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = hist.join(sizes, keys).filter(draw < pieces * 8 / F.col("_m"))
-    # a sample of about eight values per piece: bounded by the cut count, same on every run
+    # a sample of about eight values per piece, the same on every run
     cuts = (
-        sample.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(value)).alias("_s"))
+        spread(hist, sizes, keys, "_lane").filter(draw < pieces * 8 / F.col("_m"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s"))
         .select(*keys, F.filter("_s", lambda x, j: (j % 8) == 7).alias("_cuts"))
+        .withColumn("_g", F.greatest(F.ceil(F.sqrt(F.size("_cuts"))).cast("int"), F.lit(1)))
+        .withColumn("_coarse", F.filter("_cuts", lambda x, j: (j % F.col("_g")) == F.col("_g") - 1))
     )
-    cut = hist.join(cuts, keys, "left").withColumn(
-        "vblk",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)),
-    ).withColumn("vblk", F.greatest("vblk", F.lit(0)))
+    # cut points at or below the value: first among every _g-th, then among the _g after the last of those
+    far = F.size(F.filter("_coarse", lambda c: c <= F.col(value))) * F.col("_g")
+    near = F.size(F.filter(F.slice("_cuts", F.col("_far") + 1, F.col("_g")), lambda c: c <= F.col(value)))
+    cut = spread(hist, cuts, keys, "_lane", "left").withColumn("_far", far).withColumn(
+        "vblk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("_far") + near)
+    ).drop("_lane", "_cuts", "_coarse", "_g", "_far")
     heads = cut.groupBy(*keys, "vblk").agg(F.sum("c").alias("_b"))
     dirs = heads.select(
         *keys,
@@ -264,15 +218,7 @@ def with_ranks(df: DataFrame, keys=("post",), limit: int | None = None) -> DataF
     The join key contains the time block, so one frequent value does not make one task large.
     """
     keys = list(keys)
-    if limit is None and fits_one_task(df):
-        w = W.partitionBy(*keys).orderBy("value")
-        return (
-            df.drop("n").filter(F.col("value").isNotNull())
-            .withColumn("below", F.rank().over(w).cast("bigint") - 1)
-            .withColumn("c", F.count(F.lit(1)).over(W.partitionBy(*keys, "value")))
-            .withColumn("upto", F.col("below") + F.col("c"))
-            .withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-        )
+    df = held(df)
     cells = df.filter(F.col("value").isNotNull()).groupBy(*keys, "value", "blk").agg(F.count(F.lit(1)).alias("c"))
     hist = cells.groupBy(*keys, "value").agg(F.sum("c").alias("c"))
     r = ranks_of(hist, keys, "value", limit)
@@ -304,23 +250,3 @@ def order_rows(ranks: DataFrame, keys=("post",), value="value") -> DataFrame:
         *keys, value, "n",
         F.explode(F.sequence(F.col("n") - F.col("upto") + 1, F.col("n") - F.col("below"))).alias("m"),
     )
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the table under the shared checkpoint folder and read it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is made
-    only where none is set.  Unlike a checkpointed RDD the written table has a true size, so the
-    planner can tell that a small state table is small.
-    """
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("hydrosheaf.checkpointDir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="hydrosheaf-")
-        spark.conf.set("hydrosheaf.checkpointDir", folder)
-    path = f"{folder.rstrip('/')}/hydrosheaf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

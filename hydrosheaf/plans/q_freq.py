@@ -321,7 +321,7 @@ GOF = LNF.format(v="annual") + f""", rk AS (SELECT post, value, row_number() OVE
 
 @register("f23_goodness_of_fit_normal", ANN + ", " + GOF + f" SELECT post, {B('n', 'bins')}, {R('ks', 'ad', 'chi2', '1 - ' + sqltext.gammainc('((bins - 3) / 2.0)', '(chi2 / 2)') + ' AS chi2_p')} FROM gs JOIN ch USING (post)")
 def _(s, d):
-    return fits.goodness_of_fit(view(s, d, "annual")).drop("ks_p")
+    return fits.goodness_of_fit(view(s, d, "annual"), "normal").drop("ks_p")
 
 
 @register("f23_goodness_of_fit_gamma")
@@ -334,6 +334,64 @@ def _(s, d):
     return fits.goodness_of_fit(view(s, d, "daily"), "lognormal")
 
 
+def gof_sql(prelude: str, cdf) -> str:
+    """KS, AD and chi-square of the annual series against ``cdf(x)`` with parameters in ``fs``."""
+    return ANN + f""", {prelude}, rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i, count(*) OVER (PARTITION BY post) AS n FROM annual),
+ rf AS (SELECT rk.*, {cdf('value')} AS F FROM rk JOIN fs USING (post)),
+ gs AS (SELECT post, n, max(greatest(i / n - F, F - (i - 1) / n)) AS ks, -n - sum((2 * i - 1) * ln(greatest(F, 1e-300)) + (2 * n + 1 - 2 * i) * ln(greatest(1 - F, 1e-300))) / n AS ad FROM rf GROUP BY post, n),
+ en AS (SELECT post, min(value) AS lo, max(value) AS hi, count(*) AS cnt, CAST(greatest(5, floor(sqrt(count(*)))) AS BIGINT) AS bins FROM annual GROUP BY post),
+ bn AS (SELECT post, least(floor((value - lo) / ((hi - lo) / bins)), bins - 1) AS b, count(*) AS seen FROM annual JOIN en USING (post) GROUP BY 1, 2),
+ be AS (SELECT post, bins, cnt, bb AS b, lo + bb * ((hi - lo) / bins) AS x0, CASE WHEN bb = bins - 1 THEN hi ELSE lo + (bb + 1) * ((hi - lo) / bins) END AS x1 FROM (SELECT *, unnest(range(0, bins)) AS bb FROM en)),
+ bx AS (SELECT be.post, bins, coalesce(seen, 0) AS seen, greatest(({cdf('x1')} - {cdf('x0')}) * cnt, 1) AS e FROM be JOIN fs ON fs.post = be.post LEFT JOIN bn ON bn.post = be.post AND bn.b = be.b),
+ ch AS (SELECT post, bins, sum((seen - e) * (seen - e) / e) AS chi2 FROM bx GROUP BY 1, 2)
+ SELECT post, {B('n', 'bins')}, {R('ks', 'ad', 'chi2')} FROM gs JOIN ch USING (post)"""
+
+
+SKEW = """fs AS (SELECT post, avg(value) AS mean, stddev_samp(value) AS std, skewness(value) AS cs FROM annual GROUP BY post)"""
+_P3X = "(sign(cs) * ({x} - mean) / std * 2 / abs(cs) + 4 / (cs * cs))"
+
+
+def p3_cdf(x: str) -> str:
+    y = _P3X.format(x=x)
+    low = f"(CASE WHEN {y} > 0 THEN {sqltext.gammainc('(4 / (cs * cs))', f'greatest({y}, 1e-12)')} ELSE 0 END)"
+    return f"(CASE WHEN cs > 0 THEN {low} ELSE 1 - {low} END)"
+
+
+LMOM = """lr AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) / (count(*) OVER (PARTITION BY post) + 1) AS w FROM annual),
+ lb AS (SELECT post, avg(value) AS b0, avg(w * value) AS b1, avg(w * w * value) AS b2 FROM lr GROUP BY post),
+ lk AS (SELECT post, b0, 2 * b1 - b0 AS l2, 2 / (3 + (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0)) - ln(2) / ln(3) AS c FROM lb),
+ lg AS (SELECT post, b0, l2, 7.859 * c + 2.9554 * c * c AS k FROM lk),
+ la AS (SELECT *, l2 * k / ((1 - pow(2.0, -k)) * gamma(1 + k)) AS alpha FROM lg),
+ fs AS (SELECT post, k, alpha, b0 - alpha * (1 - gamma(1 + k)) / k AS xi0 FROM la)"""
+
+
+def gev_cdf(x: str) -> str:
+    t = f"(1 - k * ({x} - xi0) / alpha)"
+    return f"(CASE WHEN {t} > 0 THEN exp(-pow(greatest({t}, 1e-300), 1 / k)) WHEN k > 0 THEN 1.0 ELSE 0.0 END)"
+
+
+@register("f23_goodness_of_fit_pearson3", gof_sql(SKEW, p3_cdf))
+def _(s, d):
+    return fits.goodness_of_fit(view(s, d, "annual")).drop("ks_p", "chi2_p")
+
+
+@register("f23_goodness_of_fit_gev", gof_sql(LMOM, gev_cdf))
+def _(s, d):
+    return fits.goodness_of_fit(view(s, d, "annual"), "gev").drop("ks_p", "chi2_p")
+
+
+@register("f24_qq_points_gev", ANN + f""", {LMOM}, rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i, count(*) OVER (PARTITION BY post) AS n FROM annual)
+ SELECT post, {B('i')}, {R('value AS empirical', 'xi0 + alpha / k * (1 - pow(-ln(i / (n + 1)), k)) AS theoretical')} FROM rk JOIN fs USING (post)""")
+def _(s, d):
+    return fits.qq_points(view(s, d, "annual"), "gev")
+
+
+@register("f24_pp_points_pearson3", ANN + f""", {SKEW}, rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i, count(*) OVER (PARTITION BY post) AS n FROM annual)
+ SELECT post, {B('i')}, {R('i / (n + 1) AS p_empirical', p3_cdf('value') + ' AS p_theoretical')} FROM rk JOIN fs USING (post)""")
+def _(s, d):
+    return fits.pp_points(view(s, d, "annual"), "pearson3")
+
+
 RKI = "rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i FROM annual)"
 
 

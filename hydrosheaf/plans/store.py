@@ -37,3 +37,19 @@ def staged(df: DataFrame) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_NARROW = ("Project", "Filter", "SubqueryAlias")
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether the table is read from files and at most projected or filtered, so reading it twice is cheap."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in _NARROW:
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The table for use in several branches: itself where it is a scan, else staged."""
+    return df if is_scan(df) else staged(df)

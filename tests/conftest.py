@@ -20,14 +20,6 @@ def spark():
     s.stop()
 
 
-@pytest.fixture
-def blocked(spark):
-    """Switch the single-task shortcut off, so every operator takes the blocked way."""
-    spark.conf.set("hydrosheaf.oneTaskBytes", "0")
-    yield
-    spark.conf.unset("hydrosheaf.oneTaskBytes")
-
-
 @pytest.fixture(scope="session")
 def series(spark):
     """Three posts, one with ties, one much longer than the others."""

@@ -8,15 +8,12 @@ GOLDEN = [(31.0, 0.333, 1.700), (31.5, 5.135, 16.700), (32.0, 28.039, 54.200), (
           (33.0, 159.359, 179.200), (33.5, 284.023, 257.325), (34.0, 441.286, 341.700)]
 
 
-@pytest.mark.parametrize("limit", ["67108864", "0"])
-def test_golden_discharge(spark, limit):
-    spark.conf.set("hydrosheaf.oneTaskBytes", limit)
+def test_golden_discharge(spark):
     pts = [(0, 30.66, 3), (10, 31.0, 0), (50, 31.5, 2), (100, 32.0, 0), (150, 33.0, 2), (200, 35.0, 0)]
     p = spark.createDataFrame([("A", float(b), h, c) for b, h, c in pts], "profile string, b double, h double, code int")
     lv = spark.createDataFrame([("A", h) for h, _, _ in GOLDEN], "profile string, level double")
     dims = spark.createDataFrame([("A", 0.0005, 0.025, 0.035, 0.035)], "profile string, slope double, n_channel double, n_left double, n_right double")
     got = {r.level: r for r in channel.composite_discharge(p, lv, dims).collect()}
-    spark.conf.unset("hydrosheaf.oneTaskBytes")
     for h, q, area in GOLDEN:
         assert abs(got[h].q - q) < 2e-3 and abs(got[h].area - area) < 1e-3, h
 

@@ -1,35 +1,56 @@
 import numpy as np
 import pandas as pd
 
-from hydrosheaf.operators import analog, fits, freq
+from hydrosheaf.operators import analog, fits, freq, likelihood
 
 
-def test_likelihood_blocks_agree_with_one_call(spark, series):
+def one_post(spark, x):
+    return spark.createDataFrame(pd.DataFrame({"post": "a", "t": np.arange(len(x)), "value": x}))
+
+
+def test_likelihood_of_split_posts(spark, series, monkeypatch):
     _, df = series
     small = df.filter("post = 'tied'")
-    for law in ("gev",):
-        a = fits.fit_by_likelihood(small, law).toPandas().iloc[0]
-        fits._ROUNDS, keep = 5, fits._ROUNDS
-        try:
-            b = fits.fit_by_likelihood(small, law, limit=16).toPandas().iloc[0]
-        finally:
-            fits._ROUNDS = keep
-        assert b.loglik <= a.loglik + 1e-6 and a.loglik - b.loglik < 1.0
+    whole = likelihood.fit(small, "gev").toPandas().iloc[0]
+    monkeypatch.setattr(likelihood, "BLOCK", 16)
+    split = likelihood.fit(small, "gev").toPandas().iloc[0]
+    assert whole.converged and split.converged
+    assert abs(split.loglik - whole.loglik) < 1e-6 and np.allclose(split.theta, whole.theta, rtol=1e-4, atol=1e-4)
+
+
+def test_heavy_tails_reach_the_maximum(spark):
+    rng = np.random.default_rng(5)
+    pareto, lognormal = rng.pareto(1.5, 500) * 10 + 1, np.exp(rng.normal(0, 1.5, 500))
+    a = likelihood.fit(one_post(spark, pareto), "gev").toPandas().iloc[0]
+    b = likelihood.fit(one_post(spark, lognormal), "gev").toPandas().iloc[0]
+    assert a.loglik > -1770.7 and a.converged and not a.at_bound
+    assert b.loglik > -947.6 and b.at_bound
 
 
 def test_fit_is_a_maximum(spark, series):
     pdf, df = series
-    got = fits.fit_by_likelihood(df.filter("post <> 'short'"), "gev").toPandas()
-    for r in got.itertuples():
-        x = pdf[pdf.post == r.post].value.to_numpy()
-        th = np.array(r.theta)[None, :]
-        best = fits._gev_logpdf(x, th).sum()
-        assert abs(best - r.loglik) < 1e-6
-        for j in range(3):
-            for step in (-0.02, 0.02):
-                other = th.copy()
-                other[0, j] += step * max(1.0, abs(other[0, j]))
-                assert fits._gev_logpdf(x, other).sum() <= best + 1e-6
+    for law, logpdf in (("gev", likelihood.gev_logpdf), ("pearson3", likelihood.p3_logpdf)):
+        for r in likelihood.fit(df, law).toPandas().itertuples():
+            x = pdf[pdf.post == r.post].value.to_numpy()
+            th = np.array(r.theta)[None, :]
+            best = logpdf(x, th).sum()
+            assert abs(best - r.loglik) < 1e-6
+            if not r.converged or r.at_bound:
+                continue
+            for j in range(3):
+                for step in (-0.02, 0.02):
+                    other = th.copy()
+                    other[0, j] += step * max(1.0, abs(other[0, j]))
+                    assert logpdf(x, other).sum() <= best + 1e-6
+
+
+def test_unknown_laws_are_refused(spark, series):
+    import pytest
+
+    with pytest.raises(ValueError):
+        likelihood.fit(series[1], "cauchy")
+    with pytest.raises(ValueError):
+        fits.law_fits(series[1], "cauchy")
 
 
 def test_ratio_search_against_loop(spark, series):

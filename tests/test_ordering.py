@@ -1,4 +1,4 @@
-"""The blocked way gives the rows of the plain way, on posts of very different length."""
+"""Many small blocks give the rows of one large block, on posts of very different length."""
 import numpy as np
 import pandas as pd
 import pytest
@@ -41,22 +41,18 @@ OPS = {
 
 
 @pytest.mark.parametrize("name", OPS)
-def test_blocked_equals_plain(spark, series, name, monkeypatch):
+def test_small_blocks_give_the_rows_of_large_ones(spark, series, name, monkeypatch):
     _, df = series
     plain = frame(OPS[name](df))
     assert len(plain)
-    spark.conf.set("hydrosheaf.oneTaskBytes", "0")
-    try:
-        monkeypatch.setattr(o, "VALUE_BLOCK", 40)
-        for fn in (o.sequence, o.rolling):
-            monkeypatch.setattr(fn, "__defaults__", tuple(50 if v == o.BLOCK else v for v in fn.__defaults__))
-        monkeypatch.setattr("hydrosheaf.plans.carry.BLOCK_ROWS", 37)
-        same(frame(OPS[name](df)), plain)
-    finally:
-        spark.conf.unset("hydrosheaf.oneTaskBytes")
-
-
-def test_value_blocks_are_really_cut(spark, series, blocked):
+    monkeypatch.setattr(o, "VALUE_BLOCK", 40)
+    for fn in (o.sequence, o.rolling):
+        monkeypatch.setattr(fn, "__defaults__", tuple(50 if v == o.BLOCK else v for v in fn.__defaults__))
+    monkeypatch.setattr("hydrosheaf.plans.carry.BLOCK_ROWS", 37)
+    same(frame(OPS[name](df)), plain)
+
+
+def test_value_blocks_are_really_cut(spark, series):
     pdf, df = series
     r = o.value_ranks(df, limit=20).toPandas()
     for post, g in pdf.groupby("post"):
@@ -66,7 +62,7 @@ def test_value_blocks_are_really_cut(spark, series, blocked):
         assert got.below.tolist() == (want.cumsum() - want).tolist()
 
 
-def test_sign_sum_by_tiles_against_pairs(spark, series, blocked):
+def test_sign_sum_by_tiles_against_pairs(spark, series):
     pdf, df = series
     got = dict(trend.sign_sum(df, side=8).toPandas().values.tolist())
     for post, g in pdf.groupby("post"):

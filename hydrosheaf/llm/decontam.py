@@ -235,33 +235,32 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tupl
         yield held
 
 
-def _each_block(docs: DataFrame, benchmark: DataFrame, spans: bool, limit: int) -> list[DataFrame]:
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>" + (", spans array<array<bigint>>" if spans else "")
-    some = docs.select("doc_id", "text")
-    found = list(blocks(benchmark, limit)) or [[]]
-    return [some.mapInArrow(matcher(b, spans), schema) for b in found]
+_FOUND = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<array<bigint>>"
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (sorted ids of items with a window in it), spans.
 
-    ``spans`` are [first byte, byte past the last, words] of the covered runs.  With several blocks
-    a document's rows are put together by doc_id, runs of different blocks united.
+    ``spans`` are [first byte, byte past the last, words] of the covered runs.  Several blocks run
+    over the distinct texts, whose hits are put together under a hash of the text.
     """
-    parts = _each_block(docs, benchmark, True, limit)
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    joined = every.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    )
-    # the runs are byte ranges of one text; which words they cover follows from the text once more
-    texts = docs.select("doc_id", "text")
-    united = joined.join(texts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").mapInArrow(_recount, "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<array<bigint>>")
-    return united
+    found = list(islice(blocks(benchmark, limit), 2))
+    if len(found) < 2:
+        return docs.select("doc_id", "text").mapInArrow(matcher(found[0] if found else [], True), _FOUND)
+    texts = docs.select(_text_key().alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    every = None
+    for block in blocks(benchmark, limit):
+        part = texts.mapInArrow(matcher(block, True), _FOUND).filter("n_hit > 0")
+        every = part if every is None else every.unionByName(part)
+    joined = every.groupBy("doc_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+    ).withColumnRenamed("doc_id", "_key")
+    rows = docs.select("doc_id", "text", _text_key().alias("_key")).join(joined, "_key", "left").drop("_key")
+    return rows.mapInArrow(_recount, _FOUND)
 
 
 def _recount(batches):
@@ -272,9 +271,9 @@ def _recount(batches):
             at = [(m.start(), m.end()) for m in _WORD.finditer(raw)]
             start, end = np.array([a for a, _ in at], np.int64), np.array([b for _, b in at], np.int64)
             covered = np.zeros(len(at), bool)
-            for a, b, _ in r["spans"]:
+            for a, b, _ in r["spans"] or ():
                 covered |= (start >= a) & (end <= b)
-            rows.append({"doc_id": r["doc_id"], "n_words": len(at), "n_hit": int(covered.sum()), "items": r["items"], "spans": _runs(covered, start, end)})
+            rows.append({"doc_id": r["doc_id"], "n_words": len(at), "n_hit": int(covered.sum()), "items": r["items"] or [], "spans": _runs(covered, start, end)})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
             ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.list_(pa.int64())))]))
 
@@ -298,7 +297,7 @@ def removed(docs: DataFrame, benchmark: DataFrame, least_span: int = LEAST_SPAN,
     found = list(islice(blocks(benchmark, limit), 2))
     if len(found) < 2:
         return docs.mapInArrow(cutter(found[0] if found else [], least_span, most_covered), docs.schema)
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = _text_key()
     texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
     spans = contaminated(texts, benchmark, limit).filter("n_hit > 0").select(F.col("doc_id").alias("_key"), F.struct("n_words", "n_hit", "spans").alias("_found"))
     joined = docs.withColumn("_key", key).join(spans, "_key", "left").drop("_key")

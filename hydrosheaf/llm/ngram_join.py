@@ -17,7 +17,8 @@ Shingles are hashed to 64 bits once, in Arrow slices; after that a document is a
    document is indexed in its own level and those of the sizes it can link with.
 5. Every document is verified against the leader (fewest unmatched shingles) of one bucket; the
    links found merge groups.  Buckets that still hold two groups are verified in blocks inside tasks:
-   members outside the leader's group against all members, with links inside one group skipped.
+   members outside the leader's group against all members, with links inside one group skipped; bitmaps
+   of the sets prune first, so whole sets travel only for members with a possible partner.
    Nothing emits all pairs of a bucket, and no link between different groups is lost.
 
 Rows without words have an empty set and link with nothing.  Null text is empty; repeated rows and
@@ -200,7 +201,27 @@ def _meetings(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(np.flatnonzero(new), len(tok)))
     shared = np.repeat(size > 1, size) & (own != _NONE)
     who, n = np.unique(own[shared], return_counts=True)
-    return pa.table({"doc_id": pa.array(np.concatenate((who, *told)), pa.int64()), "met": pa.array(np.concatenate((n, *count)), pa.int64())})
+    who, n = np.concatenate((who, *told)), np.concatenate((n, *count))
+    # answers travel packed by document group, so their number does not follow documents times groups
+    home = (tb.mix(who.view(np.uint64)) % U(_HOMES)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    home, who, n = home[order], who[order], n[order]
+    cut = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))[: len(home)]
+    ends = np.append(cut[1:], len(home)) if len(home) else cut
+    return pa.table({
+        "home": pa.array(home[cut], pa.int32()), "ids": pa.array([who[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+        "counts": pa.array([n[a:b].astype(np.int32).tobytes() for a, b in zip(cut, ends)], pa.binary())})
+
+
+_HOMES = 256           # document groups of packed answers
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of the packed counts per document."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+    who, at = np.unique(ids, return_inverse=True)
+    return pa.table({"doc_id": pa.array(who, pa.int64()), "met": pa.array(np.bincount(at, n).astype(np.int64), pa.int64())})
 
 
 # ---- 3: whole sets of the survivors --------------------------------------------------------
@@ -314,6 +335,60 @@ def _class(df: np.ndarray) -> np.ndarray:
 
 # ---- 5: blocks of unsettled buckets ---------------------------------------------------------
 
+def sketched(batches):
+    """(node, n, tokens) -> bitmap of the hashed set, four to eight bits per member, and its size."""
+    for batch in batches:
+        rows, sizes = [], []
+        for t in batch.column("tokens"):
+            tok = np.asarray(t.values).view(np.uint64)
+            bits = max(64, 1 << (4 * len(tok) - 1).bit_length())
+            mark = np.zeros(bits, np.uint8)
+            mark[(tb.mix(tok) % U(bits)).astype(np.int64)] = 1
+            rows.append(np.packbits(mark, bitorder="little").tobytes())
+            sizes.append(len(tok))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["node", "n", "k", "bits"])
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap for fewer bits: hashes modulo a power of two fold onto its first part."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def prune(percent: int):
+    """Members of a bucket block that some member of another group may link with.
+
+    A bit of one set that the other lacks stands for at least one member outside of it, which
+    bounds the overlap from above; whole sets travel only for what passes.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        n, k = table.column("n").to_numpy(), table.column("k").to_numpy()
+        comp = table.column("comp").to_numpy()
+        probe, target = table.column("probe").to_numpy(zero_copy_only=False), table.column("target").to_numpy(zero_copy_only=False)
+        bits = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+        width = np.array([len(b) for b in bits])
+        stacks = {w: (np.flatnonzero(width == w), np.stack([bits[i] for i in np.flatnonzero(width == w)])) for w in np.unique(width)}
+        keep = np.zeros(len(n), bool)
+        for i in np.flatnonzero(probe):
+            for w, (rows, stack) in stacks.items():
+                some = target[rows] & (comp[rows] != comp[i]) & (n[rows] * 100 >= n[i] * percent) & (n[i] * 100 >= n[rows] * percent)
+                if not some.any():
+                    continue
+                rows, size = rows[some], min(w, width[i])
+                mine, theirs = _folded(bits[i], size), _folded(stack[some], size)
+                most = np.minimum(k[i] - np.bitwise_count(mine & ~theirs).sum(axis=1), k[rows] - np.bitwise_count(theirs & ~mine).sum(axis=1))
+                ok = (100 + percent) * most >= percent * (n[rows] + n[i])
+                if ok.any():
+                    keep[i] = True
+                    keep[rows[ok]] = True
+        return table.select(["sig", "block", "node", "comp", "probe", "target"]).filter(pa.array(keep))
+
+    return run
+
+
 def compare(percent: int):
     """Members of a bucket block with sets and groups -> links between different groups."""
 
@@ -375,8 +450,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     facts = staged(texts.mapInArrow(facts_of(words, percent), _FACTS))
     classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.max("must").alias("must"))
-    met = texts.mapInArrow(packs(groups, words, percent), _PACKS).groupBy("grp").applyInArrow(_meetings, "doc_id bigint, met bigint") \
-        .groupBy("doc_id").agg(F.sum("met").alias("met"))
+    met = texts.mapInArrow(packs(groups, words, percent), _PACKS).groupBy("grp").applyInArrow(_meetings, "home int, ids binary, counts binary") \
+        .groupBy("home").applyInArrow(_added, "doc_id bigint, met bigint")
     # a shingle of a class may have been met through any of its members
     seen = facts.filter("n > 0").join(met.withColumnRenamed("met", "m"), "doc_id", "left").groupBy("n", "s1", "s2").agg(F.max(F.coalesce("m", F.lit(0))).alias("m"))
     alive = staged(classes.join(seen, ["n", "s1", "s2"]).filter(F.col("m") >= F.col("must")).select("node", "n"))
@@ -412,7 +487,10 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     outside = F.col("comp") != F.col("main")
     dealt = rows.withColumn("block", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.col("home"))))).select(
         "sig", "block", "node", "comp", outside.alias("probe"), (F.col("block") == F.col("home")).alias("target"))
-    more = dealt.join(plain, "node").groupBy("sig", "block").applyInArrow(compare(percent), "a bigint, b bigint")
+    sketches = staged(plain.mapInArrow(sketched, "node bigint, n bigint, k bigint, bits binary"))
+    open_ = staged(dealt.join(sketches, "node").groupBy("sig", "block").applyInArrow(
+        prune(percent), "sig bigint, block int, node bigint, comp bigint, probe boolean, target boolean"))
+    more = open_.join(plain, "node").groupBy("sig", "block").applyInArrow(compare(percent), "a bigint, b bigint")
     final = _labelled(nodes, links.union(staged(more)))
 
     of_class = classes.select("n", "s1", "s2", "node").join(final, "node", "left").select("n", "s1", "s2", F.coalesce("comp", "node").alias("c"))

@@ -137,7 +137,7 @@ def _packs(name, own, grp, told: bool):
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """Shared anchors of each document in a hash group: (doc_id, names)."""
+    """Shared anchors of each document in a hash group, packed."""
     name, own, told = [], [], []
     for t, i, c, n in zip(*[table.column(x).to_pylist() for x in ("told", "ids", "counts", "names")]):
         name.append(_unsix(n))
@@ -153,9 +153,39 @@ def meet(table: pa.Table) -> pa.Table:
     name, own = np.concatenate((name[shared], ready[0])), np.concatenate((own[shared], ready[1]))
     order = np.argsort(own, kind="stable")
     name, own = name[order], own[order]
+    return _answers(own, np.frombuffer(_six(name), "V6"))
+
+
+HOMES = 256            # document groups of packed answers
+
+
+def _answers(own: np.ndarray, items: np.ndarray) -> pa.Table:
+    """Items of one width per owner, packed by document group, so rows do not follow documents times groups."""
+    home = (tb.mix(own.view(np.uint64)) % U(HOMES)).astype(np.int64)
+    order = np.lexsort((own, home))
+    home, own, items = home[order], own[order], items[order]
+    cut = _runs(home)
+    rows = []
+    for a, b in zip(cut, np.append(cut[1:], len(home))):
+        r = _runs(own[a:b])
+        rows.append((int(home[a]), own[a:b][r].tobytes(), np.diff(np.append(r, b - a)).astype(np.int32).tobytes(), items[a:b].tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    cols = zip(*rows) if rows else [[]] * 4
+    return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("home", "ids", "counts", "items"), cols, kinds)})
+
+
+_ANSWER = "home int, ids binary, counts binary, items binary"
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """Packed answers of a document group -> (doc_id, items), one row per document."""
+    own = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())])
+    items = b"".join(table.column("items").to_pylist())
+    items = np.frombuffer(items, f"V{len(items) // len(own)}")
+    order = np.argsort(own, kind="stable")
+    own, items = own[order], items[order]
     cut = _runs(own)
-    ends = np.append(cut[1:], len(own))
-    return pa.table({"doc_id": pa.array(own[cut], pa.int64()), "names": pa.array([_six(name[a:b]) for a, b in zip(cut, ends)], pa.binary())})
+    return pa.table({"doc_id": pa.array(own[cut], pa.int64()), "items": pa.array([items[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(own)))], pa.binary())})
 
 
 # ---- 3: contexts and suffix sorting ----------------------------------------------------------
@@ -171,7 +201,7 @@ def contexts(groups: int):
         for batch in batches:
             for part, data, offsets in tb.slices(batch):
                 found = Anchors(data, offsets)
-                told = [b"".join(x or ()) for x in part.column("names").to_pylist()]
+                told = [x or b"" for x in part.column("names").to_pylist()]
                 known = _unsix(b"".join(told))
                 whose = np.repeat(np.arange(len(told)), [len(t) // 6 for t in told])
                 step = U(0x9E3779B97F4A7C15)
@@ -333,7 +363,7 @@ def repeats(data: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """Marked spans of each document in a hash group: (doc_id, spans), spans as pairs of 32-bit numbers."""
+    """Marked spans of each document in a hash group, as packed pairs of 32-bit numbers."""
     docs, starts, ends = [], [], []
     own, place, size, raw = [], [], [], []
     codec = pa.Codec("zstd")
@@ -371,10 +401,8 @@ def settle(table: pa.Table) -> pa.Table:
         new = np.concatenate(([True], (starts + shift)[1:] > reach[:-1]))
         cut = np.flatnonzero(new)
         docs, starts, ends = docs[cut], starts[cut], np.maximum.reduceat(ends, cut)
-    pairs = np.stack((starts, ends), 1).astype(np.int32)
-    cut = _runs(docs)
-    return pa.table({"doc_id": pa.array(docs[cut], pa.int64()),
-                     "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(docs)))], pa.binary())})
+    pairs = np.ascontiguousarray(np.stack((starts, ends), 1).astype(np.int32))
+    return _answers(docs, pairs.view("V8").ravel())
 
 
 # ---- 4: what remains -------------------------------------------------------------------------
@@ -396,9 +424,8 @@ def cut_out(with_bytes: bool):
                         gone = np.ones(n, bool)
                     else:
                         gone = np.zeros(n, bool)
-                        for s in spans or ():
-                            for a, b in np.frombuffer(s, np.int32).reshape(-1, 2).tolist():
-                                gone[a:b] = True
+                        for a, b in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
+                            gone[a:b] = True
                     kept = text[~gone].tobytes() if gone.any() else text.tobytes()
                     edge = np.diff(np.concatenate(([0], gone.view(np.int8))))
                     rows.append((doc, n, int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
@@ -424,14 +451,14 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     texts = named.join(copies, "doc_id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     told = (
         texts.filter("NOT whole").select("doc_id", "text").mapInArrow(anchors(groups), _PACK)
-        .groupBy("grp").applyInArrow(meet, "doc_id bigint, names binary")
-        .groupBy("doc_id").agg(F.collect_list("names").alias("names"))
+        .groupBy("grp").applyInArrow(meet, _ANSWER)
+        .groupBy("home").applyInArrow(by_document, "doc_id bigint, items binary").withColumnRenamed("items", "names")
     )
     spans = (
         texts.filter("NOT whole").select("doc_id", "text").join(told, "doc_id").mapInArrow(contexts(fine), _CONTEXT)
-        .groupBy("grp").applyInArrow(settle, "doc_id bigint, spans binary")
-        .groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+        .groupBy("grp").applyInArrow(settle, _ANSWER)
+        .groupBy("home").applyInArrow(by_document, "doc_id bigint, items binary").withColumnRenamed("items", "spans")
     )
     every = texts.join(staged(spans), "doc_id", "left").unionByName(rows.filter("doc_id IS NULL").withColumns({
-        "whole": F.lit(False), "spans": F.lit(None).cast("array<binary>")}))
+        "whole": F.lit(False), "spans": F.lit(None).cast("binary")}))
     return every.select("doc_id", "text", "whole", "spans").mapInArrow(cut_out(with_bytes), _KEPT + (", kept binary" if with_bytes else ""))

@@ -112,11 +112,11 @@ def extension_workflow(series: DataFrame, pairs: DataFrame, method: str = "regre
 
 # --- several analogs at once ----------------------------------------------------------------
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series, sy: pd.Series) -> pd.Series:
-    """Normal equations of one target: coefficients, their errors, R and residual sum."""
+def _solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series, means: pd.Series) -> pd.Series:
+    """Centred normal equations of one target: R2, residual sum, coefficients and their errors."""
     out = []
-    for m, a, b, c, s in zip(n, xx, xy, yy, sy):
-        b = np.asarray(b, float)
+    for m, a, b, c, mu in zip(n, xx, xy, yy, means):
+        b, mu = np.asarray(b, float), np.asarray(mu, float)
         k = len(b)
         a = np.asarray(a, float).reshape(k, k)
         try:
@@ -126,10 +126,10 @@ def _solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series, sy: pd.Ser
             continue
         beta = inv @ b
         rss = max(c - beta @ b, 0.0)
-        tss = c - s * s / m
-        r2 = 1 - rss / tss if tss > 0 else 0.0
-        err = np.sqrt(np.abs(np.diag(inv)) * rss / max(m - k, 1))
-        out.append([r2, rss, *beta, *err])
+        r2 = 1 - rss / c if c > 0 else 0.0
+        spread_k = np.concatenate(([1 / m + mu[:k] @ inv @ mu[:k]], np.diag(inv)))
+        err = np.sqrt(np.abs(spread_k) * rss / max(m - k - 1, 1))
+        out.append([r2, rss, mu[k] - beta @ mu[:k], *beta, *err])
     return pd.Series(out)
 
 
@@ -139,26 +139,39 @@ def wide_analogs(series: DataFrame, pairs: DataFrame, count: int = 3) -> DataFra
     return rows.groupBy("target", "t").agg(F.max("qc").alias("y"), *x)
 
 
-def multi_analog_fit(wide: DataFrame, count: int = 3, n_min: int = 6, ro_cr=0.7, ro_over_sigma=2.0, k_over_sigma=2.0) -> DataFrame:
-    """Least squares on up to three analogs over the steps that all of them share."""
-    xs = [F.lit(1.0)] + [F.col(f"x{j}") for j in range(1, count + 1)]
-    full = wide.dropna(subset=["y"] + [f"x{j}" for j in range(1, count + 1)])
+def multi_analog_fit(wide: DataFrame, count: int = 3, n_min: int = 6, ro_cr=0.7, ro_over_sigma=2.0, k_over_sigma=2.0,
+                     y_over_sigma=0.2) -> DataFrame:
+    """Least squares on up to three analogs over the steps that all of them share, with its criteria.
+
+    ``y_over_sigma`` limits the mean residual against its deviation; ``accepted`` is all criteria at once.
+    """
+    names = [f"x{j}" for j in range(1, count + 1)]
+    full = wide.dropna(subset=["y", *names])
+    n = F.count(F.lit(1))
     g = full.groupBy("target").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(a * b) for a in xs for b in xs]).alias("xx"),
-        F.array(*[F.sum(a * F.col("y")) for a in xs]).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sy"))
-    s = g.filter(F.col("n") >= n_min).select("target", "n", _solve("n", "xx", "xy", "yy", "sy").alias("s")).filter(F.col("s").isNotNull())
+        n.alias("n"), F.array(*[F.covar_pop(a, b) * n for a in names for b in names]).alias("xx"),
+        F.array(*[F.covar_pop(a, "y") * n for a in names]).alias("xy"), (F.covar_pop("y", "y") * n).alias("yy"),
+        F.array(*[F.avg(a) for a in [*names, "y"]]).alias("means"))
+    s = g.filter(F.col("n") >= n_min).withColumn("s", _solve("n", "xx", "xy", "yy", "means")).filter(F.col("s").isNotNull())
     k = count + 1
     r2 = F.col("s")[0]
     r = F.sqrt(F.greatest(r2, F.lit(0.0)))
     sig = (1 - r2) / F.sqrt("n")
     coef = [F.col("s")[2 + j].alias(f"k{j}") for j in range(k)]
     err = [F.col("s")[2 + k + j].alias(f"s_k{j}") for j in range(k)]
-    d = s.select("target", "n", r.alias("r"), sig.alias("sigma_ro"), F.sqrt(F.col("s")[1] / (F.col("n") - 1)).alias("s_res"), *coef, *err)
+    off = F.col("means")[count] - F.col("s")[2]
+    for j in range(count):
+        off = off - F.col("s")[3 + j] * F.col("means")[j]
+    d = s.select(
+        "target", "n", r.alias("r"), sig.alias("sigma_ro"), F.sqrt(F.col("s")[1] / (F.col("n") - 1)).alias("s_res"), *coef, *err, F.abs(off).alias("_off"))
     strong = [F.col(f"k{j}") / F.col(f"s_k{j}") >= k_over_sigma for j in range(1, k)]
     both = strong[0]
     for c in strong[1:]:
         both = both & c
-    return d.withColumn("r_ok", F.col("r") >= ro_cr).withColumn("ratio_ok", F.col("r") / F.col("sigma_ro") >= ro_over_sigma).withColumn("k_ok", both)
+    d = d.withColumn("y_ratio", F.when(F.col("s_res") > 0, F.col("_off") / F.col("s_res"))).drop("_off")
+    d = d.withColumn("r_ok", F.col("r") >= ro_cr).withColumn("ratio_ok", F.col("r") / F.col("sigma_ro") >= ro_over_sigma).withColumn("k_ok", both)
+    d = d.withColumn("y_ok", F.coalesce(F.col("y_ratio") <= y_over_sigma, F.lit(False)))
+    return d.withColumn("accepted", F.col("r_ok") & F.col("ratio_ok") & F.col("k_ok") & F.col("y_ok"))
 
 
 def multi_analog_extension(wide: DataFrame, fit: DataFrame, count: int = 3) -> DataFrame:

@@ -192,6 +192,16 @@ def months_from_text(text: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
+ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")    # fixed values
+
+
+def months_to_text(months: Column) -> Column:
+    """An array of months in Roman numerals joined by dashes; other numbers stay as they are."""
+    names = F.array(*map(F.lit, ROMAN))
+    name = lambda m: F.when(m.between(1, 12), F.get(names, m.cast("int") - 1)).otherwise(m.cast("string"))
+    return F.array_join(F.transform(months, name), "–")
+
+
 def period_table(spark, **periods: str) -> DataFrame:
     """Month definition table (period, month) from texts such as winter='11-3'."""
     rows = [(k, m) for k, text in periods.items() for m in months_from_text(text)]

@@ -13,7 +13,7 @@ from hydrosheaf.functions import fixed
 from hydrosheaf.functions.special import normal_ppf_col, pearson3_z, pearson3_z_col
 from hydrosheaf.operators.stats import annual_runoff_stats, max_runoff_stats, moments, parameters
 from hydrosheaf.plans.ordering import (
-    BLOCK, observed, order_rows, value_ranks,
+    BLOCK, observed, order_rows, value_ranks, spread,
 )
 
 
@@ -51,10 +51,16 @@ def pearson3_curve(params: DataFrame, ps, percent=False) -> DataFrame:
 
 
 def kritsky_menkel_curve(params: DataFrame, ps, percent=False) -> DataFrame:
-    """Three-parameter gamma with origin mean (1 - 2 Cv / Cs); the same law for positive Cs."""
+    """Three-parameter gamma: origin mean (1 - 2 Cv / Cs), shape 4 / Cs^2, scale mean Cv |Cs| / 2.
+
+    For positive Cs this is Pearson III; for negative Cs the tail stays on the right, only the origin moves.
+    """
     cs = F.when(F.abs("cs") < 0.001, F.lit(0.001)).otherwise(F.col("cs"))
-    d = probabilities(params.withColumn("_cs", cs), ps, percent).withColumn("z", pearson3_z_col("p", "_cs"))
-    return d.withColumn("q", pearson3_quantile(F.col("mean"), F.col("cv"), F.col("z"))).drop("_cs")
+    cv = F.greatest(F.abs("cv"), F.lit(0.001))
+    d = probabilities(params.withColumn("_cs", cs).withColumn("_a", F.abs("_cs")), ps, percent).withColumn("z", pearson3_z_col("p", "_a"))
+    moved = F.when(F.col("_cs") < 0, F.col("mean") * 4 * cv / F.col("_a")).otherwise(F.lit(0.0))
+    q = F.greatest(F.col("mean") + moved + F.col("mean") * cv * F.col("z"), F.lit(0.0))
+    return d.withColumn("q", q).drop("_cs", "_a")
 
 
 def module_quantiles(params: DataFrame, ps=fixed.P_KM, percent=True) -> DataFrame:
@@ -114,12 +120,16 @@ def _ratio_grid(lo, hi, step):
     return np.round(lo + step * np.arange(int(round((hi - lo) / step)) + 1), 10)
 
 
-def ratio_scores(df: DataFrame, lo=-2.0, hi=6.0, step=0.05, p_range=None) -> DataFrame:
-    """Sum of squares between observed and Pearson III values for every Cs/Cv of the grid.
+def ratio_scores(df: DataFrame, lo=-2.0, hi=6.0, step=0.05, p_range=None, curve="pearson3") -> DataFrame:
+    """Sum of squares between observed values and a curve for every Cs/Cv of the grid.
+
+    ``curve`` is ``pearson3`` or ``kritsky_menkel``.
 
     Rows are packed into bounded arrays per (post, block of ranks); one Arrow call scores a
     block against the whole grid, so only (post, ratio) partial sums are shuffled.
     """
+    if curve not in ("pearson3", "kritsky_menkel"):
+        raise ValueError(f"unknown curve {curve!r}")
     ratios = _ratio_grid(lo, hi, step)
     m = moments(df).filter(F.col("n") >= 5).select(
         "post", F.col("mean"), F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)).alias("cv"))
@@ -129,7 +139,8 @@ def ratio_scores(df: DataFrame, lo=-2.0, hi=6.0, step=0.05, p_range=None) -> Dat
         rows = rows.filter((p >= p_range[0]) & (p <= p_range[1]))
     packed = rows.groupBy("post", F.floor(F.col("m") / BLOCK).alias("mb")).agg(
         F.collect_list(F.struct(p.alias("p"), "value")).alias("a")
-    ).join(m, "post")
+    )
+    packed = spread(packed, m, block="mb")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(ps: pd.Series, xs: pd.Series, mean: pd.Series, cv: pd.Series) -> pd.Series:
@@ -137,6 +148,12 @@ def ratio_scores(df: DataFrame, lo=-2.0, hi=6.0, step=0.05, p_range=None) -> Dat
         for pp, xx, mu, c in zip(ps, xs, mean, cv):
             pp, xx = np.asarray(pp, float), np.asarray(xx, float)
             cs = ratios * c
+            if curve == "kritsky_menkel":
+                cs, v = np.where(np.abs(cs) < 0.001, 0.001, cs), max(abs(c), 0.001)
+                z = pearson3_z(np.broadcast_to(pp, (len(cs), len(pp))), np.abs(cs)[:, None])
+                q = np.maximum(mu + np.where(cs < 0, mu * 4 * v / np.abs(cs), 0.0)[:, None] + mu * v * z, 0.0)
+                out.append(((xx[None, :] - q) ** 2).sum(axis=1))
+                continue
             plain = np.abs(cs) < 1e-6
             z = pearson3_z(np.broadcast_to(pp, (len(cs), len(pp))), np.where(plain, 0.0, cs)[:, None])
             q = mu + mu * np.where(plain, c, max(abs(c), 0.001))[:, None] * z

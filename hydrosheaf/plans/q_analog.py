@@ -62,12 +62,27 @@ def _(s, d):
     return analog.extension_workflow(*args(s, d)).withColumn("n_warnings", F.size("warnings")).drop("warnings")
 
 
-@register("j07_multi_analog_fit")
+MULTI = f"""jw AS (SELECT target, t, max(qc) AS y, max(qa) FILTER (k = 1) AS x1, max(qa) FILTER (k = 2) AS x2, max(qa) FILTER (k = 3) AS x3 FROM pr WHERE k <= 3 GROUP BY 1, 2),
+ jf AS (SELECT target, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(y, y) * count(*) AS yy,
+   covar_pop(x1, x1) * count(*) AS a, covar_pop(x1, x2) * count(*) AS b, covar_pop(x1, x3) * count(*) AS c, covar_pop(x2, x2) * count(*) AS e, covar_pop(x2, x3) * count(*) AS f, covar_pop(x3, x3) * count(*) AS i,
+   covar_pop(x1, y) * count(*) AS u, covar_pop(x2, y) * count(*) AS v, covar_pop(x3, y) * count(*) AS w
+   FROM jw WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY 1 HAVING count(*) >= 6),
+ jd AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM jf),
+ ji AS (SELECT *, (e * i - f * f) / det AS i11, (c * f - b * i) / det AS i12, (b * f - c * e) / det AS i13, (a * i - c * c) / det AS i22, (b * c - a * f) / det AS i23, (a * e - b * b) / det AS i33 FROM jd),
+ jb AS (SELECT *, i11 * u + i12 * v + i13 * w AS k1, i12 * u + i22 * v + i23 * w AS k2, i13 * u + i23 * v + i33 * w AS k3 FROM ji),
+ jr AS (SELECT *, my - k1 * m1 - k2 * m2 - k3 * m3 AS k0, greatest(yy - k1 * u - k2 * v - k3 * w, 0) AS rss FROM jb),
+ js AS (SELECT *, sqrt(greatest(1 - rss / yy, 0)) AS r, rss / yy / sqrt(n) AS sigma_ro, sqrt(rss / (n - 1)) AS s_res, rss / (n - 4) AS s2 FROM jr),
+ je AS (SELECT *, sqrt(abs(1 / n + i11 * m1 * m1 + i22 * m2 * m2 + i33 * m3 * m3 + 2 * (i12 * m1 * m2 + i13 * m1 * m3 + i23 * m2 * m3)) * s2) AS s_k0, sqrt(abs(i11) * s2) AS s_k1, sqrt(abs(i22) * s2) AS s_k2, sqrt(abs(i33) * s2) AS s_k3 FROM js)"""
+
+
+@register("j07_multi_analog_fit", PR + f""", {MULTI} SELECT target, {B('n')}, {R('r', 'sigma_ro', 's_res', 'k0', 'k1', 'k2', 'k3', 's_k0', 's_k1', 's_k2', 's_k3', 'CAST(0 AS DOUBLE) AS y_ratio')},
+ r >= 0.7 AS r_ok, r / sigma_ro >= 2 AS ratio_ok, k1 / s_k1 >= 2 AND k2 / s_k2 >= 2 AND k3 / s_k3 >= 2 AS k_ok, true AS y_ok, r >= 0.7 AND r / sigma_ro >= 2 AND k1 / s_k1 >= 2 AND k2 / s_k2 >= 2 AND k3 / s_k3 >= 2 AS accepted FROM je""")
 def _(s, d):
     return analog.multi_analog_fit(analog.wide_analogs(*args(s, d)))
 
 
-@register("j07_multi_analog_extension")
+@register("j07_multi_analog_extension", PR + f""", {MULTI}, jg AS (SELECT target, t, y, CASE WHEN k0 + k1 * x1 + k2 * x2 + k3 * x3 >= 0 THEN k0 + k1 * x1 + k2 * x2 + k3 * x3 END AS g FROM jw JOIN je USING (target))
+ SELECT target, {B('t')}, {R('coalesce(y, g) AS value')}, y IS NULL AND g IS NOT NULL AS filled FROM jg""")
 def _(s, d):
     w = analog.wide_analogs(*args(s, d))
     return analog.multi_analog_extension(w, analog.multi_analog_fit(w))

@@ -140,6 +140,13 @@ def _(s, d):
     return flow.distribute_by_model_year(m, flow.model_year(flow.water_year_sums(m)), "target_sum")
 
 
+@register("i05_period_texts", with_views("monthly") + """, mt AS (SELECT post, year, list(month ORDER BY month) AS ms FROM (SELECT DISTINCT post, year, month FROM monthly) GROUP BY 1, 2)
+ SELECT post, year, array_to_string(list_transform(ms, lambda m: ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII'][m]), '–') AS months FROM mt""")
+def _(s, d):
+    m = view(s, d, "monthly").groupBy("post", "year").agg(F.sort_array(F.collect_set("month")).alias("ms"))  # twelve at most
+    return m.select("post", "year", flow.months_to_text(F.col("ms")).alias("months"))
+
+
 @register("i05_period_sums", with_views("monthly") + f""", pd(period, month) AS (VALUES ('winter', 11), ('winter', 12), ('winter', 1), ('winter', 2), ('winter', 3), ('summer', 6), ('summer', 7), ('summer', 8))
  SELECT post, year, period, {B('count(*) AS months')}, {R('sum(value) AS total')} FROM monthly JOIN pd USING (month) GROUP BY 1, 2, 3""")
 def _(s, d):

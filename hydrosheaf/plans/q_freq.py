@@ -72,7 +72,14 @@ def _(s, d):
     return freq.frequency_curve(view(s, d, "annual"), "normal")
 
 
-@register("f06_curve_kritsky_menkel", curve_sql(PARAMS, "p", fixed.P_CURVE, f"SELECT post, {R('p', Q3 + ' AS q')} FROM cz"))
+KM = "greatest(mean * (1 - 2 * greatest(abs(cv), 0.001) / cs0) + mean * greatest(abs(cv), 0.001) * cs / 2 * (4 / (cs * cs) + 2 / cs * z), 0)"
+
+
+def km_params(src: str) -> str:
+    return f"kp AS (SELECT * EXCLUDE (cs), CASE WHEN abs(cs) < 0.001 THEN 0.001 ELSE cs END AS cs0, greatest(abs(cs), 0.001) AS cs FROM {src})"
+
+
+@register("f06_curve_kritsky_menkel", curve_sql(PARAMS + ", " + km_params("p"), "kp", fixed.P_CURVE, f"SELECT post, {R('p', KM + ' AS q')} FROM cz"))
 def _(s, d):
     return freq.frequency_curve(view(s, d, "annual"), "kritsky_menkel")
 
@@ -392,6 +399,29 @@ def _(s, d):
     return fits.pp_points(view(s, d, "annual"), "pearson3")
 
 
+RATIO = ANN + ", " + RANK.format(v="annual") + """, mm AS (SELECT post, avg(value) AS mean, stddev_samp(value) / avg(value) AS cv FROM annual GROUP BY post HAVING count(*) >= 5),
+ rr AS (SELECT rk.post, value, (m - 0.3) / (n + 0.4) AS p, mean, cv, -2 + j * 0.5 AS ratio, (-2 + j * 0.5) * cv AS cs FROM rk JOIN mm USING (post), (SELECT unnest(range(0, 17)) AS j))"""
+_SCORES = f"SELECT post, {R('ratio', 'sum((value - q) * (value - q)) AS ss', 'any_value(mean) AS mean', 'any_value(cv) AS cv', digits=4)}, {B('count(*) AS points')} FROM sc GROUP BY post, ratio"
+
+
+@register("f08_ratio_scores", RATIO + f""", pq AS (SELECT p, cs FROM rr WHERE abs(cs) >= 1e-6), {sqltext.pearson3('pq')}, nq AS (SELECT DISTINCT 1 - p AS q FROM rr WHERE abs(cs) < 1e-6), {sqltext.normal_ppf('nq')},
+ sc AS (SELECT rr.*, CASE WHEN abs(rr.cs) < 1e-6 THEN mean + mean * cv * nz.z ELSE greatest(mean + mean * greatest(abs(cv), 0.001) * p3z.z, 0) END AS q
+   FROM rr LEFT JOIN p3z ON rr.p = p3z.p AND rr.cs = p3z.cs LEFT JOIN nz ON nz.q = 1 - rr.p AND abs(rr.cs) < 1e-6) {_SCORES}""", digits=4)
+def _(s, d):
+    return freq.ratio_scores(view(s, d, "annual"), step=0.5)
+
+
+# the grid keeps off zero: near it the curve is a normal law in all but name, and SQL's series grow long
+_OFF = RATIO.replace("-2 + j * 0.5", "-1.75 + j * 0.5").replace("range(0, 17)", "range(0, 16)")
+_KMR = "greatest(mean + 2 * mean * cv * (1 / cs - 1 / cs0) + mean * cv * z, 0)"
+
+
+@register("f08_ratio_scores_kritsky_menkel", _OFF + f""", {km_params('rr')}, pq AS (SELECT p, cs FROM kp), {sqltext.pearson3('pq')},
+ kz AS (SELECT kp.*, z FROM kp JOIN p3z ON kp.p = p3z.p AND kp.cs = p3z.cs), sc AS (SELECT *, {_KMR} AS q FROM kz) {_SCORES}""", digits=4)
+def _(s, d):
+    return freq.ratio_scores(view(s, d, "annual"), lo=-1.75, hi=5.75, step=0.5, curve="kritsky_menkel")
+
+
 RKI = "rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i FROM annual)"
 
 

@@ -118,12 +118,13 @@ def _(s, d):
     return sheets.numeric_columns(c.select("file", "sheet", "row", "col", F.col("x").getField("name").alias("name"), F.col("x").getField("text").alias("text")), ("расход", "базовый"))
 
 
-@register("s09_merge_post", with_views("annual", "forcing") + f""", a AS (SELECT t, value AS base FROM annual WHERE post = '5-LOW'), b AS (SELECT t + 1890 AS t, p / 10 AS extra FROM forcing WHERE post = 'AF')
- SELECT {B('coalesce(a.t, b.t) AS t')}, {R('base', 'extra')} FROM a FULL JOIN b ON a.t = b.t""")
+@register("s09_merge_post", with_views("annual", "forcing") + f""", a AS (SELECT post, t, value AS base FROM annual), b AS (SELECT CASE post WHEN 'AF' THEN '1-URGENT' WHEN 'NO' THEN '5-LOW' ELSE post END AS post, t + 1890 AS t, p / 10 AS extra FROM forcing)
+ SELECT coalesce(a.post, b.post) AS post, {B('coalesce(a.t, b.t) AS t')}, {R('base', 'extra')} FROM a FULL JOIN b ON a.post = b.post AND a.t = b.t""")
 def _(s, d):
-    a = view(s, d, "annual").filter("post = '5-LOW'").select("t", F.col("value").alias("base"))
-    b = view(s, d, "forcing").filter("post = 'AF'").select((F.col("t") + 1890).alias("t"), (F.col("p") / 10).alias("extra"))
-    return sheets.merge_post(a, b)
+    a = view(s, d, "annual").select("post", "t", F.col("value").alias("base"))
+    post = F.when(F.col("post") == "AF", "1-URGENT").when(F.col("post") == "NO", "5-LOW").otherwise(F.col("post"))
+    b = view(s, d, "forcing").select(post.alias("post"), (F.col("t") + 1890).alias("t"), (F.col("p") / 10).alias("extra"))
+    return sheets.merge_post(a, b, ["post", "t"])
 
 
 @register("s12_granularity", with_views("daily", "annual") + f""", u AS (SELECT 'daily ' || post AS source, year(DATE '1970-01-01' + CAST(t AS INTEGER)) AS year FROM daily UNION ALL SELECT 'annual ' || post, t FROM annual)

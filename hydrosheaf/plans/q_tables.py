@@ -32,17 +32,17 @@ def _(s, d):
     return tables.runoff_coefficients(view(s, d, "forcing").select("post", "p", F.col("runoff").alias("r")))
 
 
-# station days: one row per event; temperature, wind and humidity from its columns
-STATION = """sd AS (SELECT event_type AS station, CAST(ts AS DATE) AS day, value / 5 AS tw, value / 8 - 2 AS ta, user_id % 7 AS wind, user_id % 100 / 100.0 AS humidity, month(ts) AS mon FROM events)"""
+# station days: one row per order, all months of the year; temperature, wind and humidity from its columns
+STATION = """sd AS (SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS day, o_custkey % 400 / 10.0 AS tw, o_orderkey % 350 / 10.0 - 5 AS ta, o_custkey % 7 AS wind, o_orderkey % 100 / 100.0 AS humidity, month(o_orderdate) AS mon FROM orders)"""
 
 
-@register("w03_evaporation", f"WITH {STATION}, ev AS (SELECT station, day, greatest(0.21 * (6.11 * pow(10, 7.5 * tw / (237.3 + tw)) - 6.11 * pow(10, 7.5 * ta / (237.3 + ta))) * (1 + 0.54 * wind), 0) AS e1, greatest(0.0018 * (25 + ta) * (25 + ta) * (1 - humidity) * (1 + 0.72 * wind) * 31, 0) AS e2 FROM sd) "
-          + f"SELECT station, strftime(day, '%Y-%m-%d') AS day, {B('count(*) AS n')}, {R('avg(e1) AS dalton', 'avg(e2) AS monthly', 'avg(e1) * 0.68 AS lake')} FROM ev GROUP BY 1, 2")
+@register("w03_evaporation", f"WITH {STATION}, ev AS (SELECT station, day, greatest(0.21 * (6.11 * pow(10, 7.5 * tw / (237.3 + tw)) - 6.11 * pow(10, 7.5 * ta / (237.3 + ta))) * (1 + 0.54 * wind), 0) AS e1, greatest(0.0018 * (25 + ta) * (25 + ta) * (1 - humidity) * (1 + 0.72 * wind) * CASE WHEN mon = 2 THEN 28 WHEN mon IN (4, 6, 9, 11) THEN 30 ELSE 31 END, 0) AS e2 FROM sd) "
+          + f"SELECT station, strftime(day, '%Y-%m-%d') AS day, {B('count(*) AS n')}, {R('avg(e1) AS dalton', 'avg(e2) AS monthly', 'avg(e1) * 0.68 AS lake', digits=4)} FROM ev GROUP BY 1, 2", digits=4)
 def _(s, d):
-    v, u = F.col("value"), F.col("user_id")
-    e = table(s, d, "events").select(
-        F.col("event_type").alias("station"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.month("ts").alias("mon"),
-        (v / 5).alias("tw"), (v / 8 - 2).alias("ta"), (u % 7).alias("wind"), (u % 100 / 100.0).alias("humidity"))
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    e = table(s, d, "orders").select(
+        F.col("o_orderpriority").alias("station"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.month("o_orderdate").alias("mon"),
+        (c % 400 / 10.0).alias("tw"), (o % 350 / 10.0 - 5).alias("ta"), (c % 7).alias("wind"), (o % 100 / 100.0).alias("humidity"))
     e = e.withColumn("e1", tables.evaporation_dalton(F.col("tw"), F.col("ta"), F.col("wind"))).withColumn(
         "e2", tables.evaporation_monthly(F.col("ta"), F.col("humidity"), F.col("wind"), F.col("mon")))
     return e.groupBy("station", "day").agg(F.count(F.lit(1)).alias("n"), F.avg("e1").alias("dalton"), F.avg("e2").alias("monthly"), tables.pan_to_lake(F.avg("e1")).alias("lake"))

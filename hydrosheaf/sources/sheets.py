@@ -79,8 +79,8 @@ def read_tab_years(spark: SparkSession, path: str, posts: list[str]) -> DataFram
     return wide.unpivot(["t"], posts, "post", "value").select("post", "t", "value")
 
 
-def merge_post(wide: DataFrame, extra: DataFrame, on: str = "t") -> DataFrame:
-    """Full outer merge of another table on the year."""
+def merge_post(wide: DataFrame, extra: DataFrame, on: str | list[str] = "t") -> DataFrame:
+    """Full outer merge of another table on the year, or on post and year."""
     return wide.join(extra, on, "full")
 
 

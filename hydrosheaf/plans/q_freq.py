@@ -417,9 +417,11 @@ _KMR = "greatest(mean + 2 * mean * cv * (1 / cs - 1 / cs0) + mean * cv * z, 0)"
 
 
 @register("f08_ratio_scores_kritsky_menkel", _OFF + f""", {km_params('rr')}, pq AS (SELECT p, cs FROM kp), {sqltext.pearson3('pq')},
- kz AS (SELECT kp.*, z FROM kp JOIN p3z ON kp.p = p3z.p AND kp.cs = p3z.cs), sc AS (SELECT *, {_KMR} AS q FROM kz) {_SCORES}""", digits=4)
+ kz AS (SELECT kp.*, z FROM kp JOIN p3z ON kp.p = p3z.p AND kp.cs = p3z.cs), sc AS (SELECT *, {_KMR} AS q FROM kz)
+ SELECT post, {R('ratio', 'sqrt(sum((value - q) * (value - q)) / count(*)) / any_value(mean) AS error')}, {B('count(*) AS points')} FROM sc GROUP BY post, ratio""")
 def _(s, d):
-    return freq.ratio_scores(view(s, d, "annual"), lo=-1.75, hi=5.75, step=0.5, curve="kritsky_menkel")
+    found = freq.ratio_scores(view(s, d, "annual"), lo=-1.75, hi=5.75, step=0.5, curve="kritsky_menkel")
+    return found.select("post", "ratio", "points", (F.sqrt(F.col("ss") / F.col("points")) / F.col("mean")).alias("error"))
 
 
 RKI = "rk AS (SELECT post, value, row_number() OVER (PARTITION BY post ORDER BY value) AS i FROM annual)"

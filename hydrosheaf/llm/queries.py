@@ -82,8 +82,9 @@ _LINE_FAILS = f"""(sym * 10 > solid OR (loud * 4 >= nw AND loud > 0)
 @query("op5_quality_rules", f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
-pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
-tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM pos),
+grams AS (SELECT doc_id, [w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] FOR k IN range(1, len(w) - 1)] AS g FROM w WHERE len(w) >= 3),
+pos AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS s FROM grams),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
 facts AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS nw, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS solid,
@@ -170,8 +171,17 @@ jumps(doc_id, k, b, j) AS (
 jumped AS (SELECT doc_id, max(b) FILTER (b < {n})::INT AS shard, max(b) FILTER (b <= {n})::INT AS grown_shard FROM jumps GROUP BY doc_id)"""
 
 
-@query("op10_jump_sharding", f"""WITH RECURSIVE {sharding_sql()},
-rows AS (SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, text, shard, grown_shard FROM documents d JOIN jumped j ON d.doc_id IS NOT DISTINCT FROM j.doc_id)
-SELECT doc_id, size::BIGINT AS size, 'key' AS law, shard, grown_shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot FROM rows""")
+# CRC-32 of a text in SQL: the table by its rule, then one fold over the bytes
+_CRC = """
+bits(n, x, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT n, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY n) AS t FROM bits WHERE k = 8)"""
+_CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+  lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295)"""
+
+
+@query("op10_jump_sharding", f"""WITH RECURSIVE {sharding_sql()},{_CRC},
+rows AS (SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, {_CRC_OF} AS text_crc32, shard, grown_shard FROM documents d JOIN jumped j ON d.doc_id IS NOT DISTINCT FROM j.doc_id, crc)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot FROM rows""")
 def op10_jump_sharding(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"))

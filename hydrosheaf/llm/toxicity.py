@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -101,8 +102,8 @@ for _b in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)):
 _LOUD[33] = 1
 
 
-def features(lexicon: dict[str, float]):
-    """Function for ``mapInArrow`` over (doc_id, text): the features per text."""
+def features(lexicon: dict[str, float], inside: str | None = None):
+    """Function for ``mapInArrow``: the text column, or that of the struct ``inside``, to its features."""
 
     def run(batches):
         known: dict[str, float] = {}
@@ -110,12 +111,14 @@ def features(lexicon: dict[str, float]):
         def weight(token: str) -> float:
             got = known.get(token)
             if got is None:
-                if len(known) > 400_000:
+                if len(known) > 100_000:
                     known.clear()
                 got = known[token] = max((lexicon.get(e, 0.0) for e in entries(token)), default=0.0)
             return got
 
         for batch in batches:
+            if inside:                            # shares the struct's memory
+                batch = batch.append_column("text", pc.struct_field(batch.column(inside), "text"))
             for part, data, offsets in tb.slices(batch):
                 total = [np.concatenate(([0], np.cumsum(t[data]))) for t in (_UPPER, _LETTER, _MARK, _LOUD)]
                 upper, letter, mark, loud = ((c[offsets[1:]] - c[offsets[:-1]]).astype(float) for c in total)
@@ -150,10 +153,10 @@ def features(lexicon: dict[str, float]):
     return run
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` must have a text column; it is replaced by the features."""
+def with_features(docs: DataFrame, lexicon: dict[str, float], inside: str | None = None) -> DataFrame:
+    """``docs`` with its text column replaced by the features, or with those of a struct's text added."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(features(lexicon), f"{kept}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.mapInArrow(features(lexicon, inside), f"{kept}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 class Model:
@@ -162,11 +165,11 @@ class Model:
     def __init__(self, lexicon, trees=None, calibration=None, share: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
-    def score(self, docs: DataFrame) -> DataFrame:
+    def score(self, docs: DataFrame, inside: str | None = None) -> DataFrame:
         if self.trees is None:
             return docs.drop("text").withColumn("score", F.lit(self.share))
         names = [c for c in docs.columns if c != "text"]
-        raw = _raw(self.trees, with_features(docs, self.lexicon))
+        raw = _raw(self.trees, with_features(docs, self.lexicon, inside))
         return self.calibration.transform(raw).select(*names, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
 
 
@@ -214,6 +217,6 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: fl
     model = fit(docs, labels, sample)
     if model.trees is None:
         return docs if model.share < limit else docs.limit(0)
-    carried = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in names])).select("_whole", "text")
-    kept = model.score(carried).filter(F.col("score") < limit)
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_whole"))
+    kept = model.score(carried, "_whole").filter(F.col("score") < limit)
     return kept.select(*[F.col("_whole")[c].alias(c) for c in names])

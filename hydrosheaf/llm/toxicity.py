@@ -69,16 +69,17 @@ def entries(token: str) -> list[str]:
 
 
 def count_entries(batches):
-    """Document frequencies of entries in toxic and other texts, summed per batch."""
+    """Document frequencies of entries in toxic and other texts, summed per slice."""
     for batch in batches:
-        toxic, other = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            seen = {e for t in set((text or "").lower().split()) for e in entries(t)}
-            (toxic if label else other).update(seen)
-        both = list(toxic | other)
-        yield pa.RecordBatch.from_pydict({
-            "entry": pa.array(both, pa.string()), "toxic": pa.array([toxic[e] for e in both], pa.int64()), "other": pa.array([other[e] for e in both], pa.int64()),
-        })
+        for part, _, _ in tb.slices(batch):
+            toxic, other = Counter(), Counter()
+            for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                seen = {e for t in set((text or "").lower().split()) for e in entries(t)}
+                (toxic if label else other).update(seen)
+            both = list(toxic.keys() | other.keys())
+            yield pa.RecordBatch.from_pydict({
+                "entry": pa.array(both, pa.string()), "toxic": pa.array([toxic[e] for e in both], pa.int64()), "other": pa.array([other[e] for e in both], pa.int64()),
+            })
 
 
 def learn_lexicon(labelled: DataFrame, limit: int = LEXICON) -> dict[str, float]:

@@ -46,7 +46,12 @@ TEMPLATES = (
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Lower case, everything but letters, digits and line ends as one blank."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
+
+
+def words_of(plain: Column) -> Column:
+    return F.array_remove(F.split(F.translate(plain, "\n", " "), " ", -1), "")
 
 
 def _plain_bigrams(text: str) -> list[str]:
@@ -56,9 +61,9 @@ def _plain_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def bigrams(plain: Column) -> Column:
-    w = F.split(plain, " ")
-    return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+def bigrams(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def bounds(n: int, least: float = LEAST) -> tuple[int, int]:
@@ -68,11 +73,11 @@ def bounds(n: int, least: float = LEAST) -> tuple[int, int]:
     return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
 
 
-def best(plain: Column, least: float = LEAST, templates=TEMPLATES) -> Column:
-    """struct(dice, license) of the best template of a normalised unit, null below ``least``.
+def best(words: Column, least: float = LEAST, templates=TEMPLATES) -> Column:
+    """struct(dice, license) of the best template of a unit's words, null below ``least``.
 
-    The number of blanks bounds the number of distinct bigrams from above, so long units end at
-    one comparison; only units inside a template's bounds have bigrams built.
+    A unit has fewer distinct bigrams than words and at least as many as distinct words less one, so
+    bigrams are built only for units that these two counts leave inside some template's bounds.
     """
     sets = [(name, _plain_bigrams(text)) for name, text in templates]
     low = min(bounds(len(b), least)[0] for _, b in sets)
@@ -88,19 +93,20 @@ def best(plain: Column, least: float = LEAST, templates=TEMPLATES) -> Column:
             found.append(F.when(dice >= least, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
         return F.array_max(F.array(*found))
 
-    # built once per unit: a transform over an array of one binds the bigrams to a name
-    return F.when(
-        F.regexp_count(plain, F.lit(" ")) >= low,
-        F.get(F.transform(F.array(bigrams(plain)), lambda g: F.when(F.size(g).between(low, high), against(g))), 0),
-    )
+    # built once per unit: a transform over an array of one binds words and bigrams to a name
+    inside = lambda w: F.when(
+        (F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1),
+        F.get(F.transform(F.array(bigrams(w)), lambda g: F.when(F.size(g).between(low, high), against(g))), 0))
+    return F.get(F.transform(F.array(words), inside), 0)
 
 
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, license, dice, n_lines, whole) for every license that a line or the whole text carries."""
-    whole = F.struct(best(normal(body()), least).alias("b"), F.lit(True).alias("whole"))
-    lines = F.transform(F.split(body(), "\n"), lambda x: F.struct(best(normal(x), least).alias("b"), F.lit(False).alias("whole")))
+    plain = docs.select("doc_id", normal(body()).alias("_plain"))
+    whole = F.struct(best(words_of(F.col("_plain")), least).alias("b"), F.lit(True).alias("whole"))
+    lines = F.transform(F.split("_plain", "\n"), lambda x: F.struct(best(words_of(x), least).alias("b"), F.lit(False).alias("whole")))
     units = F.filter(F.concat(lines, F.array(whole)), lambda u: u["b"].isNotNull())
-    hits = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.b.license", "u.b.dice", "u.whole")
+    hits = plain.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.b.license", "u.b.dice", "u.whole")
     return hits.groupBy("doc_id", "license").agg(
         F.max("dice").alias("dice"), F.count(F.when(~F.col("whole"), 1)).alias("n_lines"), F.max("whole").alias("whole")
     )

@@ -18,12 +18,13 @@ from pyspark.sql import types as T
 
 from hydrosheaf.functions.special import lgamma
 from hydrosheaf.operators.stats import moments
-from hydrosheaf.plans.ordering import BLOCK, observed, sequence, spread
+from hydrosheaf.plans.ordering import block_of, observed
 from hydrosheaf.plans.store import staged
 
 TOLERANCE = 1e-9
 ROUNDS = 80
-DAMPING = (0.0, 0.01, 0.3, 10.0)
+# candidates of a step: damping of the curvature (share of the largest) and length along the direction
+STEPS = ((0.0, 1.0), (0.0, 1.6), (0.0, 0.5), (0.0, 0.15), (0.02, 1.0), (1.0, 1.0))
 OUTSIDE = -1e9                    # log density of a value that the law excludes
 _D = T.ArrayType(T.DoubleType())
 
@@ -105,8 +106,10 @@ def next_state(state: np.ndarray, sums: np.ndarray, k: int, bounded, limits) ->
     j = int(np.argmax(np.where(np.isfinite(got[:, 0]), got[:, 0], -np.inf)))
     gain = got[j, 0] - best
     if not gain > 0:
-        # nothing gained: the smallest damped step did not help, so this is as far as doubles go
-        return np.concatenate(([1.0, state[1], best], theta, np.repeat(theta[None], len(cand), 0).ravel()))
+        # nothing gained: a tenth of the same steps, until they are too short to matter
+        nearer = theta + 0.1 * (cand - theta)
+        over = np.abs(nearer - theta).max() < 1e-8
+        return np.concatenate(([float(over), state[1], best], theta, nearer.ravel()))
     theta, best = cand[j], got[j, 0]
     g = got[j, 1: 1 + k].copy()
     hess = np.zeros((k, k))
@@ -125,9 +128,9 @@ def next_state(state: np.ndarray, sums: np.ndarray, k: int, bounded, limits) ->
     along = v.T @ g
     decrement = float((along**2 / np.maximum(w, 1e-9 * top)).sum()) / 2
     out = []
-    for d in DAMPING:
+    for damping, length in STEPS:
         step = np.zeros(k)
-        step[free] = v @ (along / (np.maximum(w, 1e-9 * top) + d * top))
+        step[free] = length * (v @ (along / (np.maximum(w, 1e-9 * top) + damping * top)))
         longest = np.abs(step).max(initial=0.0)
         new = theta + step * min(1.0, 1.5 / longest if longest > 0 else 1.0)
         if limits is not None:
@@ -150,21 +153,23 @@ def fit(df: DataFrame, law: str, bounds: tuple[float, float] | None = None, leas
     logpdf, begin, bounded = LAWS[law]
     limits = (bounds or BOUNDS[law]) if bounded is not None else None
     k = 3 if bounded is not None else 2
-    width = len(DAMPING)
+    width = len(STEPS)
     size = 1 + k + k * (k + 1) // 2
     m = moments(df).filter((F.col("n") >= least) & (F.col("std") > 0)).select("post", "n", "mean", "std", "cs")
     shift, scale = (F.col("mean"), F.col("std")) if bounded is not None else (F.lit(0.0), F.col("mean"))
     facts = staged(m.select("post", "n", shift.alias("shift"), scale.alias("scale"), (F.col("std") / F.col("mean")).alias("cv"), F.coalesce("cs", F.lit(0.0)).alias("cs")))
 
-    seq = sequence(observed(df)).select("post", "value", F.floor((F.col("i") - 1) / BLOCK).alias("ob"))
-    values = spread(seq, facts.select("post", "shift", "scale"), block="ob").select("post", "ob", ((F.col("value") - F.col("shift")) / F.col("scale")).alias("z"))
-    packed = staged(values.groupBy("post", "ob").agg(F.collect_list("z").alias("a")))
+    # facts and state hold one row per post and are written, so their sizes are known where blocks meet them
+    z = (F.col("value") - F.col("shift")) / F.col("scale")
+    values = observed(df).select("post", "value", block_of(F.col("t")).alias("ob")).join(facts.select("post", "shift", "scale"), "post")
+    packed = staged(values.groupBy("post", "ob").agg(F.collect_list(z).alias("a")).drop("ob"))
 
     @F.pandas_udf(_D)
     def start(cv: pd.Series, cs: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(cv, cs):
             c = np.array(begin(a, b))
+            c = np.concatenate((c, np.repeat(c[:1], width - len(c), 0)))
             if limits is not None:
                 c[:, bounded] = np.clip(c[:, bounded], *limits)
             out.append(np.concatenate(([0.0, 0.0, -1e300], c[0], c.ravel())))
@@ -183,10 +188,9 @@ def fit(df: DataFrame, law: str, bounds: tuple[float, float] | None = None, leas
         open_ = state.filter(F.col("state")[0] == 0)
         if open_.isEmpty():
             break
-        # blocks meet the state under (post, block), never the post as one group
-        s = spread(packed, open_, block="ob").select("post", score("a", "state").alias("r"))
-        total = s.groupBy("post").agg(F.array(*[F.sum(F.col("r")[i]) for i in range(width * size)]).alias("sums"))
-        moved = open_.join(total, "post").select("post", move("state", "sums").alias("state"))
+        s = packed.join(open_, "post").select("post", "state", score("a", "state").alias("r"))
+        sums = F.array(*[F.sum(F.col("r")[i]) for i in range(width * size)])
+        moved = s.groupBy("post").agg(sums.alias("sums"), F.any_value("state").alias("state")).select("post", move("state", "sums").alias("state"))
         state = staged(state.filter(F.col("state")[0] == 1).unionByName(moved))
     t = [F.col("state")[3 + i] for i in range(k)]
     theta = F.array(F.col("shift") + F.col("scale") * t[0], t[1] + F.log("scale"), t[2]) if bounded is not None else F.array(t[0], t[1] + F.log("scale"))

@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydrosheaf.plans.store import held
+from hydrosheaf.plans.store import held, staged
 
 # time steps per block, and distinct values of one group above which value blocks are cut;
 # the environment variables exist so that tests can force many blocks on small data
 BLOCK = int(os.environ.get("HYDROSHEAF_BLOCK", 4096))
 VALUE_BLOCK = int(os.environ.get("HYDROSHEAF_VALUE_BLOCK", 1 << 17))
-LANES = 64            # hash lanes of a post where rows have no block of their own
 
 _before = (W.unboundedPreceding, -1)
 _upto = (W.unboundedPreceding, 0)
@@ -174,13 +173,15 @@ def ranks_of(hist: DataFrame, keys=("post",), value="value", limit: int | None =
     """``below``, ``upto`` (counts of smaller / not larger rows) and ``n`` per distinct value."""
     keys = list(keys)
     limit = limit or VALUE_BLOCK
-    hist = hist.withColumn("_lane", F.pmod(F.xxhash64(*keys, value), F.lit(LANES)).cast("int"))
-    sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > limit)
+    # only groups of more than ``limit`` distinct values appear in these two tables, so they are small
+    # against the values; written, their sizes are known when they are joined
+    hist = held(hist)
+    sizes = staged(hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > limit))
     pieces = F.ceil(F.col("_m") / F.lit(limit)) + 1
     draw = F.pmod(F.xxhash64(*keys, value), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # a sample of about eight values per piece, the same on every run
-    cuts = (
-        spread(hist, sizes, keys, "_lane").filter(draw < pieces * 8 / F.col("_m"))
+    cuts = staged(
+        hist.join(sizes, keys).filter(draw < pieces * 8 / F.col("_m"))
         .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s"))
         .select(*keys, F.filter("_s", lambda x, j: (j % 8) == 7).alias("_cuts"))
         .withColumn("_g", F.greatest(F.ceil(F.sqrt(F.size("_cuts"))).cast("int"), F.lit(1)))
@@ -189,9 +190,9 @@ def ranks_of(hist: DataFrame, keys=("post",), value="value", limit: int | None =
     # cut points at or below the value: first among every _g-th, then among the _g after the last of those
     far = F.size(F.filter("_coarse", lambda c: c <= F.col(value))) * F.col("_g")
     near = F.size(F.filter(F.slice("_cuts", F.col("_far") + 1, F.col("_g")), lambda c: c <= F.col(value)))
-    cut = spread(hist, cuts, keys, "_lane", "left").withColumn("_far", far).withColumn(
+    cut = hist.join(cuts, keys, "left").withColumn("_far", far).withColumn(
         "vblk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("_far") + near)
-    ).drop("_lane", "_cuts", "_coarse", "_g", "_far")
+    ).drop("_cuts", "_coarse", "_g", "_far")
     heads = cut.groupBy(*keys, "vblk").agg(F.sum("c").alias("_b"))
     dirs = heads.select(
         *keys,

@@ -12,7 +12,7 @@ def test_likelihood_of_split_posts(spark, series, monkeypatch):
     _, df = series
     small = df.filter("post = 'tied'")
     whole = likelihood.fit(small, "gev").toPandas().iloc[0]
-    monkeypatch.setattr(likelihood, "BLOCK", 16)
+    monkeypatch.setattr(likelihood, "block_of", lambda t: likelihood.F.floor(t / 16))
     split = likelihood.fit(small, "gev").toPandas().iloc[0]
     assert whole.converged and split.converged
     assert abs(split.loglik - whole.loglik) < 1e-6 and np.allclose(split.theta, whole.theta, rtol=1e-4, atol=1e-4)

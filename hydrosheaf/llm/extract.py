@@ -4,16 +4,18 @@ A page is cut into blocks (headings, paragraphs, list items, cells ...).  Blocks
 headers, footers, asides, forms, dialogs or elements whose class, id or role names furniture
 (adverts, banners, menus, comments ...) are dropped, scripts and styles with them.  Blocks inside
 ``article`` or ``main`` are kept: they are the text.  What lies outside of both is settled by
-the host: the token streams of its pages, furniture included, are put together and long token strings
-that occur in two distinct pages or more are boilerplate; a block loses the tokens they cover and
-keeps the unique runs.  Pages of one host that agree outside of their main part count as one page,
-so a copied page doesn't erase itself.
-
-The host's suffix array is not built in one place: suffixes are dealt by (host, hash of their first
-``RUN`` tokens), which are the intervals of the array with a common prefix of that length.  An
+the host: the token streams of its pages, furniture included, are put together and token strings of
+``RUN`` tokens or more that occur in two distinct pages are boilerplate; a block loses the tokens they
+cover and keeps the unique runs.  A block of fewer tokens is never touched.  Pages of one host whose
+open texts are equal or near copies (``ngram_join``, 4 words, 85 %) count as one page, so a copied
+page doesn't erase itself.
+
+The host's suffix array is not sorted beyond what decides: suffixes are dealt by (host, their first
+``RUN`` tokens), which are the intervals of the array whose common prefix is that long.  An
 interval is a row with the smallest and the largest page in it, combined before the shuffle, so
-a host or a phrase of any size stays spread.  A string of ``RUN`` tokens or more is covered
-by its windows of ``RUN`` tokens, hence the cover is the same as that from whole repeats.
+a host or a phrase of any size stays spread.  A maximal repeat of ``RUN`` tokens or more is the union of
+its windows of ``RUN`` tokens, each repeated in the same pages, and a repeated window lies in a
+maximal repeat; hence the cover is the same as that from sorted suffixes and common prefixes.
 
 Null html is empty; null url is a host of its own; a page without text gives an empty one; repeated
 rows give repeated rows.
@@ -29,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrosheaf.llm import ngram_join
 from hydrosheaf.llm.tables import staged
 
-RUN = 6        # tokens of a repeated string that make it boilerplate
+RUN = 12       # tokens of a repeated string that make it boilerplate
 
 # fixed values: element names of HTML by their part in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -154,44 +157,45 @@ def host(url: str | None) -> str | None:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", "", url).split("/")[0].split("?")[0].split("#")[0].lower() if url else None
 
 
-_PARTS = "row string, page_id bigint, url string, host string, kinds array<int>, texts array<string>"
+_PARTS = "row bigint, page_id bigint, url string, host string, kinds array<int>, texts array<string>"
 
 
 def _cut(batches):
+    """Blocks of every page; ``row`` is a digest of host and open text, null where there is none."""
     import hashlib
 
     for batch in batches:
         ids, urls, pages = (batch.column(i).to_pylist() for i in range(3))
         rows = []
         for i, u, h in zip(ids, urls, pages):
-            b = blocks(h)
-            open_text = "\n".join(t for k, t in b if k != KEPT)
-            rows.append((hashlib.sha256(open_text.encode()).hexdigest()[:32], i, u, host(u), [k for k, _ in b], [t for _, t in b]))
+            b, name = blocks(h), host(u)
+            open_text = "\n".join(t for k, t in b if k == OPEN)
+            digest = hashlib.sha256(f"{name or ''}\n{name is None}\n{open_text}".encode("utf-8", "replace")).digest()
+            rows.append((int.from_bytes(digest[:8], "big", signed=True) if open_text else None, i, u, name, [k for k, _ in b], [t for _, t in b]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))],
+            zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))],
             names=["row", "page_id", "url", "host", "kinds", "texts"])
 
 
 def _suffixes(batches):
-    """Intervals (host, hash of RUN tokens) with the smallest and largest page, combined per batch."""
+    """Intervals (host, RUN tokens) with the smallest and largest page, combined per batch."""
     for batch in batches:
-        seen: dict[tuple, list[str]] = {}
-        for row, name, kinds, texts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        seen: dict[tuple, list[int]] = {}
+        for page, name, kinds, texts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             for k, t in zip(kinds, texts):
                 if k != KEPT:
                     for h in set(_windows(t.split())):
-                        got = seen.setdefault((name, h), [row, row])
-                        got[0], got[1] = min(got[0], row), max(got[1], row)
+                        got = seen.setdefault((name, h), [page, page])
+                        got[0], got[1] = min(got[0], page), max(got[1], page)
         yield pa.RecordBatch.from_pydict({
             "host": pa.array([k[0] for k in seen], pa.string()), "h": pa.array([k[1] for k in seen], pa.string()),
-            "lo": pa.array([v[0] for v in seen.values()], pa.string()), "hi": pa.array([v[1] for v in seen.values()], pa.string()),
+            "lo": pa.array([v[0] for v in seen.values()], pa.int64()), "hi": pa.array([v[1] for v in seen.values()], pa.int64()),
         })
 
 
 def _windows(tokens: list[str]) -> list[str]:
-    """The first RUN tokens of every suffix; a shorter block is one window."""
-    n = min(RUN, len(tokens))
-    return [" ".join(tokens[i: i + n]) for i in range(len(tokens) - n + 1)] if tokens else []
+    """The first RUN tokens of every suffix that has so many."""
+    return [" ".join(tokens[i: i + RUN]) for i in range(len(tokens) - RUN + 1)]
 
 
 def _unique(batches):
@@ -204,10 +208,9 @@ def _unique(batches):
                 if k == OPEN and known:
                     tokens = t.split()
                     covered = np.zeros(len(tokens), bool)
-                    n = min(RUN, len(tokens))
                     for i, w in enumerate(_windows(tokens)):
                         if w in known:
-                            covered[i: i + n] = True
+                            covered[i: i + RUN] = True
                     t = " ".join(w for w, c in zip(tokens, covered) if not c)
                 if t and k != GONE:
                     kept.append(t)
@@ -215,28 +218,41 @@ def _unique(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
+def _settled_copies(opened: DataFrame) -> DataFrame:
+    """(row, page) of the open texts: equal texts and near copies of one host share a page."""
+    salt = F.concat(F.lit("~"), F.hex(F.xxhash64("host")))          # words of different hosts differ
+    words = F.flatten(F.transform(_open_blocks(), lambda b: F.split(b["texts"], " ")))
+    texts = opened.select(F.col("row").alias("doc_id"), F.array_join(F.transform(words, lambda w: F.concat(w, salt)), " ").alias("text"))
+    return staged(ngram_join.joined(staged(texts.dropDuplicates(["doc_id"]))).select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")))
+
+
+def _open_blocks():
+    return F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == OPEN)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page row."""
     cut = staged(pages.select("page_id", "url", "html").mapInArrow(_cut, _PARTS))
-    has_open = F.exists("kinds", lambda k: k == OPEN)
-    opened = cut.filter(has_open)
-    shared = (
-        cut.select("row", "host", "kinds", "texts").mapInArrow(_suffixes, "host string, h string, lo string, hi string")
-        .groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("host", "h")
-    )
-    # every open page asks for its own windows, so a host's intervals never gather in one row
-    asked = opened.select("row", "host", F.explode(F.flatten(F.transform(
-        F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == OPEN), lambda b: _window_column(b["texts"])))).alias("h")).distinct()
-    common = asked.join(shared.select(F.col("host").alias("_host"), F.col("h").alias("_h")), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h"))) \
-        .groupBy("row", "host").agg(F.collect_list("h").alias("common")).select(F.col("row").alias("_row"), F.col("host").alias("_host"), "common")
-    settled = opened.join(common, (F.col("row") == F.col("_row")) & F.col("host").eqNullSafe(F.col("_host")), "left").drop("_row", "_host")
-    plain = cut.filter(~has_open).withColumn("common", F.lit(None).cast("array<string>"))
-    text = plain.unionByName(settled).mapInArrow(_unique, "page_id bigint, url string, text string")
+    opened, plain = cut.filter("row IS NOT NULL"), cut.filter("row IS NULL")
+    ready = plain.withColumn("common", F.lit(None).cast("array<string>"))
+    if not opened.isEmpty():        # without open text there is nothing that a repeat could remove
+        # pages without open text count as one page of their host
+        paged = opened.join(_settled_copies(opened), "row").select("page", "host", "kinds", "texts").unionByName(
+            plain.select(F.lit(0).cast("bigint").alias("page"), "host", "kinds", "texts"))
+        shared = (
+            paged.mapInArrow(_suffixes, "host string, h string, lo bigint, hi bigint")
+            .groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select(F.col("host").alias("_host"), F.col("h").alias("_h"))
+        )
+        # every open page asks for its own windows, so a host's intervals never gather in one row
+        asked = opened.select("row", "host", F.explode(F.flatten(F.transform(_open_blocks(), lambda b: _window_column(b["texts"])))).alias("h")).distinct()
+        common = asked.join(shared, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h"))).groupBy("row").agg(F.collect_list("h").alias("common"))
+        ready = ready.unionByName(opened.join(common, "row", "left"))
+    text = ready.mapInArrow(_unique, "page_id bigint, url string, text string")
     return text.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def _window_column(text):
     """SQL form of ``_windows`` over a block, whose tokens are parted by single blanks."""
     w = F.split(text, " ")
-    n = F.least(F.lit(RUN), F.size(w))
-    return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - RUN + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, RUN), " "))).otherwise(
+        F.array().cast("array<string>"))

@@ -79,3 +79,54 @@ def test_repeated_strings_of_a_host_go(spark):
     assert by[15] == by[16] == "copied page as a whole with open text"
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract.extracted(df.limit(0)).count() == 0
+
+
+def test_short_blocks_and_copies_stay(spark):
+    """Blocks below RUN tokens, page copies with other furniture and near copies keep their open text."""
+    own = [" ".join(f"own{k}w{i}" for i in range(30)) for k in range(9)]
+    rows = [(k, f"http://a.org/{k}", f"<div>Read the full story</div><p>{own[k]}</p>") for k in range(3)]
+    rows += [(k, f"http://b.org/{k}", f"<nav>day {k} of the site and its many menus</nav><p>{own[3]}</p>") for k in range(3, 5)]
+    near = " ".join(f"n{i}" for i in range(200))
+    rows += [(k, f"http://c.org/{k}", f"<p>{near} seen on day {k}</p>") for k in range(5, 7)]
+    rows += [(7, "http://d.org/7", f"<p>{near}</p>"), (8, None, f"<p>{own[8]}</p>"), (9, "", f"<p>{own[8]} more</p>")]
+    got = {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == f"Read the full story\n\n{own[k]}"
+    assert got[3] == got[4] == own[3]
+    assert got[5] == f"{near} seen on day 5" and got[6] == f"{near} seen on day 6" and got[7] == near
+
+
+def test_cover_is_that_of_a_sorted_suffix_array(spark):
+    """Maximal repeats from sorted suffixes and common prefixes remove the same tokens."""
+    import random
+
+    rng = random.Random(5)
+    phrases = [[f"p{j}x{i}" for i in range(rng.randrange(3, 40))] for j in range(12)]
+    pages = []
+    for k in range(14):
+        tokens = []
+        for j in rng.sample(range(12), 3):
+            a = rng.randrange(0, 3)
+            tokens += phrases[j][a:] + [f"u{k}y{i}" for i in range(rng.randrange(1, 25))]
+        pages.append(tokens)
+    rows = [(k, "http://a.org/", f"<p>{' '.join(t)}</p>") for k, t in enumerate(pages)]
+    got = {r.page_id: r.text.split() for r in extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+    array = sorted((t[i:], k, i) for k, t in enumerate(pages) for i in range(len(t)))
+    covered = [set() for _ in pages]
+    for x in range(len(array)):
+        s, k, i = array[x]
+        for way in (-1, 1):
+            y, common = x + way, len(s)
+            while 0 <= y < len(array):
+                other = array[y][0]
+                common = next((c for c in range(min(common, len(other))) if s[c] != other[c]), min(common, len(other)))
+                if common < extract.RUN:
+                    break
+                if array[y][1] != k:
+                    covered[k].update(range(i, i + common))
+                    break
+                y += way
+    assert any(covered)
+    for k, t in enumerate(pages):
+        assert got[k] == [w for i, w in enumerate(t) if i not in covered[k]]

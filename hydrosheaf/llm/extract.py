@@ -1,8 +1,9 @@
 """Main text of web pages: markup rules for page furniture and a suffix array per host for the rest.
 
 A page is cut into blocks (headings, paragraphs, list items, cells ...).  Blocks inside navigation,
-headers, footers, asides, forms, dialogs or elements whose class, id or role names furniture
-(adverts, banners, menus, comments ...) are dropped, scripts and styles with them.  Blocks inside
+headers, footers, asides, forms, dialogs or elements with a whole class, id or role token that names
+furniture (``ad``, ``site-footer``, ``comment-list``; not ``with-sidebar`` or ``related-work``) are dropped,
+scripts and styles with them.  A form or an element so named stays if the main element is inside.  Blocks inside
 ``article`` or ``main`` are kept: they are the text.  What lies outside of both is settled by
 the host: the token streams of its pages, furniture included, are put together and token strings of
 ``RUN`` tokens or more that occur in two distinct pages are boilerplate; a block loses the tokens they
@@ -46,11 +47,17 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK
-ROLES = re.compile(
-    r"(^|[\s_-])(ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|notice|popup|modal|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|header|masthead|footer|comment|comments|reply|replies|disqus|share|sharing|"
-    r"social|related|recommended|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widget|toolbar|complementary|contentinfo)"
-    r"($|[\s_-])", re.I)
+ROLES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice popup modal "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer comment comments reply replies disqus share sharing "
+    "social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar complementary contentinfo".split()
+)
+# words beside a role that leave its meaning: site-footer, ad_box, comment-list
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary upper lower area bar block body box button buttons container content entry article form "
+    "inner item items link links list outer panel post posts row section slot text unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_PARTS = frozenset("header footer".split())     # inside an article its own header is part of it
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -58,33 +65,56 @@ _SPACE = re.compile(r"\s+")
 KEPT, OPEN, GONE = 1, 0, 2
 
 
-def _drops(name: str, attrs: str, in_main: bool) -> bool:
+def _named(value: str, in_main: bool) -> bool:
+    """Some whole token of a class, id or role is a role, alone or with words that leave its meaning."""
+    for token in value.lower().split():
+        parts = {x.rstrip("0123456789") for x in re.split("[-_]+", token)} - {""}
+        roles = parts & ROLES
+        if roles and parts <= ROLES | BESIDE and not (in_main and roles == {"header"}):
+            return True
+    return False
+
+
+def _drops(name: str, attrs: str, in_main: bool) -> int:
+    """0: stays, 1: goes unless it holds the main element, 2: goes."""
     if name in FURNITURE and not (in_main and name in ARTICLE_PARTS):
-        return True
+        return 1 if name in ("form", "fieldset") else 2
     if not attrs or name in ("html", "body") or name in MAIN:
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and ROLES.search(value):
-            return not (in_main and value.lower() in ("header", "article-header", "entry-header"))
-    return False
+            return 2
+        if key == "id" and (name in HEADINGS or in_main and name == "section"):
+            continue                       # a heading's or section's id is the anchor of its title
+        if key in ("class", "id", "role") and _named(value, in_main):
+            found = 1
+    return found
+
+
+def _furniture_article(attrs: str) -> bool:
+    """An article that is a comment, a teaser or the like by its own class, id or role."""
+    return any(m[1].lower() in ("class", "id", "role") and _named((m[2] or "").strip("\"'"), False) for m in _ATTR.finditer(attrs))
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(KEPT, OPEN or GONE, text) of the page's blocks in order; GONE ones are furniture."""
+    """(KEPT, OPEN or GONE, text) of the page's blocks in order; GONE ones are furniture.
+
+    What drops a block is a chain of [still drops, unless it holds the main element, rest of the chain],
+    so that an element is given back with its earlier blocks when the main element begins in it.
+    """
     html = html or ""
-    found: list[tuple[int, str]] = []
+    found: list[tuple[list | None, int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []       # name, dropped, inside main
-    dropped = main = False
+    stack: list[tuple[str, list | None, int]] = []       # name, what drops it, 1 in main, 2 in an article
+    dropped, main = None, 0
 
     def flush() -> None:
         if text:
             line = _SPACE.sub(" ", unescape("".join(text)).replace("\xa0", " ")).strip()
             if line:
-                found.append((GONE if dropped else KEPT if main else OPEN, line))
+                found.append((dropped, main, line))
             text.clear()
 
     at, end = 0, len(html)
@@ -104,10 +134,10 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             if k >= 0 and name not in BLOCK and any(s[0] in BLOCK for s in stack[k + 1:]):
                 del stack[k]               # an inline element that closes inside a later block
             elif k >= 0:
-                if name in BLOCK or stack[k][1] != dropped or (k and stack[k - 1][1] != stack[k][1]):
+                if name in BLOCK or stack[k][1] is not dropped or (k and stack[k - 1][1] is not stack[k][1]):
                     flush()
                 del stack[k:]
-                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
             elif name in BLOCK:
                 flush()
             continue
@@ -125,21 +155,41 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             flush()
             while name in CLOSES_P and stack and any(s[0] == "p" for s in _own(stack)):
                 stack.pop()
-                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
             for twin in _IMPLIED.get(name, ()):
                 if stack and stack[-1][0] == twin:
                     stack.pop()
-                    dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    dropped, main = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
         if name in VOID or m[3].endswith("/"):
             continue
-        gone = dropped or _drops(name, m[3], main)
-        if gone != dropped:
+        is_main = 2 if name == "article" else int(name in MAIN or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I)))
+        if is_main and main < 2 and dropped and all(c[1] for c in _chain(dropped)) and not _furniture_article(m[3]):
             flush()
-        dropped = gone
-        main = main or name in MAIN or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))
+            for c in _chain(dropped):
+                c[0] = False
+        how = 0 if dropped and dropped[0] and not dropped[1] else _drops(name, m[3], bool(main))
+        if how and not (is_main and how == 1):
+            flush()
+            dropped = [True, how == 1, _live(dropped)]
+        main = max(main, is_main)
         stack.append((name, dropped, main))
     flush()
-    return found
+    return [(GONE if _live(d) else KEPT if k else OPEN, line) for d, k, line in found]
+
+
+def _chain(dropped):
+    """Links that still drop."""
+    while dropped:
+        if dropped[0]:
+            yield dropped
+        dropped = dropped[2]
+
+
+def _live(dropped):
+    """First link that still drops; links given back are passed over once."""
+    while dropped and not dropped[0]:
+        dropped = dropped[2]
+    return dropped
 
 
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}

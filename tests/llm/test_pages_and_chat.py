@@ -81,6 +81,21 @@ def test_repeated_strings_of_a_host_go(spark):
     assert extract.extracted(df.limit(0)).count() == 0
 
 
+def test_names_that_only_sound_like_furniture_stay():
+    body = "<article><h1>T</h1><p>Text</p></article>"
+    for wrapper in ("class='layout with-sidebar'", "id='page' class='no-header'", "class='has-menu'", "class='search'", "id='sidebar-wrapper'"):
+        assert texts(f"<div {wrapper}><p>Lead</p>{body}</div>") == ["Lead", "T", "Text"]
+        assert texts(f"<div {wrapper}><nav>Menu</nav><div><div class=ad>Buy</div>{body}</div><div class=ad>Buy</div></div>") == ["T", "Text"]
+    assert texts(f"<form id='form1'><header>Site</header><main><p>a</p></main></form>") == ["a"]
+    inside = "<section id='related-work'><p>a</p></section><section id='comments'>b</section><h2 id='search'>c</h2><h2 id='comments-on-method'>d</h2><p class='social-history'>e</p>"
+    assert texts(f"<article>{inside}</article>") == ["a", "b", "c", "d", "e"]
+    gone = "".join(f"<div class='{c}'>x</div>" for c in ("ad", "big ad_box", "site-footer", "main-nav", "comment-list", "ad-1", "Cookie-Notice"))
+    assert texts(f"<article>{gone}<p>a</p></article>{gone}<div role='contentinfo'>x</div>") == ["a"]
+    # comments are articles too: what is named furniture or stands in the text's article is not given back
+    assert texts("<div class='comments'><article class='comment'>x</article></div><article>a<div class='comments'><article>x</article></div></article>") == ["a"]
+    assert texts("<div class='comments' hidden><article>x</article></div><aside><article>x</article></aside><p>b</p>") == ["b"]
+
+
 def test_short_blocks_and_copies_stay(spark):
     """Blocks below RUN tokens, page copies with other furniture and near copies keep their open text."""
     own = [" ".join(f"own{k}w{i}" for i in range(30)) for k in range(9)]

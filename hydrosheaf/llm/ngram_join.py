@@ -17,9 +17,11 @@ Shingles are hashed to 64 bits once, in Arrow slices; after that a document is a
    document is indexed in its own level and those of the sizes it can link with.
 5. Every document is verified against the leader (fewest unmatched shingles) of one bucket; the
    links found merge groups.  Buckets that still hold two groups are verified in blocks inside tasks:
-   members outside the leader's group against all members, with links inside one group skipped; bitmaps
-   of the sets prune first, so whole sets travel only for members with a possible partner.
-   Nothing emits all pairs of a bucket, and no link between different groups is lost.
+   members outside the leader's group against all members, with links inside one group skipped; a task
+   gets one block of either.  A bucket with more outside members than a block is split first, by
+   bands of sizes and the exact prefix for each two bands, so texts of one template that cannot link
+   don't meet.  Bitmaps of the sets prune, so whole sets travel only for members with a possible partner.
+   No link between different groups is lost.
 
 Rows without words have an empty set and link with nothing.  Null text is empty; repeated rows and
 equal texts fall into one class; null doc_ids are scored but take no part in links (null component).
@@ -39,7 +41,7 @@ WORDS = 4              # words of a shingle
 PERCENT = 85           # 100 * intersection >= PERCENT * union
 FREQUENT = 16          # documents that share a shingle from which on it is indexed by pairs
 SMALL = 64             # sets of at most so many shingles are exchanged whole
-BLOCK = 1500           # members of a bucket that one task compares at a time
+BLOCK = 1500           # members of a bucket on either side that one task compares at a time
 
 _SEQ = [tb.U(0x8CB92BA72F3D8DD7), tb.U(0xABCDEF9876543211), tb.U(0xD6E8FEB86659FD93), tb.U(0x9FB21C651E98DF25), tb.U(0xA0761D6478BD642F)]
 U = tb.U
@@ -335,6 +337,92 @@ def _class(df: np.ndarray) -> np.ndarray:
 
 # ---- 5: blocks of unsettled buckets ---------------------------------------------------------
 
+def _bands() -> np.ndarray:
+    """First sizes of the bands, each some 2 % wide."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] + max(1, edges[-1] // 50))
+    return np.array(edges)
+
+
+_EDGES = _bands()
+
+
+def finer(n: int, tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of ``n`` for each band of sizes it can link with, and its side: 0 for sets of its own
+    band, 1 for larger ones, 2 for smaller ones; ``tokens`` are its shared shingles in the global order.
+
+    Sets of n and m link by an overlap of percent * (n + m) / (100 + percent) or more, all of it shared
+    shingles; the first common one has the others behind it, so it lies in both prefixes.
+    """
+    band = lambda size: int(np.searchsorted(_EDGES, size, "right")) - 1
+    mine, least, keys, sides = band(n), needed(n, percent), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for other in range(band(least), band(100 * n // percent) + 1):
+        smallest = max(int(_EDGES[other]), least)
+        want = len(tokens) - -(-percent * (n + smallest) // (100 + percent)) + 1
+        if want > 0:
+            lo, hi = sorted((mine, other))
+            keys.append(tb.mix(tokens[:want] ^ U((lo * 0x9E3779B97F4A7C15 + hi * 0xD1B54A32D192ED03) % (1 << 64))))
+            sides.append(np.full(len(keys[-1]), 0 if lo == hi else 1 if other > mine else 2))
+    return np.concatenate(keys), np.concatenate(sides)
+
+
+def finer_keys(percent: int):
+    """(node, n, tokens, df) -> (node, sub, side)."""
+
+    def run(batches):
+        for batch in batches:
+            for node, n, tokens, df in zip(*[batch.column(c) for c in ("node", "n", "tokens", "df")]):
+                t = np.asarray(tokens.values).view(np.uint64)
+                keys, sides = finer(n.as_py(), t[np.lexsort((t, np.asarray(df.values)))], percent)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node.as_py()), pa.int64()), pa.array(keys.view(np.int64)), pa.array(sides, pa.int64())], names=["node", "sub", "side"])
+
+    return run
+
+
+def _mixed(member: DataFrame, *key: str) -> DataFrame:
+    """Members of the buckets that hold two groups, one bucket of each set of members; ``probe`` are those
+    to be compared, ``out`` of them, with ``target`` ones, ``m`` of them.
+
+    In a bucket of one side (0) the members outside the leader's group are compared with all; otherwise
+    those of side 1 with those of side 2.
+    """
+    mark = F.xxhash64("node", "side")
+    mixed = member.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("extra", "comp")).alias("lead"),
+        F.min("side").alias("low"), F.max("side").alias("high"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y"),
+    ).filter("lo <> hi AND (low = 0 OR low < high)").groupBy("m", "x", "y").agg(F.min(F.struct(*key, "lead")).alias("one")).select(
+        *[f"one.{k}" for k in key], F.col("one.lead.comp").alias("main"))
+    rows = staged(member.join(mixed, list(key)).withColumn("probe", F.expr("side = 1 OR side = 0 AND comp <> main")).withColumn("target", F.expr("side <> 1")))
+    counts = rows.groupBy(*key).agg(F.count_if("probe").alias("out"), F.count_if("target").alias("m"))
+    return rows.join(counts, list(key))
+
+
+_BLOCKED = "sig bigint, sub bigint, line int, block int, node bigint, comp bigint, probe boolean, target boolean"
+
+
+def blocked(member: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Members (sig, node, extra, comp) of buckets -> rows of ``_BLOCKED``, a block of outside members
+    (line) and one of all members in each group of (sig, sub, line, block)."""
+    rows = staged(_mixed(member.withColumn("side", F.lit(0).cast("bigint")), "sig"))
+    large = rows.filter(F.col("out") > BLOCK).select("sig", "node", "extra", "comp")
+    subs = shared.join(large.select("node").distinct(), "node", "left_semi").select("node", "n", "tokens", "df").mapInArrow(finer_keys(percent), "node bigint, sub bigint, side bigint")
+    split = _mixed(large.join(subs, "node"), "sig", "sub")
+    columns = ["sig", "sub", "node", "comp", "probe", "target", "m", "out"]
+    rows = rows.filter(F.col("out") <= BLOCK).withColumn("sub", F.lit(0).cast("bigint")).select(*columns).unionByName(split.select(*columns))
+
+    part = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("lines", part("out")).withColumn("blocks", part("m")) \
+        .withColumn("_line", F.pmod(F.xxhash64("node", F.lit(1)), "lines").cast("int")).withColumn("_block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    as_probe = F.transform(every("blocks"), lambda b: F.struct(F.col("_line").alias("line"), b.alias("block"), F.lit(True).alias("probe"), (F.col("target") & (b == F.col("_block"))).alias("target")))
+    as_target = F.transform(every("lines"), lambda i: F.struct(i.alias("line"), F.col("_block").alias("block"), F.lit(False).alias("probe"), F.lit(True).alias("target")))
+    seats = F.when(~F.col("target"), as_probe).when(F.col("probe"), F.concat(as_probe, F.filter(as_target, lambda t: t["line"] != F.col("_line")))).otherwise(as_target)
+    return rows.select("sig", "sub", "node", "comp", F.explode(seats).alias("s")).select(
+        "sig", "sub", "s.line", "s.block", "node", "comp", "s.probe", "s.target")
+
+
 def sketched(batches):
     """(node, n, tokens) -> bitmap of the hashed set, four to eight bits per member, and its size."""
     for batch in batches:
@@ -384,7 +472,7 @@ def prune(percent: int):
                 if ok.any():
                     keep[i] = True
                     keep[rows[ok]] = True
-        return table.select(["sig", "block", "node", "comp", "probe", "target"]).filter(pa.array(keep))
+        return table.select(["sig", "sub", "line", "block", "node", "comp", "probe", "target"]).filter(pa.array(keep))
 
     return run
 
@@ -476,21 +564,11 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     links = staged(_linked(stars, plain, percent))
     label = staged(_labelled(nodes, links))
 
-    # buckets that hold two groups, one of each set of members
-    member = keys.join(label, "node")
-    mark = F.xxhash64("node")
-    mixed = member.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("extra", "comp")).alias("lead"),
-        F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y"),
-    ).filter("lo <> hi").groupBy("m", "x", "y").agg(F.min(F.struct("sig", "lead")).alias("one")).select("one.sig", "m", F.col("one.lead.comp").alias("main"))
-    rows = member.join(mixed, "sig").withColumn("parts", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("home", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    outside = F.col("comp") != F.col("main")
-    dealt = rows.withColumn("block", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.col("home"))))).select(
-        "sig", "block", "node", "comp", outside.alias("probe"), (F.col("block") == F.col("home")).alias("target"))
+    # buckets that hold two groups, in blocks
+    dealt = blocked(keys.join(label, "node").select("sig", "node", "extra", "comp"), shared, percent)
     sketches = staged(plain.mapInArrow(sketched, "node bigint, n bigint, k bigint, bits binary"))
-    open_ = staged(dealt.join(sketches, "node").groupBy("sig", "block").applyInArrow(
-        prune(percent), "sig bigint, block int, node bigint, comp bigint, probe boolean, target boolean"))
-    more = open_.join(plain, "node").groupBy("sig", "block").applyInArrow(compare(percent), "a bigint, b bigint")
+    open_ = staged(dealt.join(sketches, "node").groupBy("sig", "sub", "line", "block").applyInArrow(prune(percent), _BLOCKED))
+    more = open_.join(plain, "node").groupBy("sig", "sub", "line", "block").applyInArrow(compare(percent), "a bigint, b bigint")
     final = _labelled(nodes, links.union(staged(more)))
 
     of_class = classes.select("n", "s1", "s2", "node").join(final, "node", "left").select("n", "s1", "s2", F.coalesce("comp", "node").alias("c"))

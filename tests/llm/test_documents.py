@@ -91,6 +91,57 @@ def test_signatures_meet_for_every_linked_pair():
                 assert len(np.intersect1d(*keys)), (n, share)
 
 
+def test_texts_of_one_template_are_split_and_blocks_bounded(spark, monkeypatch):
+    """A bucket of template texts that don't link: few rows, bounded groups, planted links still meet."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    m, template = 400, list(range(1, 89))
+    own = {i: [1000 * (1 + i // 2) + j for j in range(6)] + [10**6 * (1 + (i + 1) // 2 % 200) + j for j in range(6)] for i in range(m)}     # each own shingle in two texts
+    sets = {i: template + own[i] for i in range(m)}
+    sets[m] = sets[7][:88] + sets[7][88:] + [5 * 10**8]                   # links with 7
+    sets[m + 1] = sets[9][3:] + own[201][:1]                              # links with 9
+    df = collections.Counter(t for x in sets.values() for t in x)
+    order = {t: int(ngram_join.tb.mix(np.array([t], np.uint64)).view(np.int64)[0]) for t in df}
+    shared = spark.createDataFrame([(i, len(x), [order[t] for t in x if df[t] > 1], [df[t] for t in x if df[t] > 1]) for i, x in sets.items()],
+                                   "node bigint, n bigint, tokens array<bigint>, df array<bigint>")
+    member = lambda comp: spark.createDataFrame([(1, i, 0, comp(i)) for i in sets], "sig bigint, node bigint, extra bigint, comp bigint")
+    groups = collections.defaultdict(list)
+    for r in ngram_join.blocked(member(lambda i: i), shared, 85).collect():
+        groups[r.sig, r["sub"], r.line, r.block].append(r)
+    assert sum(map(len, groups.values())) < 8 * m             # blocks alone: more than 10 m rows, 400 in each group
+    assert max(map(len, groups.values())) <= 2 * 40
+    assert sum(sum(r.probe for r in g) * sum(r.target for r in g) for g in groups.values()) < 30 * m
+    for pair in ((7, m), (9, m + 1)):
+        assert any({r.node for r in g if r.probe or r.target} >= set(pair) and any(r.probe and r.node in pair for r in g) for g in groups.values())
+    # few outside members: one line, every outside member meets every member
+    met = ngram_join.blocked(member(lambda i: 500 + i if i < 30 else 0), shared, 85).collect()
+    assert max(collections.Counter((r["sub"], r.line, r.block) for r in met).values()) <= 2.5 * 40
+    block, probes = {r.node: r.block for r in met if r.target}, {(r.block, r.node) for r in met if r.probe}
+    assert block.keys() == sets.keys() and len({i for _, i in probes}) <= 30
+    assert all((block[k], i) in probes for _, i in probes for k in sets)
+
+
+def test_finer_keys_meet_for_every_linked_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 20, 57, 100, 401):
+        for _ in range(40):
+            universe = rng.permutation(np.unique(rng.integers(1, 1 << 62, 3 * n + 8, dtype=np.uint64)))
+            x = universe[:n]
+            drop = rng.integers(0, max(1, n * 15 // 100) + 1)
+            y = np.concatenate((x[drop:], universe[n: n + rng.integers(0, max(1, n * 17 // 100) + 1)]))
+            common = len(np.intersect1d(x, y))
+            if 100 * common < 85 * (n + len(y) - common):
+                continue
+            unique = set(rng.choice(universe, len(universe) // 2).tolist()) - set(np.intersect1d(x, y).tolist())
+            keys = [ngram_join.finer(len(s), np.sort(np.array([t for t in s.tolist() if t not in unique], np.uint64))) for s in (x, y)]
+            (a, p), (b, q) = keys
+            sides = {(int(p[i]), int(q[j])) for i, k in enumerate(a) for j in np.flatnonzero(b == k)}
+            assert sides & {(0, 0), (1, 2), (2, 1)}, (n, len(y), common)
+
+
 def test_suffix_sorting_removes_what_earlier_documents_hold(docs, rows):
     got = collections.defaultdict(list)
     for r in suffix_dedup.deduplicated(docs, True).collect():

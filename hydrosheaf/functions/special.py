@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 # fixed values: Stirling series of ln gamma
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 _TINY = 1e-300
+LARGE = 1e6            # shape or degrees of freedom from which the asymptotic forms hold to some 1e-12
 
 
 def lgamma(x):
@@ -31,12 +32,17 @@ def lgamma(x):
 
 
 def gammainc(a, x):
-    """Regularised lower incomplete gamma P(a, x): power series or continued fraction."""
+    """Regularised lower incomplete gamma P(a, x): power series or continued fraction, from ``LARGE`` on
+    the uniform asymptotic form; not a number where a loop ends unconverged."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.zeros(a.shape)
     ok = (x > 0) & np.isfinite(x) & (a > 0)
     out[np.isposinf(x)] = 1.0
     out[~np.isfinite(a) | np.isnan(x)] = np.nan
+    large = ok & (a >= LARGE)
+    if large.any():
+        out[large] = _large_gammainc(a[large], x[large])
+        ok = ok & ~large
     front = np.zeros(a.shape)
     front[ok] = np.exp(a[ok] * np.log(x[ok]) - x[ok] - lgamma(a[ok]))
     series = ok & (x < a + 1)
@@ -48,6 +54,19 @@ def gammainc(a, x):
     return out
 
 
+def _large_gammainc(a, x):
+    """Temme's uniform form: the normal law of eta * sqrt(a) and the first term of the rest."""
+    mu = (x - a) / a
+    # half of eta squared is mu - ln(1 + mu), by its series where that would cancel
+    near = np.abs(mu) < 0.05
+    m = np.where(near, mu, 0.0)
+    half = np.where(near, m * m * sum((-m) ** k / (k + 2) for k in range(14)), mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2 * half)
+    close = np.abs(eta) < 1e-3
+    rest = np.where(close, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864, 1 / np.where(close, 1.0, mu) - 1 / np.where(close, 1.0, eta))
+    return np.clip(normal_cdf(eta * np.sqrt(a)) - rest * np.exp(-a * half) / np.sqrt(2 * np.pi * a), 0, 1)
+
+
 def _lower_series(a, x):
     """Sum of x^k / (a ... (a + k)); finished elements drop out every 32 terms."""
     result = np.empty_like(a)
@@ -66,7 +85,7 @@ def _lower_series(a, x):
                 live, term, total, k, x = live[keep], term[keep], total[keep], k[keep], x[keep]
                 if not len(live):
                     return result
-    result[live] = total
+    result[live] = np.where(term < total * 1e-13, total, np.nan)
     return result
 
 
@@ -95,12 +114,12 @@ def _upper_fraction(a, x):
                 live, a, b, c, d, h = live[keep], a[keep], b[keep], c[keep], d[keep], h[keep]
                 if not len(live):
                     return result
-    result[live] = h
+    result[live] = np.where(np.abs(step - 1) < 1e-12, h, np.nan)
     return result
 
 
 def betainc(a, b, x):
-    """Regularised incomplete beta by its continued fraction."""
+    """Regularised incomplete beta by its continued fraction; not a number where that ends unconverged."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
     flip = x > (a + 1) / (a + b + 2)
     aa, bb, xx = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
@@ -120,7 +139,7 @@ def betainc(a, b, x):
             h = h * d * c
         if (np.abs(d * c - 1) < 3e-15).all():
             break
-    r = np.where(xx <= 0, 0.0, front * h)
+    r = np.where(xx <= 0, 0.0, np.where(np.abs(d * c - 1) < 1e-12, front * h, np.nan))
     return np.where(flip, 1 - r, r)
 
 
@@ -240,8 +259,18 @@ def pearson3_z(p_exceed, cs):
 
 
 def t_two_sided(t, df):
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return betainc(df / 2, np.full(df.shape, 0.5), df / (df + t * t))
+    """P(|T| > t); from ``LARGE`` degrees of freedom on by the normal law of Wallace's deviate."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    large = df >= LARGE
+    small = np.where(large, 1.0, df)
+    out = betainc(small / 2, np.full(df.shape, 0.5), small / (small + t * t))
+    if large.any():
+        n = df[large]
+        z = (8 * n + 1) / (8 * n + 3) * np.sqrt(n * np.log1p(t[large] ** 2 / n))
+        y = np.maximum(z * z / 2, 1.5)
+        far = np.exp(0.5 * np.log(y) - y) / np.sqrt(np.pi) * _upper_fraction(np.full(y.shape, 0.5), y)
+        out[large] = np.where(z * z / 2 > 1.5, far, 1 - gammainc(0.5, z * z / 2))
+    return out
 
 
 def t_ppf_upper(prob, df):
@@ -265,7 +294,9 @@ def f_ppf_upper(prob, d1, d2):
     lo, hi = np.zeros(d1.shape), np.full(d1.shape, 1e6)
     for _ in range(100):
         mid = 0.5 * (lo + hi)
-        over = f_upper(mid, d1, d2) > prob
+        tail = f_upper(mid, d1, d2)
+        lo = np.where(np.isnan(tail), np.nan, lo)
+        over = tail > prob
         lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
     return 0.5 * (lo + hi)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
-from hydrosheaf.llm.tables import read
+from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, repair, sharding, suffix_dedup, toxicity
+from hydrosheaf.llm.tables import read, staged
 
 QUERIES = {}
 SQL = {}
@@ -175,13 +175,60 @@ jumped AS (SELECT doc_id, max(b) FILTER (b < {n})::INT AS shard, max(b) FILTER (
 _CRC = """
 bits(n, x, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT n, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(x ORDER BY n) AS t FROM bits WHERE k = 8)"""
-_CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+def _crc_of(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
   lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295)"""
 
 
 @query("op10_jump_sharding", f"""WITH RECURSIVE {sharding_sql()},{_CRC},
-rows AS (SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, {_CRC_OF} AS text_crc32, shard, grown_shard FROM documents d JOIN jumped j ON d.doc_id IS NOT DISTINCT FROM j.doc_id, crc)
+rows AS (SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc_of("coalesce(text, '')")} AS text_crc32, shard, grown_shard FROM documents d JOIN jumped j ON d.doc_id IS NOT DISTINCT FROM j.doc_id, crc)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard,
   (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot FROM rows""")
 def op10_jump_sharding(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"))
+
+
+# edits over the states 0 (nothing yet), s, u and a; a value is the cost, padded, and the audit behind it
+_INSERTS = "('0', '0', 0, ''), ('0', 'u', 3, 'I'), ('0', 'a', 6, 'II'), ('s', 's', 0, ''), ('s', 'u', 3, 'I'), ('s', 'a', 6, 'II'), ('u', 'u', 0, ''), ('u', 'a', 3, 'I'), ('a', 'a', 0, ''), ('a', 'u', 3, 'I')"
+_MOVES = "('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')"
+_ADD = "lpad((substr(v, 1, 9)::BIGINT + {})::VARCHAR, 9, '0') || substr(v, 10) || {}"
+_REPAIR = f"""WITH RECURSIVE {_CRC.strip()},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc_of("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE k <> 0),
+rows AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos, substr(role, 1, 1) AS i FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS dup, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM rows),
+faults AS (SELECT *, blank OR dup AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM seen),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND dup) AS duplicate,
+  count(*) FILTER (NOT blank AND NOT dup AND cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM faults GROUP BY conv_id),
+ins(f, g, c, e) AS (VALUES {_INSERTS}), moves(f, o, g) AS (VALUES {_MOVES}),
+best(conv_id, pos, st, v) AS (
+  SELECT conv_id, 0::BIGINT, '0', '000000000' FROM convs
+  UNION ALL
+  SELECT conv_id, pos, st, min(v) FROM (
+    SELECT r.conv_id, r.pos, unnest([
+        struct_pack(st := g, v := {_ADD.format("4", "'D'")}),
+        struct_pack(st := CASE WHEN NOT gone THEN (SELECT any_value(m.g) FROM moves m WHERE m.f = x.g AND m.o = i) END, v := {_ADD.format("more", "'K'")}),
+        struct_pack(st := CASE WHEN NOT gone AND i <> 'u' THEN (SELECT any_value(m.g) FROM moves m WHERE m.f = x.g AND m.o = 'u') END, v := {_ADD.format("more + 3", "'R'")}),
+        struct_pack(st := CASE WHEN NOT gone AND i <> 'a' THEN (SELECT any_value(m.g) FROM moves m WHERE m.f = x.g AND m.o = 'a') END, v := {_ADD.format("more + 3", "'R'")})], recursive := true)
+    FROM (SELECT conv_id, pos, g, {_ADD.format("c", "e")} AS v FROM best JOIN ins ON f = st) x JOIN faults r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.pos = x.pos + 1)
+  WHERE st IS NOT NULL GROUP BY conv_id, pos, st),
+done AS (SELECT b.conv_id, min({_ADD.format("CASE st WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END", "CASE st WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END")}) AS v
+  FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id WHERE pos = coalesce(n, 0) GROUP BY b.conv_id),
+marks AS (SELECT conv_id, substr(v, 10) AS audit, len(replace(substr(v, 10), 'D', '')) % 2 AS odd, unnest(range(1, len(v) - 8)) AS j FROM done),
+steps AS (SELECT conv_id, j, odd, audit[j:j] AS e, len(replace(audit[1:j], 'I', '')) AS pos, len(replace(audit[1:j], 'D', '')) AS k FROM marks),
+lines AS (SELECT s.conv_id, j, CASE WHEN e = 'K' THEN r.role WHEN (k - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE r.text END AS line
+  FROM steps s LEFT JOIN faults r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos WHERE e <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS text FROM lines GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, substr(v, 1, 9)::BIGINT AS cost, substr(v, 10) AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM done d LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+@query("op11_structure_repair", _REPAIR)
+def op11_structure_repair(spark, sf_dir):
+    rows = repair.damaged(read(spark, sf_dir, "conversations"))
+    return repair.digest(rows, staged(repair.plans(rows)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, ngram_join, quality, repair, sharding, suffix_dedup, toxicity
+from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, neighbours, ngram_join, quality, repair, sharding, suffix_dedup, toxicity
 from hydrosheaf.llm.tables import read, staged
 
 QUERIES = {}
@@ -232,3 +232,8 @@ FROM done d LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id LEFT J
 def op11_structure_repair(spark, sf_dir):
     rows = repair.damaged(read(spark, sf_dir, "conversations"))
     return repair.digest(rows, staged(repair.plans(rows)))
+
+
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))

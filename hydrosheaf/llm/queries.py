@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrosheaf.llm import chat, decontam, extract, licenses, mixing, neighbours, ngram_join, quality, repair, sharding, suffix_dedup, toxicity
+from hydrosheaf.llm import chat, decontam, extract, lexical, licenses, mixing, neighbours, ngram_join, quality, repair, sharding, suffix_dedup, toxicity
 from hydrosheaf.llm.tables import read, staged
 
 QUERIES = {}
@@ -237,3 +237,22 @@ def op11_structure_repair(spark, sf_dir):
 @query("op12_nearest_neighbours")
 def op12_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_lexical_search", f"""WITH
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{lexical.PATTERN}') AS w FROM documents),
+size AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+every AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+items AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOW}, '{lexical.PATTERN}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM items) GROUP BY q, term),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weight AS (SELECT term, floor(1000.0::DOUBLE * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY term), every),
+part AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS s FROM post JOIN weight USING (term) JOIN size USING (r), every),
+scored AS (SELECT q, r, sum(s * times)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY q, r HAVING sum(s * times) > 0),
+best AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored JOIN size USING (r))
+SELECT item_id, rank::INT AS rank, doc_id, score FROM best JOIN items USING (q) WHERE rank <= {lexical.TOP}""")
+def op13_lexical_search(spark, sf_dir):
+    return lexical.ranked_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -40,7 +40,7 @@ TOP = 10
 SHARD = 12 << 20          # bytes of text in a shard, about
 PIECE = 2 << 20           # bytes of a text that are read at once
 POSTINGS = 128            # postings of a block
-WINDOW = 1024             # documents scored together
+WINDOW = 512              # documents scored together at first; windows double as the floor settles
 ITEMS = 512               # items of a block
 K1_SCALE, TF_SCALE, M_SCALE = 1_000_000_000, 1000, 8
 
@@ -80,11 +80,34 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
     yield data[at:]
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Width byte and numbers in the narrowest unsigned integers."""
-    top = int(x.max()) if len(x) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+def _width(top: np.ndarray) -> np.ndarray:
+    """Bytes of the narrowest unsigned integers that hold these numbers."""
+    return np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 4))
+
+
+def packed(doc: np.ndarray, tf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of postings that begin at ``start``: bytes, end of each block, greatest frequencies.
+
+    A block is a width byte and the gaps between its documents, then a width byte and the frequencies.
+    """
+    gap = np.diff(doc, prepend=0)
+    gap[start] = doc[start]
+    top_tf = np.maximum.reduceat(tf, start)
+    size = np.diff(np.append(start, len(doc)))
+    wide = [_width(np.maximum.reduceat(gap, start)), _width(top_tf)]
+    ends = np.cumsum(2 + size * (wide[0] + wide[1]))
+    head = ends - (2 + size * (wide[0] + wide[1]))
+    raw = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    inside = np.arange(len(doc)) - np.repeat(start, size)
+    for values, w in ((gap, wide[0]), (tf, wide[1])):
+        raw[head] = w
+        each = np.repeat(w, size)
+        at = np.repeat(head + 1, size) + inside * each
+        for k in range(4):
+            some = each > k
+            raw[at[some] + k] = (values[some] >> (8 * k)) & 255
+        head = head + 1 + size * w
+    return raw, ends, top_tf
 
 
 def _widened(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -92,11 +115,6 @@ def _widened(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(raw, f"<u{size}", n, at + 1).astype(np.int64), at + 1 + size * n
 
 
-def packed(docs: np.ndarray, tf: np.ndarray) -> bytes:
-    """A block of postings: gaps between documents and frequencies."""
-    return _narrow(np.diff(docs, prepend=0)) + _narrow(tf)
-
-
 def unpacked(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     gaps, at = _widened(raw, 0, n)
     return np.cumsum(gaps), _widened(raw, at, n)[0]
@@ -150,21 +168,24 @@ class _Shard:
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])) as out:
             out.write_batch(pa.RecordBatch.from_arrays([body, pa.array(n)], names=["doc_id", "n"]))
         yield self._batch([(name, "", len(n), int(n.sum()), [], [], [], [], sink.getvalue().to_pybytes())])
-        cut = np.flatnonzero(np.diff(term, prepend=-1))
-        words = coded.dictionary.to_pylist()
-        out = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(term)]):
-            d, f = doc[a:b], tf[a:b]
-            at = np.arange(0, b - a, POSTINGS)
-            parts = [packed(d[i:i + POSTINGS], f[i:i + POSTINGS]) for i in at.tolist()]
-            out.append((
-                name, words[term[a]].decode(), b - a, int(f.sum()), np.maximum.reduceat(f, at).tolist(), n[d[at]].tolist(),
-                d[np.minimum(at + POSTINGS, b - a) - 1].tolist(), np.cumsum([len(p) for p in parts]).tolist(), b"".join(parts)))
-            if len(out) >= 4096:
-                yield self._batch(out)
-                out = []
-        if out:
-            yield self._batch(out)
+        cut = np.flatnonzero(np.diff(term, prepend=-1))                      # first posting of each list
+        inside = np.arange(len(term)) - np.repeat(cut, np.diff(np.append(cut, len(term))))
+        start = np.flatnonzero(inside % POSTINGS == 0)                       # first posting of each block
+        raw, ends, top_tf = packed(doc, tf, start)
+        first = np.searchsorted(start, cut)                                  # first block of each list
+        size = np.diff(np.append(start, len(term)))
+        held = np.concatenate(([0], ends))
+        words = coded.dictionary.take(pa.array(term[cut])).cast(pa.large_string())
+        lists = pa.array(np.append(first, len(start)), pa.int32())
+        cuts = ends - np.repeat(held[first], np.diff(np.append(first, len(start))))
+        columns = [
+            pa.array([name] * len(cut), pa.string()), words.cast(pa.string()), pa.array(np.diff(np.append(cut, len(term)))), pa.array(np.add.reduceat(tf, cut)),
+            *[pa.ListArray.from_arrays(lists, pa.array(c.astype(np.int64))) for c in (top_tf, n[doc[start]], doc[start + size - 1], cuts)],
+            pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(held[np.append(first, len(start))].astype(np.int32)), pa.py_buffer(raw)]),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, schema=_INDEX)
+        for at in range(0, len(cut), 16384):
+            yield whole.slice(at, 16384)
 
     @staticmethod
     def _batch(rows: list) -> pa.RecordBatch:
@@ -273,8 +294,9 @@ def ranked(uses: list[tuple[_List, int]], ids: np.ndarray, n_docs: int, top: int
         return []
     bounds = np.cumsum([x.bound * k for x, k in uses])          # of a list and all below it
     heap_score, heap_doc, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
-    for low in range(0, n_docs, WINDOW):
-        high = min(low + WINDOW, n_docs)
+    low, step = 0, WINDOW
+    while low < n_docs:
+        high = min(low + step, n_docs)
         first = int(np.searchsorted(bounds, floor))              # lists below it reach no floor together
         if first == len(uses):
             break
@@ -301,6 +323,7 @@ def ranked(uses: list[tuple[_List, int]], ids: np.ndarray, n_docs: int, top: int
             best = np.lexsort((ids[heap_doc], -heap_score))[:top]
             heap_score, heap_doc = heap_score[best], heap_doc[best]
             floor = max(1, int(heap_score[-1]))                  # an equal score may still win by its id
+        low, step = high, 2 * step
     best = np.lexsort((ids[heap_doc], -heap_score))
     return [(int(heap_score[b]), int(heap_doc[b])) for b in best if heap_score[b] > 0]
 

@@ -577,11 +577,17 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group (that of the smallest id, once), columns of ``docs``; null ids stay."""
-    found = joined(docs, words, percent)
-    away = staged(found.filter("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
-    again = staged(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    rest = docs.join(away, "doc_id", "left_anti")
-    if not again.isEmpty():         # rows that repeat an id: one of them stays
-        rest = rest.join(again, "doc_id", "left_anti").unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group, columns of ``docs``: the row of the smallest doc_id, null ids last.
+
+    Rows are told apart by a number of their own, not by doc_id: of rows that repeat an id and a text one
+    stays, rows that repeat an id with unlike texts all stay, and rows without words always stay.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = staged(joined(keyed.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id"))
+    named = found.join(keyed.select(row, "doc_id"), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", row)).alias("first"))
+    away = staged(named.select(row, "component_id").join(first, "component_id").filter(F.col(row) != F.col(f"first.{row}")).select(row))
+    return keyed.join(away, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

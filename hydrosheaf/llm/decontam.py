@@ -11,7 +11,8 @@ automaton walks these and numpy skips the rest; a match of any length lies insid
 
 The automaton travels to every task, so its size is checked: items are dealt into blocks of at most
 ``BLOCK_WORDS`` words, each with an automaton and a pass of its own, and hits of a document are
-merged.  Null and empty texts have no words and are clean; items without words cover nothing;
+merged.  Null and empty texts have no words and are clean; items without words cover nothing; an item
+with a null id covers words like any other and is not listed among the items of a document;
 repeated rows each get their result; an empty benchmark leaves all documents clean.
 """
 
@@ -30,7 +31,7 @@ from hydrosheaf.llm import textbytes as tb
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000      # words of one automaton
-LEAST_SPAN = 10              # words of a covered span that is cut out
+LEAST_SPAN = 1               # words of a covered span that is cut out: whole items of fewer than WINDOW words too
 MOST_COVERED = 0.5           # share of covered words above which a document goes
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -175,7 +176,7 @@ def matcher(items: list[tuple[object, list[bytes]]], spans: bool = False, window
                 n_words, hit, found, covered = matched(auto, data, offsets, spans)
                 cols = {
                     "doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(hit, pa.int64()),
-                    "items": pa.array([sorted(found.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.int64())),
+                    "items": pa.array([sorted(x for x in found.get(i, ()) if x is not None) for i in range(part.num_rows)], pa.list_(pa.int64())),
                 }
                 if spans:
                     cols["spans"] = pa.array(covered, pa.list_(pa.list_(pa.int64())))
@@ -223,7 +224,7 @@ def _runs(covered: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Items as word lists, at most ``limit`` words together; read from Spark a partition at a time."""
     held, count = [], 0
-    for row in benchmark.select("item_id", "text").filter("item_id IS NOT NULL").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         ws = words(row["text"])
         if held and count + len(ws) > limit:
             yield held

@@ -108,13 +108,13 @@ def _windows_sql(documents: str, benchmark: str) -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     n = decontam.WINDOW
     return f"""
-items AS (SELECT item_id, regexp_extract_all({low}, '{pattern}') AS w FROM {benchmark} WHERE item_id IS NOT NULL),
+items AS (SELECT item_id, regexp_extract_all({low}, '{pattern}') AS w FROM {benchmark}),
 windows AS (SELECT DISTINCT item_id, least(len(w), {n}) AS k, array_to_string(w[i:i + least(len(w), {n}) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - {n}, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({low}, '{pattern}') AS w FROM {documents}),
 spots AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
 found AS (SELECT r, spots.k, i, item_id FROM spots JOIN windows USING (k, s)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)"""
+named AS (SELECT r, count(item_id) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)"""
 
 
 @query("op7_decontamination", f"""WITH {_windows_sql('documents', 'benchmark')}

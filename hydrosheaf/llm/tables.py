@@ -20,6 +20,17 @@ def body(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows at once to Python in this session, or fewer where it is set so.
+
+    Spark bounds Arrow batches by rows.  With its default of 10,000 a batch of whole texts takes tens of MB
+    several times over, in the JVM and in the worker, and neither gives it back while stages follow.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def groups_for(spark: SparkSession) -> int:
     """Number of hash groups for work in Arrow batches: as many as the session has shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrosheaf.functions.special import normal_cdf_col, t_critical_col, t_two_sided_col
+from hydrosheaf.operators.slopes import median_slopes
 from hydrosheaf.plans.ordering import (
     BLOCK, observed, quantiles, running, sequence, value_ranks, with_ranks,
 )
@@ -126,62 +127,12 @@ def mann_kendall(df: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _median_slope(t: pd.Series, v: pd.Series) -> pd.Series:
-    def one(x, y):
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        if len(x) < 2:
-            return 0.0
-        parts = [(y[k + 1:] - y[k]) / (x[k + 1:] - x[k]) for k in range(len(x) - 1)]
-        return float(np.median(np.concatenate(parts)))
-
-    return pd.Series([one(a, b) for a, b in zip(t, v)], dtype="float64")
-
-
-def median_slopes(df: DataFrame, limit: int = 2048, rounds: int = 64) -> DataFrame:
-    """Median of all pairwise slopes.
-
-    Posts up to ``limit`` rows are solved in one Arrow call; longer ones by bisection on the
-    slope, each round counting slopes below the trial value with :func:`sign_sum`.
-    """
-    obs = observed(df)
-    sizes = obs.groupBy("post").agg(F.count(F.lit(1)).alias("_n"))
-    small = obs.join(sizes.filter(F.col("_n") <= limit), "post", "left_semi")
-    short = small.groupBy("post").agg(F.collect_list(F.struct("t", "value")).alias("a")).select(
-        "post", _median_slope(F.transform("a", lambda r: r["t"].cast("double")), F.col("a.value")).alias("slope")
-    )
-    big = sizes.filter(F.col("_n") > limit)
-    if big.isEmpty():
-        return short
-    seq = sequence(obs.join(big, "post", "left_semi")).filter(F.col("prev").isNotNull())
-    step = (F.col("value") - F.col("prev")) / (F.col("t") - F.col("prev_t"))
-    pairs = F.col("_n") * (F.col("_n") - 1) / 2
-    # the median lies between the extreme neighbour slopes; an even count needs two of them
-    state = seq.groupBy("post").agg(F.min(step).alias("lo"), F.max(step).alias("hi")).join(big, "post").select(
-        "post", "lo", "hi", pairs.alias("pairs"),
-        F.explode(F.array(F.floor((pairs + 1) / 2), F.floor((pairs + 2) / 2))).alias("k"),
-    ).distinct()
-    state = staged(state)
-    for _ in range(rounds):
-        s = state.withColumn("mid", (F.col("lo") + F.col("hi")) / 2).withColumn("id", F.concat_ws("\x01", "post", "k"))
-        tilted = obs.join(s, "post").select(
-            F.col("id").alias("post"), "t", (F.col("value") - F.col("mid") * F.col("t")).alias("value")
-        )
-        less = sign_sum(tilted).select(F.col("post").alias("id"), F.col("s").alias("_s"))
-        low = (F.col("pairs") - F.col("_s")) / 2 >= F.col("k")
-        state = staged(s.join(less, "id").select(
-            "post", F.when(low, F.col("lo")).otherwise(F.col("mid")).alias("lo"),
-            F.when(low, F.col("mid")).otherwise(F.col("hi")).alias("hi"), "pairs", "k",
-        ))
-    long = state.groupBy("post").agg(F.avg((F.col("lo") + F.col("hi")) / 2).alias("slope"))
-    return short.unionByName(long)
-
-
-def sens_slope(df: DataFrame, limit: int = 2048) -> DataFrame:
+def sens_slope(df: DataFrame) -> DataFrame:
+    """Median pairwise slope, and the intercept through the medians of value and time."""
     med_v = quantiles(value_ranks(df), {"_my": 0.5}).drop("n")
     times = observed(df).select("post", F.col("t").cast("double").alias("value"))
     med_t = quantiles(value_ranks(times), {"_mt": 0.5}).drop("n")
-    return median_slopes(df, limit).join(med_v, "post").join(med_t, "post").select(
+    return median_slopes(df).join(med_v, "post").join(med_t, "post").select(
         "post", "slope", (F.col("_my") - F.col("slope") * F.col("_mt")).alias("intercept")
     )
 

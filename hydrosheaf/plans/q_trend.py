@@ -59,6 +59,11 @@ def _(s, d):
     return trend.sens_slope(view(s, d, "annual"))
 
 
+@register("t03_sens_slope_daily", DAY + ", " + SEN.format(v="daily") + f" SELECT post, {R('slope', 'intercept')} FROM sen")
+def _(s, d):
+    return trend.sens_slope(view(s, d, "daily"))
+
+
 @register("t04_pettitt", ANN + ", " + PET.format(v="annual") + f" SELECT post, {B('n', 'i - 1 AS change_index', 't AS change_t', 'u AS max_u')}, {R('p AS p_value')}, p < 0.05 AS significant FROM pet")
 def _(s, d):
     return trend.pettitt(view(s, d, "annual"))

@@ -71,17 +71,6 @@ def test_sign_sum_by_tiles_against_pairs(spark, series):
         assert got[post] == want, post
 
 
-def test_median_slope_by_bisection(spark, series):
-    pdf, df = series
-    sub = df.filter("post <> 'long'")
-    got = dict(trend.median_slopes(sub, limit=20, rounds=8).toPandas().values.tolist())
-    for post, g in pdf[pdf.post != "long"].groupby("post"):
-        g = g.sort_values("t")
-        v, t = g.value.to_numpy(), g.t.to_numpy()
-        want = np.median(np.concatenate([(v[k + 1:] - v[k]) / (t[k + 1:] - t[k]) for k in range(len(v) - 1)]))
-        assert abs(got[post] - want) < (1e-9 if post == "short" else 0.6), post
-
-
 def test_spectrum_in_pieces(spark, series):
     pdf, df = series
     got = flow.spectrum(df, "hanning", piece=64).toPandas()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrosheaf.functions import fixed
+from hydrosheaf.operators.fourier import fourier_sums
 from hydrosheaf.operators.freq import module_quantiles
 from hydrosheaf.operators.stats import annual_runoff_stats
 from hydrosheaf.plans.carry import compress, scan
@@ -490,60 +491,12 @@ _TAPER = {
     "blackman": lambda x: 0.42 - 0.5 * F.cos(x) + 0.08 * F.cos(2 * x),
     "none": lambda x: F.lit(1.0),
 }
-FFT_ROWS = 1 << 20  # longest piece of a series that one task transforms
-
-
-def _chirp(x, n, k0, count):
-    """sum_m x_m exp(-2 pi i m (k0 + k) / n) for k < count: chirp transform by three FFTs."""
-    size = len(x)
-    m = np.arange(max(size, count), dtype=np.int64)
-    chirp = np.exp(-1j * np.pi * ((m * m) % (2 * n)) / n)
-    shift = np.exp(-2j * np.pi * ((m[:size] * k0) % n) / n)
-    length = 1 << int(np.ceil(np.log2(size + count)))
-    a = np.zeros(length, complex)
-    a[:size] = x * shift * chirp[:size]
-    b = np.zeros(length, complex)
-    b[:count] = np.conj(chirp[:count])
-    b[length - size + 1:] = np.conj(chirp[1:size][::-1])
-    return np.fft.ifft(np.fft.fft(a) * np.fft.fft(b))[:count] * chirp[:count]
-
-
 def spectrum(df: DataFrame, taper: str = "none", piece: int | None = None) -> DataFrame:
-    """Discrete Fourier sums of the demeaned, tapered series: (post, n, k, re, im), k = 1..n/2.
-
-    A series of at most ``piece`` rows is transformed in one Arrow call.  A longer one is cut
-    into pieces of rows and pieces of frequencies; each task turns one piece of rows into one
-    piece of frequencies, and the shares are added per (post, k).
-    """
-    piece = piece or FFT_ROWS
+    """Discrete Fourier sums of the demeaned, tapered series: (post, n, k, re, im), k = 1..n/2."""
     seq = sequence(observed(df)).filter(F.col("n") >= 4)
     angle = 2 * np.pi * (F.col("i") - 1) / (F.col("n") - 1)
     x = (F.col("value") - F.col("total") / F.col("n")) * _TAPER[taper](angle)
-    d = seq.select("post", "n", "i", x.alias("x"), F.floor((F.col("i") - 1) / piece).cast("bigint").alias("pb"))
-    packed = d.groupBy("post", "n", "pb").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("a"))
-    half = F.floor(F.col("n") / 2)
-    jobs = packed.select("post", "n", "pb", F.col("a.x").alias("x"), F.explode(F.sequence(F.lit(0), F.floor((half - 1) / piece))).alias("fb"))
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def transform(xs: pd.Series, n: pd.Series, pb: pd.Series, fb: pd.Series) -> pd.Series:
-        out = []
-        for v, total, p, f in zip(xs, n, pb, fb):
-            v, total = np.asarray(v, float), int(total)
-            k0 = int(f) * piece + 1
-            count = min(piece, total // 2 - int(f) * piece)
-            if len(v) == total:
-                y = np.fft.rfft(v)[k0:k0 + count]
-            else:
-                k = np.arange(k0, k0 + count, dtype=np.int64)
-                turn = np.exp(-2j * np.pi * ((k * (int(p) * piece)) % total) / total)
-                y = _chirp(v, total, k0, count) * turn
-            out.append([list(z) for z in zip(y.real.tolist(), y.imag.tolist())])
-        return pd.Series(out)
-
-    y = jobs.select("post", "n", "fb", transform("x", "n", "pb", "fb").alias("y"))
-    y = y.select("post", "n", "fb", F.posexplode("y").alias("j", "y"))
-    k = (F.col("fb") * piece + F.col("j") + 1).cast("bigint")
-    return y.groupBy("post", "n", k.alias("k")).agg(F.sum(F.col("y")[0]).alias("re"), F.sum(F.col("y")[1]).alias("im"))
+    return fourier_sums(seq.select("post", "n", (F.col("i") - 1).alias("m"), x.alias("x")), piece)
 
 
 def fft_analysis(df: DataFrame, dt: float = 1.0, piece: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hydrosheaf.operators import analog, fits, flow, freq, quality, stats, tables, trend
+from hydrosheaf.operators import analog, fits, flow, fourier, freq, quality, stats, tables, trend
 from hydrosheaf.plans import ordering as o
 
 
@@ -71,16 +71,33 @@ def test_sign_sum_by_tiles_against_pairs(spark, series):
         assert got[post] == want, post
 
 
-def test_spectrum_in_pieces(spark, series):
+@pytest.mark.parametrize("piece", [None, 16, 64])
+def test_spectrum_in_pieces(spark, series, piece):
+    """One task per step, or groups of a few rows and columns of the matrix."""
     pdf, df = series
-    got = flow.spectrum(df, "hanning", piece=64).toPandas()
+    got = flow.spectrum(df, "hanning", piece=piece).toPandas()
     for post, g in pdf.groupby("post"):
         v = g.sort_values("t").value.to_numpy()
         y = np.fft.rfft((v - v.mean()) * np.hanning(len(v)))[1:len(v) // 2 + 1]
         p = got[got.post == post].sort_values("k")
+        assert p.k.tolist() == list(range(1, len(v) // 2 + 1))
         assert np.allclose(p.re, y.real, atol=1e-7) and np.allclose(p.im, y.imag, atol=1e-7)
 
 
+def test_fourier_sums_of_every_length(spark):
+    """Awkward lengths, powers of two and lengths next to them, in one table."""
+    rng = np.random.default_rng(2)
+    sizes = [*range(1, 36), 63, 64, 65, 127, 128, 129, 257, 509, 1024, 1531]
+    series = {f"s{n}": rng.standard_normal(n) for n in sizes}
+    rows = [(p, len(v), m, float(x)) for p, v in series.items() for m, x in enumerate(v)]
+    got = fourier.fourier_sums(spark.createDataFrame(rows, "post string, n bigint, m bigint, x double"), 128).toPandas()
+    for post, v in series.items():
+        p = got[got.post == post].sort_values("k")
+        y = np.fft.fft(v)[1:len(v) // 2 + 1] if len(v) >= 4 else np.zeros(0)
+        assert p.k.tolist() == list(range(1, len(y) + 1))
+        assert np.allclose(p.re + 1j * p.im, y, atol=1e-9)
+
+
 def test_pair_sums_in_tiles(spark):
     rng = np.random.default_rng(1)
     wide = pd.DataFrame(rng.normal(10, 2, (40, 9)), columns=[f"p{k}" for k in range(9)])

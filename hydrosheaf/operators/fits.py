@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -254,45 +256,76 @@ def pp_points(df: DataFrame, law="normal") -> DataFrame:
 
 
 # --- bootstrap ------------------------------------------------------------------------------
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 32-bit numbers; products stay below 2**63, so SQL can do the same."""
+    x = ((x ^ (x >> 16)) * MIX[0]) & LOW
+    x = ((x ^ (x >> 15)) * MIX[1]) & LOW
+    return x ^ (x >> 15)
+
+
+LOW, MIX, STRIDE = (1 << 32) - 1, (0x21F0AAAD, 0x735A2D97), 0x9E3779B9
+DRAWS = 1 << 20     # draws that a task holds at once
+
+
+def _name(seed: int, post: str, what) -> int:
+    return int(hashlib.sha256(f"{seed}:{post}:{what}".encode()).hexdigest()[:8], 16)
+
+
+def block_draws(seed: int, post: str, block: int, blocks: int, n: int, width: int, replicates: int) -> np.ndarray:
+    """How many of the n draws of each replicate fall into a block.
+
+    From all blocks down to one, each half of a range of blocks gets a binomial share of the range's draws.
+    The share depends on (post, range) alone, so tasks that pass through a range agree about it, and a block
+    takes as many splits as the logarithm of the number of blocks.
+    """
+    low, high, left = 0, blocks, np.full(replicates, n)
+    root = _name(seed, post, "tree")
+    while high - low > 1:
+        mid = (low + high) // 2
+        size = lambda a, b: min(b * width, n) - a * width        # noqa: E731
+        share = np.random.default_rng([root, low, high]).binomial(left, size(low, mid) / size(low, high))
+        low, high, left = (low, mid, share) if block < mid else (mid, high, left - share)
+    return left
+
+
+def block_sums(seed: int, post: str, block: int, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Power sums 0 to 3 of each replicate's draws from a block; a draw is a hash of (post, block, replicate, number)."""
+    base, out = _name(seed, post, block), np.zeros((len(draws), 4))
+    powers = np.stack([np.ones_like(x), x, x * x, x * x * x])
+    ends = np.cumsum(draws)
+    at = 0
+    while at < len(draws):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - draws[at] + DRAWS, "right")))
+        own = np.repeat(np.arange(to - at), draws[at:to])
+        k = np.arange(len(own)) - np.repeat(ends[at:to] - draws[at:to] - (ends[at] - draws[at]), draws[at:to])
+        place = (_mixed((_mixed((base + at + own) & LOW) + k * STRIDE) & LOW) * len(x)) >> 32
+        for j, p in enumerate(powers):
+            out[at:to, j] = np.bincount(own, p[place], to - at)
+        at = to
+    return out
+
+
 def bootstrap_params(df: DataFrame, replicates: int = 1000, seed: int = 42, width: int = BLOCK) -> DataFrame:
     """Moments of resamples with replacement, without moving the draws.
 
-    How many of the n draws fall into a block is multinomial; inside a block the counts of its
-    rows are multinomial again.  Block totals are drawn from (post, replicate) alone, so every
-    block knows its share, and only power sums per (post, replicate) leave a task.
+    The draws of a replicate are dealt to blocks of rows down a binary tree of blocks; inside a block each
+    draw is a hashed place.  Only power sums per (post, replicate) leave a task.
     """
     seq = sequence(observed(df)).select("post", "value", "i", "n").filter(F.col("n") >= 3)
     m = moments(df).select("post", F.col("mean").alias("_m"))
     packed = seq.groupBy("post", "n", F.floor((F.col("i") - 1) / width).cast("bigint").alias("ob")).agg(
         F.sort_array(F.collect_list(F.struct("i", "value"))).alias("a")).join(m, "post")
-    key = F.xxhash64("post", F.lit(seed))
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def draw(a: pd.Series, ob: pd.Series, n: pd.Series, mean: pd.Series, k: pd.Series) -> pd.Series:
+    def draw(a: pd.Series, post: pd.Series, ob: pd.Series, n: pd.Series, mean: pd.Series) -> pd.Series:
         out = []
-        for x, b, total, mu, h in zip(a, ob, n, mean, k):
-            x = np.asarray(x, float) - mu
-            pw = np.stack([np.ones_like(x), x, x * x, x * x * x])
-            rows = np.empty((replicates, 4))
-            own = np.random.default_rng([int(h) & 0xFFFFFFFF, int(b), 7])
-            share = np.random.default_rng([int(h) & 0xFFFFFFFF, 3])
-            if total <= width:
-                mine = np.full(replicates, total)
-            else:
-                # successive binomial splits give each block its multinomial total, the same in every task
-                left, rest = np.full(replicates, total), int(total)
-                mine = left
-                for j in range(int(b) + 1):
-                    size = min(width, int(total) - j * width)
-                    mine = share.binomial(left, size / rest)
-                    left, rest = left - mine, rest - size
-            for r in range(replicates):
-                c = own.multinomial(mine[r], np.full(len(x), 1 / len(x)))
-                rows[r] = pw @ c
-            out.append([list(v) for v in rows])
+        for x, p, b, total, mu in zip(a, post, ob, n, mean):
+            total = int(total)
+            mine = block_draws(seed, p, int(b), -(-total // width), total, width, replicates)
+            out.append(block_sums(seed, p, int(b), np.asarray(x, float) - mu, mine).tolist())
         return pd.Series(out)
 
-    d = packed.select("post", "n", "_m", draw(F.col("a.value"), "ob", "n", "_m", key).alias("s"))
+    d = packed.select("post", "n", "_m", draw(F.col("a.value"), "post", "ob", "n", "_m").alias("s"))
     d = d.select("post", "n", "_m", F.posexplode("s").alias("rep", "s"))
     g = d.groupBy("post", "n", "_m", "rep").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(4)])
     n = F.col("s0")

@@ -207,6 +207,33 @@ def _(s, d):
     return freq.class_design_points(view(s, d, "annual"), post_classes(s, d))
 
 
+def _mixed_sql(source: str, start: str, keep: str, name: str, out: str) -> str:
+    """CTEs ``name``a to ``name``: the bits of a 32-bit number ``start`` spread as the operator does it."""
+    low = fits.LOW
+    return f"""{name}a AS (SELECT {keep}, ({start}) & {low} AS x FROM {source}),
+ {name}b AS (SELECT {keep}, (xor(x, x >> 16) * {fits.MIX[0]}) & {low} AS x FROM {name}a),
+ {name}c AS (SELECT {keep}, (xor(x, x >> 15) * {fits.MIX[1]}) & {low} AS x FROM {name}b),
+ {name} AS (SELECT {keep}, xor(x, x >> 15) AS {out} FROM {name}c)"""
+
+
+BOOT = f"""{PARAMS}, bs AS (SELECT post, list(value ORDER BY t) AS v, count(*) AS n, avg(value) AS m FROM annual WHERE value IS NOT NULL GROUP BY post HAVING count(*) >= 3),
+ br AS (SELECT post, n, ('0x' || substr(sha256('42:' || post || ':0'), 1, 8))::BIGINT AS h, unnest(range(1000)) AS rep FROM bs),
+ {_mixed_sql("br", "h + rep", "post, n, rep", "bm", "s")},
+ bk AS (SELECT post, n, rep, s, unnest(range(n)) AS k FROM bm),
+ {_mixed_sql("bk", f"s + k * {fits.STRIDE}", "post, n, rep", "bd", "u")},
+ bv AS (SELECT bd.post, rep, bs.m, v[1 + ((u * bs.n) >> 32)] - m AS x FROM bd JOIN bs USING (post)),
+ bp AS (SELECT post, rep, m, count(*)::DOUBLE AS n, avg(x) AS mu, greatest(avg(x * x) - avg(x) * avg(x), 0) AS m2,
+   avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * avg(x) * avg(x) * avg(x) AS m3 FROM bv GROUP BY post, rep, m),
+ bq AS (SELECT post, rep, m + mu AS mean, CASE WHEN m + mu <> 0 THEN sqrt(m2 * n / (n - 1)) / (m + mu) ELSE 0 END AS cv,
+   CASE WHEN m2 > 1e-20 THEN m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2) ELSE 0 END AS cs FROM bp),
+ every AS (SELECT post, -1 AS rep, mean, cv, cs FROM p UNION ALL SELECT post, rep, mean, cv, cs FROM bq)"""
+
+
+@register("f15_bootstrap_params", BOOT + f" SELECT post, {B('rep')}, {R('mean', 'cv', 'cs')} FROM every WHERE rep >= 0")
+def _(s, d):
+    return fits.bootstrap_params(view(s, d, "annual")).select("post", "rep", "mean", "cv", "cs")
+
+
 @register("f15_bootstrap_bands", digits=3)
 def _(s, d):
     return fits.bootstrap_bands(view(s, d, "annual"))

@@ -86,6 +86,39 @@ def test_bootstrap_split_into_blocks_keeps_the_draw_count(spark, series):
     assert abs(g["mean"].mean() - x.mean()) < x.std() / np.sqrt(700)
 
 
+def test_bands_are_percentiles_of_the_resampled_curves(spark, series):
+    from hydrosheaf.functions.special import pearson3_z
+
+    _, df = series
+    one = df.filter("post = 'tied'")
+    got = fits.bootstrap_bands(one, (0.01, 0.5), replicates=60).orderBy("p").toPandas()
+    g = fits.bootstrap_params(one, 60).toPandas()
+    for p, row in zip((0.01, 0.5), got.itertuples()):
+        z = np.array([pearson3_z(np.array([p]), c)[0] for c in g.cs])
+        q = np.maximum(g["mean"] + g["mean"] * np.maximum(g.cv.abs(), 0.001) * z, 0)
+        assert np.allclose([row.q_low, row.q_high, row.std_error], [*np.percentile(q, [2.5, 97.5]), q.std(ddof=1)], rtol=1e-9)
+
+
+def test_blocks_share_all_draws_by_their_size():
+    n, width, blocks = 1000, 64, 16
+    shares = np.stack([fits.block_draws(7, "post", b, blocks, n, width, 400) for b in range(blocks)])
+    assert (shares.sum(axis=0) == n).all() and shares.min() >= 0
+    size = np.array([width] * 15 + [n - 15 * width])
+    spread = np.sqrt(n * size / n * (1 - size / n) / 400)
+    assert (np.abs(shares.mean(axis=1) - size) < 5 * spread).all()
+    # the variance is that of a multinomial
+    assert np.allclose(shares.var(axis=1), size * (1 - size / n), rtol=0.35)
+
+
+def test_sums_of_draws_do_not_depend_on_how_many_are_held(monkeypatch):
+    x, draws = np.arange(10.0), np.array([5, 0, 7, 100, 1])
+    whole = fits.block_sums(1, "p", 2, x, draws)
+    monkeypatch.setattr(fits, "DRAWS", 6)
+    assert (fits.block_sums(1, "p", 2, x, draws) == whole).all() and (whole[:, 0] == draws).all()
+    many = fits.block_sums(1, "p", 2, x, np.full(200, 500))
+    assert abs(many[:, 1].sum() / 100_000 - 4.5) < 0.05 and abs(many[:, 2].sum() / 100_000 - 28.5) < 0.5
+
+
 def test_multi_analog_against_least_squares(spark):
     rng = np.random.default_rng(3)
     x = rng.gamma(4, 10, (30, 3))

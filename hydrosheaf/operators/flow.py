@@ -15,7 +15,7 @@ from hydrosheaf.operators.freq import module_quantiles
 from hydrosheaf.operators.stats import annual_runoff_stats
 from hydrosheaf.plans.carry import compress, scan
 from hydrosheaf.plans.ordering import (
-    block_of, fill_edges, observed, quantiles, rolling, running, sequence, spread, value_ranks,
+    block_of, fill_edges, histogram, observed, quantiles, ranks_of, rolling, running, sequence, spread, value_ranks,
 )
 
 
@@ -241,15 +241,16 @@ def regime_class(df: DataFrame) -> DataFrame:
 
 
 def exceedance_share(df: DataFrame, levels: DataFrame) -> DataFrame:
-    """Share of observations at or above each level of the post (post, level)."""
-    hist = observed(df).groupBy("post", "value").agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.withColumn("lane", F.pmod(F.xxhash64("value"), F.lit(64)))
-    packed = levels.groupBy("post").agg(F.collect_set("level").alias("ls"))
-    n = hist.groupBy("post").agg(F.sum("c").alias("n"))
-    hits = spread(hist, packed, block="lane").select("post", "c", F.explode(F.filter("ls", lambda x: x <= F.col("value"))).alias("level"))
-    got = hits.groupBy("post", "level").agg(F.sum("c").alias("k"))
-    return levels.select("post", "level").distinct().join(n, "post").join(got, ["post", "level"], "left").select(
-        "post", "level", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("p"))
+    """Share of observations at or above each level of the post (post, level).
+
+    Levels are ranked among the values, as values that no row holds: one ranking in value blocks serves any
+    number of levels.  Null levels and posts without an observation have no share.
+    """
+    asked = levels.select("post", F.col("level").cast("double").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    values = histogram(observed(df)).unionByName(asked.withColumn("c", F.lit(0).cast("bigint")))
+    ranks = ranks_of(values.groupBy("post", "value").agg(F.sum("c").alias("c")))
+    n = F.col("n")
+    return ranks.filter(n > 0).join(asked, ["post", "value"]).select("post", F.col("value").alias("level"), ((n - F.col("below")) / n).alias("p"))
 
 
 def eco_class(ratio: Column) -> Column:

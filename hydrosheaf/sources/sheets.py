@@ -12,11 +12,13 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS = "file string, sheet string, sheet_no int, row int, col int, text string"
 YEAR_NAMES = ("год", "year", "years", "дата", "date")
+DAILY_NAMES = ("q", "расход", "value")          # preferred names of a daily value
+DAILY_SHEETS = ("Работа8", "FDC", "Кривая")     # keywords of its sheet
 
 # fixed values: units removed from column names, compound ones first
 COMPOUND_UNITS = ("мм/год", "м3/с", "м/с", "л/с", "км2/с", "m3/s", "m/s")
@@ -62,8 +64,55 @@ def series_of(series: DataFrame, post: str) -> DataFrame:
     return series.filter((F.col("post") == post) & F.col("value").isNotNull() & F.col("t").isNotNull())
 
 
-def read_daily_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return spark.read.csv(path, header=True, sep=sep)
+def _time(text: Column) -> Column:
+    """A whole number, or the days of a date since 1970."""
+    return F.coalesce(text.try_cast("bigint"), F.unix_date(text.try_cast("date")))
+
+
+def read_daily_csv(spark: SparkSession, path: str, sep: str = ",", prefer=DAILY_NAMES) -> DataFrame:
+    """Daily values of csv files of one header: (post, t, value), a post being a file without its ending.
+
+    One pass counts the numbers of every column; then the chosen column alone is read, with that of the year
+    or date.  Without such a column ``t`` is the number of the row in its file, from 1.  Cells that are no
+    numbers are null values; files without a column of three numbers give no rows.
+    """
+    wide = spark.read.csv(path, header=True, sep=sep)
+    names = wide.columns
+    text = lambda c: F.trim(F.col("`" + c.replace("`", "``") + "`"))
+    counts = wide.agg(*[F.count(text(c).try_cast("double")).alias(f"c{j}") for j, c in enumerate(names)]).first()
+    found = spark.createDataFrame([("", "", j, c, counts[j]) for j, c in enumerate(names)], "file string, sheet string, col int, name string, numbers bigint") if names else None
+    best = _chosen(found, prefer).first() if names else None
+    if best is None:
+        return spark.createDataFrame([], "post string, t bigint, value double")
+    year = next((c for c in names if c.strip().lower() in YEAR_NAMES and c != best["name"]), None)
+    file = F.col("_metadata.file_name")
+    rows = wide.select(F.regexp_replace(file, r"\.[^.]*$", "").alias("post"), text(names[best["col"]]).try_cast("double").alias("value"),
+                       *([_time(text(year)).alias("t")] if year else []), F.monotonically_increasing_id().alias("_at"))
+    if not year:                    # a file is the unit a person can open
+        rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("post").orderBy("_at")).cast("bigint"))
+    return rows.filter(F.col("t").isNotNull()).select("post", "t", "value")
+
+
+def daily_of_cells(cells: DataFrame, prefer=DAILY_NAMES, keywords=DAILY_SHEETS) -> DataFrame:
+    """Daily values of workbooks as cells: (post, t, value), a post being a file without folder and ending.
+
+    The sheet is the one its keywords name, else the first; its header the row of a year or value name, else
+    the first row; the column that of the same choice as in csv files.
+    """
+    sheets = cells.select("file", "sheet", "sheet_no").distinct()
+    first = sheets.groupBy("file").agg(F.min(F.struct("sheet_no", "sheet")).alias("f"))
+    chosen = first.join(find_sheets(sheets, keywords).select("file", F.col("sheet").alias("s")), "file", "left").select("file", F.coalesce("s", "f.sheet").alias("sheet"))
+    mine = cells.join(chosen, ["file", "sheet"], "left_semi")
+    header = header_rows(mine, (*YEAR_NAMES, *prefer)).withColumn("header_row", F.greatest("header_row", F.lit(0)))
+    rows = body(mine, header)
+    value = rows.join(numeric_columns(rows, prefer).select("file", "sheet", "col"), ["file", "sheet", "col"]).select(
+        "file", "row", F.trim("text").try_cast("double").alias("value"))
+    times = rows.filter(F.lower(F.trim("name")).isin(*YEAR_NAMES)).groupBy("file", "row").agg(F.min(F.struct("col", _time(F.trim("text")).alias("t"))).alias("b")).select("file", "row", F.col("b.t").alias("t"))
+    dated = times.filter(F.col("t").isNotNull()).select("file").distinct().withColumn("dated", F.lit(True))
+    at = F.row_number().over(Window.partitionBy("file").orderBy("row")).cast("bigint")
+    d = value.withColumn("_at", at).join(times, ["file", "row"], "left").join(dated, "file", "left")
+    d = d.withColumn("t", F.when(F.col("dated"), F.col("t")).otherwise(F.col("_at")))
+    return d.filter(F.col("t").isNotNull()).select(F.regexp_replace(F.regexp_replace("file", ".*/", ""), r"\.[^.]*$", "").alias("post"), "t", "value")
 
 
 def read_tab_years(spark: SparkSession, path: str, posts: list[str]) -> DataFrame:
@@ -152,9 +201,14 @@ def body(cells: DataFrame, header: DataFrame) -> DataFrame:
 
 def numeric_columns(cells: DataFrame, prefer=("value", "q", "расход")) -> DataFrame:
     """Chosen column per (file, sheet): preferred name, else numeric and not a year, else numeric."""
-    name = clean_name(F.col("name"))
     count = F.count(F.expr("try_cast(trim(text) as double)"))
-    d = cells.groupBy("file", "sheet", "col", "name").agg(count.alias("numbers")).filter(F.col("numbers") >= 3)
+    return _chosen(cells.groupBy("file", "sheet", "col", "name").agg(count.alias("numbers")), prefer)
+
+
+def _chosen(counts: DataFrame, prefer) -> DataFrame:
+    """The column of each sheet from the counts of numbers per column."""
+    name = clean_name(F.col("name"))
+    d = counts.filter(F.col("numbers") >= 3)
     score = _longest(name, [p.lower() for p in prefer])
     year = name.contains("год") | name.contains("year")
     rank = F.when(score > 0, F.lit(2)).when(~year, F.lit(1)).otherwise(F.lit(0))

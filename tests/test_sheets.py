@@ -88,10 +88,37 @@ def test_text_sources_and_sinks(spark, tmp_path):
     got = sh.read_tab_years(spark, str(tmp_path / "y.txt"), ["a", "b"]).orderBy("t", "post").collect()
     assert [(r.post, r.t, r.value) for r in got] == [("a", 2000, 1.5), ("b", 2000, None), ("a", 2002, 3.0), ("b", 2002, 4.0)]
     pd.DataFrame({"Год": [1, 2, 3], "Q": [4.0, 5.0, 6.0], "note": ["u", "v", "w"]}).to_csv(tmp_path / "d.csv", index=False)
-    w = sh.read_daily_csv(spark, str(tmp_path / "d.csv"))
+    w = spark.read.csv(str(tmp_path / "d.csv"), header=True)
     assert sh.load_wide(w) == ("Год", ["Q"])
     s = sh.to_series(w, "Год", ["Q"])
     sh.write_tsv(s, str(tmp_path / "out.tsv"))
     assert spark.read.csv(str(tmp_path / "out.tsv"), sep="\t", header=True).count() == 3
     sh.write_report({"source": s, "stats": s.groupBy("post").count()}, str(tmp_path / "rep"), "post")
     assert spark.read.parquet(str(tmp_path / "rep" / "source")).count() == 3
+
+
+def test_daily_csv_takes_the_column_of_the_value(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    for post, shift in (("north", 0), ("south", 100)):
+        lines = ["Дата,H,Q м3/с,note"] + [f"2001-01-{k:02d},{k},{k + shift + 0.5},n{k}" for k in range(1, 8)] + ["2001-01-08,1,bad,x", "no day,2,5,x"]
+        (tmp_path / "csv" / f"{post}.csv").write_text("\n".join(lines), encoding="utf-8")
+    got = sorted(tuple(r) for r in sh.read_daily_csv(spark, str(tmp_path / "csv")).collect())
+    want = [(p, 11322 + k, k + s + 0.5 if k < 8 else None) for p, s in (("north", 0), ("south", 100)) for k in range(1, 9)]
+    assert got == want
+    (tmp_path / "plain.csv").write_text("name;a`b;year\n" + "\n".join(f"x;{k};{1990 + k}" for k in range(4)))
+    got = sorted(tuple(r) for r in sh.read_daily_csv(spark, str(tmp_path / "plain.csv"), ";").collect())
+    assert got == [("plain", 1990 + k, float(k)) for k in range(4)]
+    (tmp_path / "bare.csv").write_text("a,level\n" + "\n".join(f"x,{k}" for k in (5, 3, 4)))
+    assert sorted(tuple(r) for r in sh.read_daily_csv(spark, str(tmp_path / "bare.csv")).collect()) == [("bare", 1, 5.0), ("bare", 2, 3.0), ("bare", 3, 4.0)]
+    (tmp_path / "none.csv").write_text("a,b\nx,1\ny,2")
+    assert sh.read_daily_csv(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_daily_workbook_takes_the_same_column(spark, tmp_path):
+    head = {(2, 0): "Год", (2, 1): "H, м", (2, 2): "Q, м3/с"}
+    rows = {(3 + k, c): v for k in range(5) for c, v in enumerate((2000 + k, 1 + k, 10.5 + k))}
+    write_xlsx(tmp_path / "post.xlsx", {"Данные": {(0, 0): "x"}, "Работа8": {(0, 0): "Таблица"} | head | rows})
+    write_xlsx(tmp_path / "bare.xlsx", {"Sheet": {(0, 0): "q"} | {(1 + k, 0): 3 * k for k in range(4)}})
+    cells = sh.read_workbooks(spark, str(tmp_path / "*.xlsx"))
+    got = sorted(tuple(r) for r in sh.daily_of_cells(cells).collect())
+    assert got == [("bare", 1 + k, 3.0 * k) for k in range(4)] + [("post", 2000 + k, 10.5 + k) for k in range(5)]

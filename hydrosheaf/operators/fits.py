@@ -35,17 +35,19 @@ def digamma(x):
 
 
 def _gamma_shape(s):
-    """Shape of the gamma law from s = ln(mean) - mean(ln): Newton on the digamma equation."""
+    """Shape of the gamma law from s = ln(mean) - mean(ln): Newton on the digamma equation, NaN where it does not settle."""
     s = np.asarray(s, float)
     a = (3 - s + np.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+    off = np.full(s.shape, np.inf)
     for _ in range(60):
         h = a * 1e-5
         slope = (digamma(a + h) - digamma(a - h)) / (2 * h)
         new = 1 / (1 / a + (-s + np.log(a) - digamma(a)) / (a * a * (1 / a - slope)))
-        if np.all(np.abs(new - a) < 1e-14 * a):
-            return new
-        a = new
-    return a
+        off, a = np.abs(new - a) / a, new
+        if np.all(off < 1e-14):
+            break
+    # steps below rounding may alternate for ever; larger ones have not converged
+    return np.where(off < 1e-9, a, np.nan)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -19,7 +19,9 @@ A string that very many documents share is met in the slice first: one occurrenc
 travels, the others are settled or told there, so no group receives a third of the rows.
 
 Null text is empty.  Null doc_ids are neither sources nor changed.  Rows that repeat a doc_id are not
-earlier than one another.  Matches never cross documents; all lengths are bytes of UTF-8.
+earlier than one another, each is judged by its own text: positions in unlike texts of one id are
+shifted by the lengths of those before (in order of digests), so marks tell the rows apart.  Such texts
+may hold 2 GiB together, more is an error.  Matches never cross rows; all lengths are bytes of UTF-8.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrosheaf.llm import textbytes as tb
@@ -37,6 +39,7 @@ from hydrosheaf.llm.tables import body, groups_for, staged
 LENGTH = 50
 SEED = 24
 SHALLOW = 24
+PARTS = 16             # of the copies of one text, when they look up their first one
 U = tb.U
 _NONE = np.iinfo(np.int64).min
 
@@ -194,7 +197,7 @@ _CONTEXT = "grp int, marked boolean, ids binary, counts binary, starts binary, s
 
 
 def contexts(groups: int):
-    """(doc_id, text, names) -> contexts of shared anchors, packed per hash group."""
+    """(doc_id, text, shift, names) -> contexts of shared anchors, packed per hash group."""
 
     def run(batches):
         salt = 0
@@ -221,7 +224,7 @@ def contexts(groups: int):
                 start = at[row] + lo - (width - 1)
                 size = hi - lo + LENGTH - 1
                 ids = np.asarray(part.column("doc_id"))
-                own, base = ids[text[row]], offsets[text[row]]
+                own, base = ids[text[row]], (offsets[:-1] - np.asarray(part.column("shift")))[text[row]]
                 h = tb.span_hashes(data, start, start + size) ^ name[row]
                 # of equal contexts in this slice the smallest doc_id travels, the others are settled
                 order = np.lexsort((own, h))
@@ -411,20 +414,21 @@ _KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_s
 
 
 def cut_out(with_bytes: bool):
-    """(doc_id, text, whole, spans) -> digests (and the remaining bytes)."""
+    """(doc_id, text, whole, shift, spans) -> digests (and the remaining bytes)."""
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in tb.slices(batch):
                 rows = []
-                for i, (doc, whole, spans) in enumerate(zip(*[part.column(c).to_pylist() for c in ("doc_id", "whole", "spans")])):
+                for i, (doc, whole, shift, spans) in enumerate(zip(*[part.column(c).to_pylist() for c in ("doc_id", "whole", "shift", "spans")])):
                     text = data[offsets[i]: offsets[i + 1]]
                     n = len(text)
                     if whole and n >= LENGTH:
                         gone = np.ones(n, bool)
                     else:
                         gone = np.zeros(n, bool)
-                        for a, b in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
+                        own = np.clip(np.frombuffer(spans or b"", np.int32).astype(np.int64).reshape(-1, 2) - shift, 0, n)
+                        for a, b in own.tolist():
                             gone[a:b] = True
                     kept = text[~gone].tobytes() if gone.any() else text.tobytes()
                     edge = np.diff(np.concatenate(([0], gone.view(np.int8))))
@@ -443,22 +447,33 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     fine = 4 * groups              # a group of contexts grows in a task to some twenty times its packed size
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body().alias("text"))
     named = rows.filter("doc_id IS NOT NULL")
-    same = named.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    first = same.groupBy("sha").agg(F.min("doc_id").alias("head"))
-    # copies: rows whose text a smaller id has; the rest are first texts
-    copies = staged(same.join(first, "sha").filter("doc_id <> head").select("doc_id", F.lit(True).alias("whole")).distinct())
-
-    texts = named.join(copies, "doc_id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    same = staged(named.select("doc_id", sha.alias("sha"), F.octet_length("text").cast("bigint").alias("n")).distinct())
+    # copies: rows whose text a smaller id has; the rest are first texts.  A text of very many copies is met in parts
+    first = same.filter(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    first = first.select("sha", "head", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    copies = same.withColumn("part", F.pmod("doc_id", F.lit(PARTS)).cast("int")).join(first, ["sha", "part"]).filter("doc_id <> head") \
+        .select("doc_id", "sha", F.lit(True).alias("whole"))
+    # unlike texts of one id: the bytes before each
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("sha").rowsBetween(Window.unboundedPreceding, -1))
+    again = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shifts = same.join(again, "doc_id", "left_semi").select("doc_id", "sha", F.coalesce(before, F.lit(0)).cast("int").alias("shift"))
+    marked = staged(copies.join(shifts, ["doc_id", "sha"], "full").select(
+        F.col("doc_id").alias("_id"), F.when(F.col("shift").isNotNull(), F.col("sha")).alias("_sha"), "whole", "shift"))
+
+    mine = (F.col("doc_id") == F.col("_id")) & (F.col("_sha").isNull() | (F.col("_sha") == sha))
+    texts = named.join(marked, mine, "left").select(
+        "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("shift", F.lit(0)).alias("shift"))
     told = (
         texts.filter("NOT whole").select("doc_id", "text").mapInArrow(anchors(groups), _PACK)
         .groupBy("grp").applyInArrow(meet, _ANSWER)
         .groupBy("home").applyInArrow(by_document, "doc_id bigint, items binary").withColumnRenamed("items", "names")
     )
     spans = (
-        texts.filter("NOT whole").select("doc_id", "text").join(told, "doc_id").mapInArrow(contexts(fine), _CONTEXT)
+        texts.filter("NOT whole").select("doc_id", "text", "shift").join(told, "doc_id").mapInArrow(contexts(fine), _CONTEXT)
         .groupBy("grp").applyInArrow(settle, _ANSWER)
         .groupBy("home").applyInArrow(by_document, "doc_id bigint, items binary").withColumnRenamed("items", "spans")
     )
     every = texts.join(staged(spans), "doc_id", "left").unionByName(rows.filter("doc_id IS NULL").withColumns({
-        "whole": F.lit(False), "spans": F.lit(None).cast("binary")}))
-    return every.select("doc_id", "text", "whole", "spans").mapInArrow(cut_out(with_bytes), _KEPT + (", kept binary" if with_bytes else ""))
+        "whole": F.lit(False), "shift": F.lit(0), "spans": F.lit(None).cast("binary")}))
+    return every.select("doc_id", "text", "whole", "shift", "spans").mapInArrow(cut_out(with_bytes), _KEPT + (", kept binary" if with_bytes else ""))

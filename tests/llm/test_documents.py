@@ -162,6 +162,31 @@ def test_suffix_sorting_removes_what_earlier_documents_hold(docs, rows):
     assert all(g.n_removed == 0 for g in got[None])
 
 
+def test_suffix_sorting_tells_rows_of_one_id_apart(spark):
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, other, shared = text(200), text(400), text(80)
+    rows = [(1, base), (2, "zzzz " + base + text(90)), (2, other), (2, "short"), (2, None), (3, other), (3, text(70) + shared), (3, shared + text(60)),
+            (3, text(60) + shared), (3, base), (4, text(30) + shared + text(30)), (4, base[:150] + text(40)), (5, other), (5, other)]
+    starts = {}
+    for doc, t in rows:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49):
+            starts[raw[p:p + 50]] = min(starts.get(raw[p:p + 50], doc), doc)
+    want = []
+    for doc, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 49):
+            if starts[raw[p:p + 50]] < doc:
+                gone[p:p + 50] = b"\1" * 50
+        want.append((doc, len(raw), bytes(b for b, g in zip(raw, gone) if not g)))
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), True).collect()
+    assert sorted((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == sorted(want)
+
+
 def test_suffix_sorting_of_nothing(no_docs):
     assert suffix_dedup.deduplicated(no_docs).count() == 0
 

@@ -5,14 +5,15 @@ headers, footers, asides, forms, dialogs or elements with a whole class, id or r
 furniture (``ad``, ``site-footer``, ``comment-list``; not ``with-sidebar`` or ``related-work``) are dropped,
 scripts and styles with them.  A form or an element so named stays if the main element is inside.  Blocks inside
 ``article`` or ``main`` are kept: they are the text.  What lies outside of both is settled by
-the host: the token streams of its pages, furniture included, are put together and token strings of
-``RUN`` tokens or more that occur in two distinct pages are boilerplate; a block loses the tokens they
-cover and keeps the unique runs.  A block of fewer tokens is never touched.  Pages of one host whose
-open texts are equal or near copies (``ngram_join``, 4 words, 85 %) count as one page, so a copied
-page doesn't erase itself.
-
-The host's suffix array is not sorted beyond what decides: suffixes are dealt by (host, their first
-``RUN`` tokens), which are the intervals of the array whose common prefix is that long.  An
+the host: the tokens of a page's other blocks, furniture included, form its stream, which the main element
+and the ends of the page interrupt.  Token strings of ``RUN`` tokens or more that occur in the streams of two
+distinct pages of a host are boilerplate, over the borders of blocks too: blocks that they cover go, others
+lose covered runs of ``RUN`` tokens or more and keep the rest, so a text that begins with the word after
+a notice keeps it.  Pages of one host whose open texts are equal or near copies
+(``ngram_join``, 4 words, 85 %) count as one page, so a copied page doesn't erase itself.
+
+The host's suffix array is not sorted beyond what decides: the suffixes of all streams are dealt by (host,
+their first ``RUN`` tokens), which are the intervals of the array whose common prefix is that long.  An
 interval is a row with the smallest and the largest page in it, combined before the shuffle, so
 a host or a phrase of any size stays spread.  A maximal repeat of ``RUN`` tokens or more is the union of
 its windows of ``RUN`` tokens, each repeated in the same pages, and a repeated window lies in a
@@ -211,41 +212,77 @@ _PARTS = "row bigint, page_id bigint, url string, host string, kinds array<int>,
 
 
 def _cut(batches):
-    """Blocks of every page; ``row`` is a digest of host and open text, null where there is none."""
-    import hashlib
-
+    """Blocks of every page; ``row`` is null where there is no open text."""
     for batch in batches:
-        ids, urls, pages = (batch.column(i).to_pylist() for i in range(3))
         rows = []
-        for i, u, h in zip(ids, urls, pages):
-            b, name = blocks(h), host(u)
-            open_text = "\n".join(t for k, t in b if k == OPEN)
-            digest = hashlib.sha256(f"{name or ''}\n{name is None}\n{open_text}".encode("utf-8", "replace")).digest()
-            rows.append((int.from_bytes(digest[:8], "big", signed=True) if open_text else None, i, u, name, [k for k, _ in b], [t for _, t in b]))
+        for n, i, u, h in zip(*[batch.column(c).to_pylist() for c in ("row", "page_id", "url", "html")]):
+            b = blocks(h)
+            rows.append((n if any(k == OPEN and t for k, t in b) else None, i, u, host(u), [k for k, _ in b], [t for _, t in b]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))],
             names=["row", "page_id", "url", "host", "kinds", "texts"])
 
 
+def _streams(kinds: list[int], texts: list[str]):
+    """(tokens, number of the block of each token) of every stretch of blocks outside of the main element."""
+    tokens: list[str] = []
+    owner: list[int] = []
+    for n, (k, t) in enumerate(zip(kinds, texts)):
+        if k != KEPT:
+            words = t.split()
+            tokens += words
+            owner += [n] * len(words)
+        elif tokens:
+            yield tokens, owner
+            tokens, owner = [], []
+    if tokens:
+        yield tokens, owner
+
+
+def _windows(tokens: list[str]) -> list[str]:
+    """The first RUN tokens of every suffix that has so many."""
+    return [" ".join(tokens[i: i + RUN]) for i in range(len(tokens) - RUN + 1)]
+
+
 def _suffixes(batches):
     """Intervals (host, RUN tokens) with the smallest and largest page, combined per batch."""
     for batch in batches:
         seen: dict[tuple, list[int]] = {}
         for page, name, kinds, texts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            for k, t in zip(kinds, texts):
-                if k != KEPT:
-                    for h in set(_windows(t.split())):
-                        got = seen.setdefault((name, h), [page, page])
-                        got[0], got[1] = min(got[0], page), max(got[1], page)
+            for h in {h for tokens, _ in _streams(kinds, texts) for h in _windows(tokens)}:
+                got = seen.setdefault((name, h), [page, page])
+                got[0], got[1] = min(got[0], page), max(got[1], page)
         yield pa.RecordBatch.from_pydict({
             "host": pa.array([k[0] for k in seen], pa.string()), "h": pa.array([k[1] for k in seen], pa.string()),
             "lo": pa.array([v[0] for v in seen.values()], pa.int64()), "hi": pa.array([v[1] for v in seen.values()], pa.int64()),
         })
 
 
-def _windows(tokens: list[str]) -> list[str]:
-    """The first RUN tokens of every suffix that has so many."""
-    return [" ".join(tokens[i: i + RUN]) for i in range(len(tokens) - RUN + 1)]
+def _asked(batches):
+    """(row, host, h) of the windows that hold a token of an open block, once per page."""
+    for batch in batches:
+        rows, names, found = [], [], []
+        for row, name, kinds, texts in zip(*[batch.column(c).to_pylist() for c in ("row", "host", "kinds", "texts")]):
+            own = set()
+            for tokens, owner in _streams(kinds, texts):
+                is_open = np.concatenate(([0], np.cumsum([kinds[n] == OPEN for n in owner])))
+                own.update(w for i, w in enumerate(_windows(tokens)) if is_open[i + RUN] > is_open[i])
+            rows += [row] * len(own)
+            names += [name] * len(own)
+            found += own
+        yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "host": pa.array(names, pa.string()), "h": pa.array(found, pa.string())})
+
+
+def _uncovered(tokens: list[str], covered: np.ndarray) -> list[str]:
+    """Tokens of a block without its covered runs; of a block in part covered, short runs stay."""
+    if covered.all():
+        return []
+    edge = np.diff(np.concatenate(([0], covered.view(np.int8), [0])))
+    kept = ~covered
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        if b - a < RUN:
+            kept[a:b] = True
+    return [w for w, k in zip(tokens, kept) if k]
 
 
 def _unique(batches):
@@ -253,56 +290,47 @@ def _unique(batches):
     for batch in batches:
         out = []
         for kinds, texts, common in zip(*[batch.column(c).to_pylist() for c in ("kinds", "texts", "common")]):
-            known, kept = set(common or ()), []
-            for k, t in zip(kinds, texts):
-                if k == OPEN and known:
-                    tokens = t.split()
-                    covered = np.zeros(len(tokens), bool)
-                    for i, w in enumerate(_windows(tokens)):
-                        if w in known:
-                            covered[i: i + RUN] = True
-                    t = " ".join(w for w, c in zip(tokens, covered) if not c)
-                if t and k != GONE:
-                    kept.append(t)
-            out.append("\n\n".join(kept))
+            known, left = set(common or ()), {}
+            for tokens, owner in _streams(kinds, texts) if known else ():
+                covered = np.zeros(len(tokens), bool)
+                for i, w in enumerate(_windows(tokens)):
+                    if w in known:
+                        covered[i: i + RUN] = True
+                owner = np.asarray(owner)
+                for at in np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))):
+                    end = int(np.searchsorted(owner, owner[at], "right"))
+                    left[int(owner[at])] = _uncovered(tokens[at:end], covered[at:end])
+            texts = [" ".join(left[n]) if n in left else t for n, t in enumerate(texts)]
+            out.append("\n\n".join(t for k, t in zip(kinds, texts) if t and k != GONE))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def _settled_copies(opened: DataFrame) -> DataFrame:
     """(row, page) of the open texts: equal texts and near copies of one host share a page."""
     salt = F.concat(F.lit("~"), F.hex(F.xxhash64("host")))          # words of different hosts differ
-    words = F.flatten(F.transform(_open_blocks(), lambda b: F.split(b["texts"], " ")))
+    open_blocks = F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == OPEN)
+    words = F.flatten(F.transform(open_blocks, lambda b: F.split(b["texts"], " ")))
     texts = opened.select(F.col("row").alias("doc_id"), F.array_join(F.transform(words, lambda w: F.concat(w, salt)), " ").alias("text"))
-    return staged(ngram_join.joined(staged(texts.dropDuplicates(["doc_id"]))).select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")))
-
-
-def _open_blocks():
-    return F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == OPEN)
+    return staged(ngram_join.joined(staged(texts)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page row."""
-    cut = staged(pages.select("page_id", "url", "html").mapInArrow(_cut, _PARTS))
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+    cut = staged(numbered.mapInArrow(_cut, _PARTS))
     opened, plain = cut.filter("row IS NOT NULL"), cut.filter("row IS NULL")
     ready = plain.withColumn("common", F.lit(None).cast("array<string>"))
     if not opened.isEmpty():        # without open text there is nothing that a repeat could remove
         # pages without open text count as one page of their host
         paged = opened.join(_settled_copies(opened), "row").select("page", "host", "kinds", "texts").unionByName(
-            plain.select(F.lit(0).cast("bigint").alias("page"), "host", "kinds", "texts"))
+            plain.select(F.lit(-1).cast("bigint").alias("page"), "host", "kinds", "texts"))
         shared = (
             paged.mapInArrow(_suffixes, "host string, h string, lo bigint, hi bigint")
             .groupBy("host", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select(F.col("host").alias("_host"), F.col("h").alias("_h"))
         )
         # every open page asks for its own windows, so a host's intervals never gather in one row
-        asked = opened.select("row", "host", F.explode(F.flatten(F.transform(_open_blocks(), lambda b: _window_column(b["texts"])))).alias("h")).distinct()
+        asked = opened.select("row", "host", "kinds", "texts").mapInArrow(_asked, "row bigint, host string, h string")
         common = asked.join(shared, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h"))).groupBy("row").agg(F.collect_list("h").alias("common"))
         ready = ready.unionByName(opened.join(common, "row", "left"))
     text = ready.mapInArrow(_unique, "page_id bigint, url string, text string")
     return text.withColumn("n_chars", F.char_length("text").cast("bigint"))
-
-
-def _window_column(text):
-    """SQL form of ``_windows`` over a block, whose tokens are parted by single blanks."""
-    w = F.split(text, " ")
-    return F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - RUN + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, RUN), " "))).otherwise(
-        F.array().cast("array<string>"))

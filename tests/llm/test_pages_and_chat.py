@@ -1,6 +1,7 @@
 """Chat formatting round trips and page extraction cases."""
 
 import hashlib
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,7 +98,7 @@ def test_names_that_only_sound_like_furniture_stay():
 
 
 def test_short_blocks_and_copies_stay(spark):
-    """Blocks below RUN tokens, page copies with other furniture and near copies keep their open text."""
+    """Short blocks beside unlike ones, page copies with other furniture and near copies keep their open text."""
     own = [" ".join(f"own{k}w{i}" for i in range(30)) for k in range(9)]
     rows = [(k, f"http://a.org/{k}", f"<div>Read the full story</div><p>{own[k]}</p>") for k in range(3)]
     rows += [(k, f"http://b.org/{k}", f"<nav>day {k} of the site and its many menus</nav><p>{own[3]}</p>") for k in range(3, 5)]
@@ -111,6 +112,22 @@ def test_short_blocks_and_copies_stay(spark):
     assert got[5] == f"{near} seen on day 5" and got[6] == f"{near} seen on day 6" and got[7] == near
 
 
+def test_repeats_reach_over_blocks(spark):
+    """Boilerplate of several short blocks goes; the main element interrupts the stream."""
+    lead = ["Welcome to the daily paper of town", "Subscribe now and read it all", "Weather today is fine and warm", "Our shop sells maps and books"]
+    own = lambda k, n: " ".join(f"own{k}w{i}" for i in range(n))
+    rows = [(k, "http://a.org/", "".join(f"<div>{t}</div>" for t in lead) + f"<p>{own(k, 30)}</p>") for k in range(6)]
+    rows += [(k, "http://b.org/", f"<p>{lead[0]}</p><article>{own(k, 9)}</article><p>{lead[1]}</p>") for k in range(6, 9)]
+    rows += [(k, "http://c.org/", f"<nav>{lead[0]}</nav><p>{lead[1]} {own(k, 20)}</p>") for k in range(9, 12)]
+    got = {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    for k in range(6):
+        assert got[k] == own(k, 30)
+    for k in range(6, 9):
+        assert own(k, 9) in got[k]
+    for k in range(9, 12):
+        assert got[k] == f"{lead[1]} {own(k, 20)}"       # a short part of a block stays
+
+
 def test_cover_is_that_of_a_sorted_suffix_array(spark):
     """Maximal repeats from sorted suffixes and common prefixes remove the same tokens."""
     import random
@@ -124,7 +141,10 @@ def test_cover_is_that_of_a_sorted_suffix_array(spark):
             a = rng.randrange(0, 3)
             tokens += phrases[j][a:] + [f"u{k}y{i}" for i in range(rng.randrange(1, 25))]
         pages.append(tokens)
-    rows = [(k, "http://a.org/", f"<p>{' '.join(t)}</p>") for k, t in enumerate(pages)]
+    # a stream is cut into blocks anywhere, some of them of few tokens
+    marks = [sorted(rng.sample(range(1, len(t)), min(6, len(t) - 1))) for t in pages]
+    cut = [[" ".join(t[a:b]) for a, b in zip([0] + m, m + [len(t)])] for t, m in zip(pages, marks)]
+    rows = [(k, "http://a.org/", "".join(f"<p>{b}</p>" for b in c)) for k, c in enumerate(cut)]
     got = {r.page_id: r.text.split() for r in extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
 
     array = sorted((t[i:], k, i) for k, t in enumerate(pages) for i in range(len(t)))
@@ -144,4 +164,9 @@ def test_cover_is_that_of_a_sorted_suffix_array(spark):
                 y += way
     assert any(covered)
     for k, t in enumerate(pages):
-        assert got[k] == [w for i, w in enumerate(t) if i not in covered[k]]
+        kept = []
+        for a, b in zip([0] + marks[k], marks[k] + [len(t)]):
+            runs = "".join("x" if i in covered[k] else "." for i in range(a, b))
+            if "." in runs:                                     # covered blocks go, else long runs
+                kept += [w for w, c in zip(t[a:b], re.sub(f"x{{{extract.RUN},}}", lambda m: "-" * len(m[0]), runs)) if c != "-"]
+        assert got[k] == kept

@@ -343,28 +343,28 @@ def baseflow_straight_line(df: DataFrame, min_separation: int = 5) -> DataFrame:
 
 def _filter_summary(alpha):
     def summary(x, first):
-        theta, outs, best = [], [], -np.inf
-        c, scale = 0.0, 1.0  # state = scale * s + c while no reset has happened
-        n = len(x)
-        for k in range(n):
-            if first[k]:
+        # intervals of the incoming state that have met a reset, with their states now; the rest is scale * s + c.
+        # A row that resets more of the rest resets all intervals below it, so with flows of zero or more
+        # they become one; intervals that agree are always merged
+        theta, state = [], []
+        c, scale = 0.0, 1.0
+        for q, start in zip(x.tolist(), first.tolist()):
+            if start:
                 # the first row of a post ignores what came before
-                limit = np.inf
+                limit, theta, state = np.inf, [], []
+            elif scale > 0:
+                limit = (q - c) / scale
             else:
-                limit = (x[k] - c) / scale if scale > 0 else (np.inf if x[k] >= c else -np.inf)
-            if limit > best:
-                b = 0.5 * x[k]
-                for j in range(k + 1, n):
-                    b = alpha * b + (1 - alpha) * x[j] if x[j] < b else 0.5 * x[j]
+                limit = np.inf if q >= c else -np.inf
+            state = [alpha * b + (1 - alpha) * q if q < b else 0.5 * q for b in state]
+            if limit > (theta[-1] if theta else -np.inf):
                 theta.append(limit)
-                outs.append(b)
-                best = limit
-                if limit == np.inf:
-                    break
-            c = alpha * c + (1 - alpha) * x[k]
+                state.append(0.5 * q)
+            if len(theta) > 1:
+                theta, state = compress(theta, state)
+            c = alpha * c + (1 - alpha) * q
             scale *= alpha
-        th, res = compress(theta, outs)
-        return th, res, (scale, c, np.inf)
+        return theta, state, (scale, c, np.inf)
 
     return summary
 

@@ -1,14 +1,16 @@
 """Recurrences along a post, block by block.
 
-The recurrences of this library are monotone in the state they carry.  A block is therefore
-summed up by a small function of the incoming state: below the k-th threshold the block
-forgets the input and ends in a known value, above all thresholds it is min(p s + q, r).
-The summaries of a post (one per block) are chained, which gives each block its incoming
-state; then all blocks run in parallel.
+A block is summed up by a small function of the incoming state: up to the k-th threshold the block
+forgets the input and ends in a known value, above all thresholds it is min(p s + q, r), p >= 0.  Such
+functions compose to functions of the same form.  So the summaries of ``FAN`` blocks become that of a
+group, the groups of a post are chained, the blocks of each group after that, all groups at once; at
+last all blocks run in parallel.  No row holds the blocks of a whole post.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from hydrosheaf.plans.ordering import BLOCK as BLOCK_ROWS
 from hydrosheaf.plans.store import staged
 
 _D = T.ArrayType(T.DoubleType())
+FAN = 512              # blocks of a group
 
 
 def compress(theta, out):
@@ -41,6 +44,26 @@ def follow(state, theta, out, tail):
     return float(min(p * state + q, r))
 
 
+def compose(first, then):
+    """The function ``then`` after ``first``."""
+    (theta, out, (p, q, r)), (phi, ends, (p2, q2, r2)) = first, then
+    th, res = list(theta), [follow(o, np.asarray(phi, float), ends, (p2, q2, r2)) for o in out]
+    last = th[-1] if th else -np.inf
+    for limit, end in zip(phi, ends):          # where the tail of the first stays at or below a threshold
+        if r <= limit:
+            at = np.inf
+        elif p > 0:
+            at = (limit - q) / p
+        else:
+            at = np.inf if q <= limit else -np.inf
+        if at > last:
+            th.append(at)
+            res.append(end)
+            last = at
+    th, res = compress(th, res)
+    return th, res, (p * p2, p2 * q + q2, min((p2 * r if p2 > 0 else 0.0) + q2, r2))
+
+
 def scan(rows: DataFrame, summary, run, first: float, cols=("x", "y")) -> DataFrame:
     """Rows (post, i, x, y) -> (post, i, state), where ``i`` counts rows from 1.
 
@@ -55,31 +78,37 @@ def scan(rows: DataFrame, summary, run, first: float, cols=("x", "y")) -> DataFr
     def go(s: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([run(a, np.asarray(b, float), np.asarray(c, float)) for a, b, c in zip(s, xs, ys)])
 
+    plain = lambda th, res, tail: [list(map(float, th)), list(map(float, res)), list(map(float, tail))]
+
     @F.pandas_udf(T.ArrayType(_D))
     def summarise(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(xs, ys):
-            th, res, tail = summary(np.asarray(a, float), np.asarray(b, float))
-            out.append([list(map(float, th)), list(map(float, res)), list(map(float, tail))])
-        return pd.Series(out)
+        return pd.Series([plain(*summary(np.asarray(a, float), np.asarray(b, float))) for a, b in zip(xs, ys)])
+
+    @F.pandas_udf(T.ArrayType(_D))
+    def merged(fs: pd.Series) -> pd.Series:
+        return pd.Series([plain(*reduce(compose, f)) for f in fs])
 
     @F.pandas_udf(_D)
-    def chain(th: pd.Series) -> pd.Series:
+    def chain(start: pd.Series, fs: pd.Series) -> pd.Series:
         out = []
-        for blocks in th:
-            s, before = float(first), []
-            for t, o, tail in blocks:
-                before.append(s)
+        for s, f in zip(start, fs):
+            before = []
+            for t, o, tail in f:
+                before.append(float(s))
                 s = follow(s, np.asarray(t, float), o, tail)
             out.append(before)
         return pd.Series(out)
 
+    def each(groups, name, start):
+        """The state before every member of a group."""
+        got = groups.select("post", F.col(f"d.{name}").alias("ms"), chain(start, F.col("d.f")).alias("ss"))
+        return got.select("post", F.explode(F.arrays_zip("ms", "ss")).alias("z")).select("post", F.col("z.ms").alias(name), F.col("z.ss").alias("_s"))
+
     summed = packed.select("post", "ob", summarise(x, y).alias("f"))
-    # one summary per block and post: a directory, not the rows
-    dirs = summed.groupBy("post").agg(F.sort_array(F.collect_list(F.struct("ob", "f"))).alias("d"))
-    dirs = dirs.select("post", F.col("d.ob").alias("obs"), chain(F.col("d.f")).alias("ss"))
-    dirs = dirs.select("post", F.explode(F.arrays_zip("obs", "ss")).alias("z")).select(
-        "post", F.col("z.obs").alias("ob"), F.col("z.ss").alias("_s"))
+    group = F.floor(F.col("ob") / FAN).cast("bigint")
+    groups = staged(summed.groupBy("post", group.alias("sb")).agg(F.sort_array(F.collect_list(F.struct("ob", "f"))).alias("d")))
+    tops = groups.select("post", "sb", merged(F.col("d.f")).alias("f")).groupBy("post").agg(F.sort_array(F.collect_list(F.struct("sb", "f"))).alias("d"))
+    dirs = each(groups.join(each(tops, "sb", F.lit(float(first))), ["post", "sb"]), "ob", F.col("_s"))
     d = packed.join(dirs, ["post", "ob"])
     d = d.select("post", F.col("a.i").alias("is"), go("_s", x, y).alias("vs"))
     return d.select("post", F.explode(F.arrays_zip("is", "vs")).alias("z")).select(

@@ -49,6 +49,7 @@ def test_small_blocks_give_the_rows_of_large_ones(spark, series, name, monkeypat
     for fn in (o.sequence, o.rolling):
         monkeypatch.setattr(fn, "__defaults__", tuple(50 if v == o.BLOCK else v for v in fn.__defaults__))
     monkeypatch.setattr("hydrosheaf.plans.carry.BLOCK_ROWS", 37)
+    monkeypatch.setattr("hydrosheaf.plans.carry.FAN", 3)
     same(frame(OPS[name](df)), plain)
 
 

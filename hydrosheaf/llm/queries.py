@@ -31,24 +31,38 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_join.joined(read(spark, sf_dir, "documents"))
 
 
-def _license_sql() -> str:
-    rows = ", ".join("({}, '{}', {})".format(i, n, "[" + ", ".join(f"'{b}'" for b in licenses._plain_bigrams(t)) + "]") for i, (n, t) in enumerate(licenses.TEMPLATES))
+def license_sql(documents: str = "documents", templates=licenses.TEMPLATES) -> str:
+    quoted = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]::VARCHAR[]"
+    grams = [licenses.ordered_bigrams(text) for _, text in templates]
+    rows = ", ".join(f"({t}, '{name}', {len(g)}, {quoted(sorted(set(g)))})" for t, ((name, _), g) in enumerate(zip(templates, grams)))
+    laid = ", ".join(f"('{g}', {t}, {at})" for g, lays in licenses.lays(templates).items() for t, at in lays)
+    dice = "2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams))"
     return f"""
-WITH templates(tid, license, grams) AS (VALUES {rows}),
+WITH templates(t, license, n, grams) AS (VALUES {rows}),
+anchors(gram, t, off) AS (VALUES {laid}),
+docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM {documents}),
 units AS (
-  SELECT doc_id, false AS whole, unnest(string_split(coalesce(text, ''), chr(10))) AS u FROM documents
-  UNION ALL SELECT doc_id, true, coalesce(text, '') FROM documents),
-words AS (SELECT doc_id, whole, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, whole, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM words WHERE len(w) > 1),
+  SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS u FROM docs
+  UNION ALL SELECT doc_id, 'whole', text FROM docs),
+words AS (SELECT doc_id, kind, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+sets AS (SELECT row_number() OVER () AS r, doc_id, kind, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM words WHERE len(w) > 1),
 best AS (
-  SELECT doc_id, whole, r, max(struct_pack(dice := dice, license := license)) AS b FROM (
-    SELECT doc_id, whole, r, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM (SELECT *, row_number() OVER () AS r FROM grams) q, templates t)
-  WHERE dice >= {licenses.LEAST} GROUP BY ALL)
-SELECT doc_id, b.license AS license, round(max(b.dice), 9) AS dice, count(*) FILTER (NOT whole) AS n_lines, bool_or(whole) AS whole
-FROM best GROUP BY doc_id, b.license"""
-
-
-@query("op3_license_scan", _license_sql())
+  SELECT r, doc_id, kind, max(struct_pack(dice := dice, license := license)) AS b FROM (SELECT r, doc_id, kind, license, {dice} AS dice FROM sets, templates)
+  WHERE dice >= {licenses.LEAST} GROUP BY ALL),
+texts AS (SELECT d, doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM docs),
+runs AS (SELECT d, doc_id, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS all_g FROM texts WHERE len(w) > 1),
+spots AS (SELECT d, p - 1 AS p, all_g[p] AS gram FROM (SELECT d, all_g, unnest(range(1, len(all_g) + 1)) AS p FROM runs)),
+laid AS (SELECT DISTINCT d, a.t, greatest(p - off, 0) AS s FROM spots JOIN anchors a USING (gram)),
+windows AS (SELECT laid.d, doc_id, s, license, grams, least(len(all_g) - s, n) + 1 AS n, list_distinct(all_g[s + 1:s + n]) AS g FROM laid JOIN runs USING (d) JOIN templates USING (t)),
+scored AS (SELECT d, doc_id, s, n, license, -{dice} AS o, -len(g) AS short FROM windows WHERE {dice} >= {licenses.LEAST}),
+firsts AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY d, s ORDER BY o, short, license, n) = 1),
+kept AS (SELECT * FROM firsts x WHERE NOT EXISTS (SELECT 1 FROM firsts y WHERE y.d = x.d AND y.s < x.s + x.n AND x.s < y.s + y.n AND (y.o < x.o OR y.o = x.o AND (y.short < x.short OR y.short = x.short AND y.s < x.s)))),
+finds AS (SELECT doc_id, kind, b.license AS license, b.dice AS dice FROM best UNION ALL SELECT doc_id, 'place', license, -o FROM kept)
+SELECT doc_id, license, round(max(dice), 9) AS dice, count(*) FILTER (kind = 'line') AS n_lines, count(*) FILTER (kind = 'place') AS n_places, bool_or(kind = 'whole') AS whole
+FROM finds GROUP BY doc_id, license"""
+
+
+@query("op3_license_scan", license_sql())
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
 

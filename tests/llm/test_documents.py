@@ -309,6 +309,49 @@ def test_license_lines(spark, docs, no_docs):
         assert (lo, hi) == (fits[0], fits[-1])
 
 
+def test_license_passages(spark):
+    import textwrap
+
+    import duckdb
+
+    from hydrosheaf.llm import queries
+
+    text = {name: [t for n, t in licenses.TEMPLATES if n == name] for name, _ in licenses.TEMPLATES}
+    plain = "the river rose in spring and fell again before the summer came to the lower valley"
+    mit, bsd2, bsd3 = max(text["MIT"], key=len), text["BSD-2-Clause"][0], max(text["BSD-3-Clause"], key=len)
+    gpl = text["GPL-3.0"][1]
+    rows = [
+        (1, "Copyright 2020 Foo. Licensed under CC BY 4.0. See the site for details."),
+        (2, plain + "\n" + "\n".join("# " + x for x in textwrap.wrap(gpl, 40)) + "\n" + plain),
+        (3, plain + "\n" + "\n".join(textwrap.wrap(mit, 60)) + "\n" + plain),
+        (4, bsd3), (5, plain + " " + bsd2 + " " + plain), (6, plain + "\n" + mit[:420]),
+        (7, (plain + ". All rights reserved. ") * 3), (8, mit + "\n" + gpl + "\n" + bsd3), (9, (plain + " ") * 2000 + gpl + " " + plain),
+        (10, "license software permission granted free of charge to the public " * 40), (None, gpl), (None, gpl), (11, "MIT"), (12, "under the GNU General Public License"), (13, None), (14, ""),
+        (15, ("Released under the MIT License. " + plain + "\n") * 300),
+        (16, gpl.replace("redistribute", "share").replace("Foundation", "Trust")),
+    ]
+    df = spark.createDataFrame([r + ("x", 1, True) for r in rows], "doc_id bigint, text string, license string, dice int, whole boolean").repartition(3)
+    got = {(r.doc_id, r.license): r for r in licenses.scan(df).collect()}
+    places = {k: r.n_places for k, r in got.items() if r.n_places}
+    assert places == {
+        (1, "CC-BY-4.0"): 1, (2, "GPL-3.0"): 1, (3, "MIT"): 1, (4, "BSD-3-Clause"): 1, (5, "BSD-2-Clause"): 1, (6, "MIT"): 1, (7, "all-rights-reserved"): 3,
+        (8, "MIT"): 1, (8, "GPL-3.0"): 1, (8, "BSD-3-Clause"): 1, (9, "GPL-3.0"): 1, (None, "GPL-3.0"): 2, (15, "MIT"): 300, (16, "GPL-3.0"): 1}
+    assert got[(2, "GPL-3.0")].dice == got[(9, "GPL-3.0")].dice == 1.0 and got[(16, "GPL-3.0")].dice < 1.0 and got[(4, "BSD-3-Clause")].whole
+    con = duckdb.connect()
+    con.register("fixture", df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(queries.license_sql("fixture")).fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.license, round(r.dice, 9), r.n_lines, r.n_places, r.whole)) for r in got.values())
+
+
+def test_license_anchors():
+    """A set that reaches the coefficient holds an anchor, whatever bigrams it lacks."""
+    for _, text in licenses.TEMPLATES:
+        grams = set(licenses.ordered_bigrams(text))
+        chosen = licenses.anchors(list(grams))
+        rest = len(grams - chosen)              # the largest set without an anchor, at its best size
+        assert 2 * rest / (rest + len(grams)) < licenses.LEAST
+
+
 def water(sizes, share=1.5, ceiling=2):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}

@@ -147,3 +147,26 @@ def test_outlying_partial_estimate_is_dropped(spark):
     df = spark.createDataFrame([(q, [1.0] * len(q))], "q array<double>, w array<double>")
     v, s, k = df.select(_weighted("q", "w").alias("x")).first()["x"]
     assert k == 14 and abs(v - 10.0) < 1e-9 and abs(s - 14 ** -0.5) < 1e-12
+
+
+def test_histogram_start():
+    """Steps over cells end next to the maximum over all values, and cells keep the ends and the sums."""
+    rng = np.random.default_rng(3)
+    z = rng.gumbel(size=20_000)
+    z = (z - z.mean()) / z.std()
+    cell = np.floor(np.arcsinh(z) * likelihood.CELLS)
+    cells = sorted([x.min(), x.mean(), float(len(x)), x.max()] for x in (z[cell == c] for c in np.unique(cell)))
+    points, weights = likelihood.points_of(cells)
+    assert weights.sum() == len(z) and abs(points @ weights - z.sum()) < 1e-6
+    assert points.min() == z.min() and points.max() == z.max() and len(points) < 700
+    logpdf, begin, bounded = likelihood.LAWS["gev"]
+    first = np.array(begin(1.0, 1.1))
+    near = likelihood.near_theta(logpdf, cells, first, bounded, (-1.0, 1.0))
+    state = np.concatenate(([0.0, 0.0, -1e300], near, near))
+    rounds = 0
+    while not state[0]:
+        state = likelihood.next_state(state, likelihood.scores(logpdf, z, state[6:].reshape(-1, 3)), 3, bounded, (-1.0, 1.0))
+        rounds += 1
+    assert state[1] and rounds <= 3 and np.abs(state[3:6] - near).max() < 0.01
+    first[:, bounded] = np.clip(first[:, bounded], -1.0, -0.2)
+    assert likelihood.near_theta(logpdf, cells, first, bounded, (-1.0, -0.2)) is None       # the limit decides
